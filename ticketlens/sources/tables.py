@@ -93,8 +93,9 @@ def issue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat link table: one row per lineitem (issue_id, link_id, link_type, inward/outward key)."""
     li = read_table(spark, sf_dir, "lineitem")
     target = issue_key(F.col("l_partkey"), "PART-")
+    link_id = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return li.select(F.col("l_orderkey").alias("issue_id"),
-                     F.col("l_linenumber").cast("string").alias("link_id"),
+                     link_id.alias("link_id"),
                      F.col("l_returnflag").alias("link_type"),
                      F.when(F.col("l_linestatus") == "F", target).alias("inward_key"),
                      F.when(F.col("l_linestatus") == "O", target).alias("outward_key"))
