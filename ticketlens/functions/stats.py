@@ -40,9 +40,21 @@ def median(col: str | Column, exact: bool = True) -> Column:
 
 
 def safe_div(num: Column, den: Column, default: Column | float | None = None) -> Column:
-    """num/den when den is non-zero, else ``default`` (null by default)."""
+    """num/den when den is non-zero, else ``default`` (null by default); never raises under ANSI."""
     d = F.lit(default) if not isinstance(default, Column) else default
-    return F.when(den != 0, num / den).otherwise(d)
+    return F.when(den != 0, F.try_divide(num, den)).otherwise(d)
+
+
+def pearson(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows where both sides are non-null (like pandas / DuckDB ``corr``).
+
+    Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI mode when one side is
+    constant; this form returns null instead.
+    """
+    xc, yc = _c(x).cast("double"), _c(y).cast("double")
+    both = xc.isNotNull() & yc.isNotNull()
+    xm, ym = F.when(both, xc), F.when(both, yc)
+    return F.try_divide(F.covar_samp(xm, ym), F.stddev_samp(xm) * F.stddev_samp(ym))
 
 
 def share_pct(cond: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import calendar_parts, hours_between, resolution_time_hours, seconds_between
+from ..functions.dates import calendar_parts, resolution_time_days, resolution_time_hours, seconds_between
 from ..functions.names import distinct_values, space_safe
 from ..functions.stats import entropy_log2, quantiles, safe_div, share_pct
 from ..sources.tables import small_side
@@ -32,6 +32,8 @@ def with_issue_times(df: DataFrame, created: str = "created", resolved: str = "r
     add = {}
     if "resolution_time_hours" not in df.columns:
         add["resolution_time_hours"] = resolution_time_hours(created, resolved)
+    if "resolution_time_days" not in df.columns:
+        add["resolution_time_days"] = resolution_time_days(created, resolved)
     if "is_resolved" not in df.columns:
         add["is_resolved"] = F.col(resolved).isNotNull().cast("int")
     out = df.withColumns(add) if add else df
@@ -159,7 +161,7 @@ def monthly_activity(df: DataFrame, key: Keys = "project_id", created: str = "cr
     )
     return out.withColumn("issue_creation_volatility",
                           F.when(F.col("months_with_activity") > 1,
-                                 F.col("_sd") / F.col("avg_issues_per_month"))).drop("_sd")
+                                 F.try_divide(F.col("_sd"), F.col("avg_issues_per_month")))).drop("_sd")
 
 
 # --------------------------------------------------------------------------
@@ -181,7 +183,7 @@ def _priority_aggs(priority: str, values: Sequence[str]) -> list[Column]:
 
 def _priority_post(values: Sequence[str], compat: bool) -> dict[str, Column]:
     den = F.col("total_issues") if compat else F.col("_prio_n")
-    return {f"priority_{space_safe(v)}_pct": F.col(f"priority_{space_safe(v)}_count") / den * 100.0
+    return {f"priority_{space_safe(v)}_pct": F.try_divide(F.col(f"priority_{space_safe(v)}_count"), den) * 100.0
             for v in values}
 
 
@@ -199,7 +201,7 @@ def _type_aggs(issue_type: str, values: Sequence[str]) -> list[Column]:
 
 
 def _type_post(values: Sequence[str]) -> dict[str, Column]:
-    return {f"type_{space_safe(v)}_pct": F.col(f"type_{space_safe(v)}_count") / F.col("total_issues") * 100.0
+    return {f"type_{space_safe(v)}_pct": F.try_divide(F.col(f"type_{space_safe(v)}_count"), F.col("total_issues")) * 100.0
             for v in values}
 
 
@@ -361,7 +363,7 @@ def project_derived(pf: DataFrame, high_tokens: Sequence[str] = HIGH_PRIORITY_TO
         new["high_to_low_priority_ratio"] = F.when(ls > 0, hs / ls).otherwise(hs)
     bugs = _family(cols, [bug_token], compat, kind="type")
     if bugs and "total_issues" in cols:
-        new["bug_ratio"] = _rowsum(bugs) / F.col("total_issues")
+        new["bug_ratio"] = F.try_divide(_rowsum(bugs), F.col("total_issues"))
     if {"avg_issues_per_month", "resolution_rate_per_day"} <= set(cols):
         rate = F.col("avg_issues_per_month") / 30.0
         new["creation_resolution_balance"] = F.when(rate > 0, F.col("resolution_rate_per_day") / rate).otherwise(0.0)
@@ -375,12 +377,12 @@ def project_derived(pf: DataFrame, high_tokens: Sequence[str] = HIGH_PRIORITY_TO
         total = terms[0]
         for t in terms[1:]:
             total = total + t
-        new["weighted_priority_score"] = total / F.col("total_issues")
+        new["weighted_priority_score"] = F.try_divide(total, F.col("total_issues"))
     type_pct = [c for c in cols if c.startswith("type_") and "_pct" in c]
     if type_pct:
         new["issue_type_entropy"] = entropy_log2([F.col(c) / 100.0 for c in type_pct])
     if {"num_resolved_issues", "months_with_activity"} <= set(cols):
-        new["monthly_velocity"] = F.col("num_resolved_issues") / F.col("months_with_activity")
+        new["monthly_velocity"] = F.try_divide(F.col("num_resolved_issues"), F.col("months_with_activity"))
     return pf.withColumns(new)
 
 
