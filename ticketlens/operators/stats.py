@@ -253,32 +253,64 @@ def feature_vote(imp: DataFrame, model: str = "model", feature: str = "feature",
             .where(F.col("votes") >= min_votes))
 
 
-# Column families of the project table, first matching rule wins.
-COLUMN_FAMILIES = (
-    ("core", ("project_id", "project_key", "project_name", "repository", "source_file", "total_issues")),
-    ("temporal", ("date", "duration", "month", "weekend", "volatility")),
-    ("priority_type", ("priority_", "_type_")),
-    ("priority", ("priority_",)),
-    ("issue_type", ("type_",)),
-    ("dependency", ("link", "dependenc")),
-    ("resolution", ("resolution", "resolved")),
-    ("efficiency", ("efficiency", "velocity", "balance", "ratio", "score", "entropy")),
-)
+# Column families of the project table, rules tried in this order.
+CORE_COLUMNS = ("project_id", "project_key", "project_name", "repository", "source_file", "total_issues")
+TEMPORAL_TERMS = ("date", "duration", "days", "month", "time", "hours")
+DEPENDENCY_TERMS = ("link", "inward", "outward", "dependencies")
+RESOLUTION_TERMS = ("resolution", "resolved")
+EFFICIENCY_TERMS = ("efficiency", "ratio", "balance", "velocity")
+
+
+def family_of(name: str) -> str:
+    """A31 name family of one column (driver-side, on names only)."""
+    if name in CORE_COLUMNS:
+        return "core"
+    if any(t in name for t in TEMPORAL_TERMS):
+        return "temporal"
+    if name.startswith("priority_") and "_type_" not in name:
+        return "priority"
+    if name.startswith("type_") and "_resolution_" not in name:
+        return "issue_type"
+    if "_type_" in name and "priority_" in name:
+        return "priority_type"
+    if any(t in name for t in DEPENDENCY_TERMS):
+        return "dependency"
+    if any(t in name for t in RESOLUTION_TERMS):
+        return "resolution"
+    if any(t in name for t in EFFICIENCY_TERMS):
+        return "efficiency"
+    return "other"
+
+
+def _any(name: Column, terms) -> Column:
+    cond = F.lit(False)
+    for t in terms:
+        cond = cond | name.contains(t)
+    return cond
 
 
 def column_family(name: Column) -> Column:
-    expr = F.lit("other")
-    for fam, parts in reversed(COLUMN_FAMILIES):
-        if fam == "core":
-            cond = name.isin(*parts)
-        elif fam == "priority_type":
-            cond = name.startswith("priority_") & name.contains("_type_")
-        else:
-            cond = F.lit(False)
-            for p in parts:
-                cond = cond | name.contains(p)
-        expr = F.when(cond, F.lit(fam)).otherwise(expr)
-    return expr
+    """A31 name family as a column expression (same rules as ``family_of``)."""
+    return (F.when(name.isin(*CORE_COLUMNS), "core")
+            .when(_any(name, TEMPORAL_TERMS), "temporal")
+            .when(name.startswith("priority_") & ~name.contains("_type_"), "priority")
+            .when(name.startswith("type_") & ~name.contains("_resolution_"), "issue_type")
+            .when(name.contains("_type_") & name.contains("priority_"), "priority_type")
+            .when(_any(name, DEPENDENCY_TERMS), "dependency")
+            .when(_any(name, RESOLUTION_TERMS), "resolution")
+            .when(_any(name, EFFICIENCY_TERMS), "efficiency")
+            .otherwise("other"))
+
+
+def feature_subsets(df: DataFrame) -> dict[str, DataFrame]:
+    """Named projections by family: core, temporal, priority, issue_type, resolution+efficiency."""
+    fam = {c: family_of(c) for c in df.columns}
+    core = [c for c in df.columns if fam[c] == "core"]
+
+    def pick(*names):
+        return df.select(*[q(c) for c in core + [c for c in df.columns if fam[c] in names]])
+    return {"core": pick(), "temporal": pick("temporal"), "priority": pick("priority"),
+            "issue_type": pick("issue_type"), "resolution_efficiency": pick("resolution", "efficiency")}
 
 
 def column_inventory(df: DataFrame, group: str = "repository") -> DataFrame:
