@@ -1,12 +1,14 @@
-"""Exact ranks inside groups without putting a whole group into one task.
+"""Exact ranks and running sums inside groups without putting a whole group into one task.
 
 A window ``partitionBy(group).orderBy(x)`` sends every row of a group to one
-task, so a group holding a third of the data becomes one straggler. Here the
-rows are range-partitioned on ``(group..., x, tiebreak)`` instead: Spark
-samples the key distribution and cuts even-sized partitions, splitting a hot
-group across many tasks. Each partition ranks its own rows (bounded work),
-counts rows per group, and a small (partitions x groups) offset table turns
-local ranks into exact global ranks.
+task, so a group holding a third of the data becomes one straggler. Here a
+group larger than ``hot_rows`` is cut into value buckets first: cut points are
+approximate quantiles of the (numeric) leading order column, computed once in
+one aggregation and fetched (at most ``max_hot_groups`` x ``buckets`` numbers).
+The bucket of a row is then a pure function of its data, so every branch of
+the plan agrees on it. Rows are ranked inside (group, bucket) - bounded work
+per task - and a small per-(group, bucket) count table, cumulated in bucket
+order, turns local ranks into exact global ranks.
 """
 
 from __future__ import annotations
@@ -18,56 +20,77 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import small_side
 
+HOT_ROWS = 2_000_000
+BUCKETS = 128
+MAX_HOT_GROUPS = 4096
 
-def _target_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+def with_buckets(df: DataFrame, keys: Sequence[str], value: Column, hot_rows: int = HOT_ROWS,
+                 buckets: int = BUCKETS, max_hot_groups: int = MAX_HOT_GROUPS, out: str = "_bkt") -> DataFrame:
+    """Add ``out``: 0 for ordinary groups, the value's quantile bucket for the largest groups."""
+    keys = list(keys)
+    spark = df.sparkSession
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
+    hot = sizes.where(F.col("_gn") > hot_rows).orderBy(F.col("_gn").desc()).limit(max_hot_groups)
+    hot_keys = [tuple(r[k] for k in keys) for r in hot.select(*keys).collect()] if keys else \
+        ([()] if hot.count() else [])
+    if not hot_keys:
+        return df.withColumn(out, F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    vals = df.withColumn("_v", value.cast("double"))
+    if keys:
+        hot_df = spark.createDataFrame(hot_keys, vals.select(*keys).schema)
+        cut_rows = (vals.join(F.broadcast(hot_df), keys, "left_semi")
+                    .groupBy(*keys).agg(F.percentile_approx("_v", probs, 10_000).alias("_cuts")).collect())
+        cuts = spark.createDataFrame([tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cut_rows],
+                                     vals.select(*keys).schema.add("_cuts", "array<double>"))
+        b = vals.join(F.broadcast(cuts), keys, "left")
+    else:
+        cut = sorted(set(vals.agg(F.percentile_approx("_v", probs, 10_000)).first()[0] or []))
+        b = vals.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in cut]).cast("array<double>"))
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
+    return b.withColumn(out, bucket).drop("_cuts", "_v")
 
 
 def row_number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                         out: str = "_rank", partitions: int | None = None) -> DataFrame:
+                         out: str = "_rank", hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """Add ``out`` = 1-based position of each row inside its group in the given order.
 
-    ``order`` should make rows unique (add a tiebreak column) for a
-    deterministic result. Equal to ``row_number().over(partitionBy(keys).orderBy(order))``.
+    Equal to ``row_number().over(partitionBy(keys).orderBy(order))``; ``order``
+    should make rows unique (add a tiebreak) and its first column must be numeric.
     """
     keys = list(keys)
-    n_parts = partitions or _target_partitions(df)
     names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
-    ranged = base.repartitionByRange(n_parts, *[F.col(k) for k in keys], *[F.col(n) for n in names])
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_lr", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*[F.col(n) for n in names])))
-    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_pid")
-                                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(small_side(offsets.drop("_c")), ["_pid", *keys])
-    return joined.withColumn(out, F.col("_off") + F.col("_lr")).drop("_pid", "_lr", "_off", *names)
+    b = with_buckets(base, keys, F.col(names[0]), hot_rows, buckets)
+    local = b.withColumn("_lr", F.row_number().over(
+        Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(n) for n in names])))
+    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = local.join(small_side(offsets.drop("_c")), [*keys, "_bkt"])
+    return joined.withColumn(out, F.col("_off") + F.col("_lr")).drop("_bkt", "_lr", "_off", *names)
+
+
+def cumulative_sum_in_groups(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
+                             out: str, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """Inclusive running sum of ``value`` inside each group ordered by the (unique, numeric) ``order_col``."""
+    keys = list(keys)
+    b = with_buckets(df, keys, F.col(order_col), hot_rows, buckets)
+    local = b.withColumn("_ls", F.sum(value).over(
+        Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
+    tot = b.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_t"))
+    offsets = tot.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = local.join(small_side(offsets.drop("_t")), [*keys, "_bkt"])
+    return joined.withColumn(out, F.col("_off") + F.col("_ls")).drop("_bkt", "_ls", "_off")
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "_avg_rank",
-                  partitions: int | None = None) -> DataFrame:
-    """Rank of ``value`` inside each group with ties given the mean of their positions (pandas 'average')."""
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rank of ``value`` inside each group, ties given the mean of their positions (pandas 'average')."""
     keys = list(keys)
     pre = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per distinct value; the inclusive running row count gives its last position
-    cum = cumulative_sum_in_groups(pre, keys, value, "_n", "_cum", partitions)
+    cum = cumulative_sum_in_groups(pre, keys, value, "_n", "_cum", hot_rows)
     cum = cum.withColumn(out, (F.col("_cum") - F.col("_n")) + (F.col("_n") + 1) / 2.0)
     return df.join(cum.select(*keys, value, out), [*keys, value], "left")
-
-
-def cumulative_sum_in_groups(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
-                             out: str, partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` inside each group ordered by ``order_col`` (inclusive), range-partitioned."""
-    keys = list(keys)
-    n_parts = partitions or _target_partitions(df)
-    ranged = df.repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col(order_col))
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_ls", F.sum(value).over(
-        Window.partitionBy("_pid", *keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
-    tot = ranged.groupBy("_pid", *keys).agg(F.sum(value).alias("_t"))
-    offsets = tot.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(small_side(offsets.drop("_t")), ["_pid", *keys])
-    return joined.withColumn(out, F.col("_off") + F.col("_ls")).drop("_pid", "_ls", "_off")

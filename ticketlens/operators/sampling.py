@@ -94,16 +94,34 @@ def earliest(df: DataFrame, created: str, n: int = 500, cols: Sequence[str] | No
     return src.orderBy(F.col(created).asc_nulls_last()).limit(n)
 
 
-def hash_order(key: Column, seed: int) -> Column:
+# Multiplicative hash for integral keys: pmod(pmod(key, P) * A + seed, P). Products stay below 2^63,
+# so it never overflows, and any SQL engine can reproduce it; other key types use xxhash64.
+HASH_P = 1_000_000_007
+HASH_A = 747_796_405
+
+
+def hash_order(key: Column, seed: int, integral: bool = True) -> Column:
+    if integral:
+        return F.pmod(F.pmod(key.cast("long"), F.lit(HASH_P)) * F.lit(HASH_A) + F.lit(seed), F.lit(HASH_P))
     return F.xxhash64(key, F.lit(seed))
 
 
+def _is_integral(df: DataFrame, key: str) -> bool:
+    return df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+
+
+def unit_hash(df: DataFrame, key: str, seed: int) -> Column:
+    """A reproducible pseudo-uniform number in [0, 1) per key."""
+    h = hash_order(F.col(key), seed, _is_integral(df, key))
+    return F.pmod(h, F.lit(1_000_000)) / F.lit(1_000_000.0)
+
+
 def sample_exact(df: DataFrame, ratio: float, key: str, group: str | None = None, seed: int = 42) -> DataFrame:
     """Exactly max(1, int(n·ratio)) rows per group, without replacement, by seeded hash order."""
     keys = [group] if group else []
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(ratio))))
-    ranked = row_number_in_groups(df, keys, [hash_order(F.col(key), seed), F.col(key)], "_r")
+    ranked = row_number_in_groups(df, keys, [hash_order(F.col(key), seed, _is_integral(df, key)), F.col(key)], "_r")
     if keys:
         joined = ranked.join(small_side(counts.select(*keys, "_take")), keys)
     else:
@@ -115,15 +133,14 @@ def sample_frac(df: DataFrame, fraction: float, seed: int = 42, key: str | None
     """Bernoulli-like sample; with ``key`` it is a seeded hash filter (stable under retries)."""
     if key is None:
         return df.sample(fraction=fraction, seed=seed)
-    u = (F.abs(hash_order(F.col(key), seed)) % F.lit(1_000_000)) / F.lit(1_000_000.0)
-    return df.where(u < fraction)
+    return df.where(unit_hash(df, key, seed) < fraction)
 
 
 def random_split(df: DataFrame, weights: Sequence[float], key: str, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Assign each row a split index by seeded hash of its key (80/20, 60/20/20, ...)."""
     total = float(sum(weights))
-    u = (F.abs(hash_order(F.col(key), seed)) % F.lit(1_000_000)) / F.lit(1_000_000.0)
+    u = unit_hash(df, key, seed)
     expr = F.lit(len(weights) - 1)
     acc = 0.0
     bounds = []
@@ -139,7 +156,7 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_fraction: float
                      out: str = "is_test") -> DataFrame:
     """Per stratum, the first round(fraction·count) rows in seeded hash order go to the test split."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_number_in_groups(df, [stratum], [hash_order(F.col(key), seed), F.col(key)], "_r")
+    ranked = row_number_in_groups(df, [stratum], [hash_order(F.col(key), seed, _is_integral(df, key)), F.col(key)], "_r")
     joined = ranked.join(small_side(counts), stratum)
     return joined.withColumn(out, (F.col("_r") <= F.round(F.col("_n") * F.lit(test_fraction))).cast("int")) \
         .drop("_r", "_n")

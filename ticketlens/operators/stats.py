@@ -54,17 +54,17 @@ def gini(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "gini")
 
 
 def _gini_finish(cum: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    grp = cum.groupBy(*keys).agg(F.min(value).alias("_min"), F.sum("_c").alias("_n"))
+    grp = cum.groupBy(*keys).agg(F.min(value).alias("_gmin"), F.sum("_c").alias("_gtot"))
     if keys:
         per = cum.join(grp, keys)
     else:
         row = grp.first()
-        per = cum.withColumns({"_min": F.lit(row["_min"]), "_n": F.lit(row["_n"])})
-    x = (F.col(value).cast("double") - F.when(F.col("_min") < 0, F.col("_min")).otherwise(F.lit(0.0))) + F.lit(1e-7)
-    L = F.col("_cum") - F.col("_c")
-    per = per.withColumns({"_x": x, "_num": x * F.col("_c") * (2 * L + F.col("_c") + 1 - (F.col("_n") + 1))})
-    res = per.groupBy(*keys).agg((F.sum("_num") / (F.first("_n") * F.sum(F.col("_x") * F.col("_c")))).alias(out))
-    return res
+        per = cum.withColumns({"_gmin": F.lit(row["_gmin"]), "_gtot": F.lit(row["_gtot"])})
+    x = (F.col(value).cast("double") - F.when(F.col("_gmin") < 0, F.col("_gmin")).otherwise(F.lit(0.0))) + F.lit(1e-7)
+    lower = F.col("_cum") - F.col("_c")
+    per = per.withColumns({"_x": x, "_num": x * F.col("_c") * (2 * lower + F.col("_c") + 1 - (F.col("_gtot") + 1))})
+    return per.groupBy(*keys).agg(
+        F.try_divide(F.sum("_num"), F.first("_gtot") * F.sum(F.col("_x") * F.col("_c"))).alias(out))
 
 
 # --------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 # --------------------------------------------------------------------------
 
 def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_col: str | None = None,
-                     n_samples: int = 3, top: int = 5, exact: bool = True, salt_buckets: int = 64) -> DataFrame:
+                     n_samples: int = 5, top: int = 5, exact: bool = True, salt_buckets: int = 64) -> DataFrame:
     """Per cluster size, %, sample names, per-feature mean/median/min/max, % difference from the
     overall mean, the top features by absolute difference, and size/effort labels.
 
@@ -208,7 +208,7 @@ def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_
     per = per.join(overall, "feature")
     m, o = F.col("mean"), F.col("_overall")
     per = per.withColumn("pct_diff", F.when((m == 0) & (o == 0), F.lit(0.0))
-                         .when(o == 0, F.lit(math.inf)).otherwise((m - o) / F.abs(o) * 100.0))
+                         .when(o == 0, F.lit(math.inf)).otherwise(F.try_divide(m - o, o) * 100.0))
     rk = Window.partitionBy(cluster).orderBy(F.abs("pct_diff").desc_nulls_last(), "feature")
     per = per.withColumn("diff_rank", F.row_number().over(rk)).withColumn("is_top", F.col("diff_rank") <= top)
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
