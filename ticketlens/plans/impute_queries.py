@@ -83,7 +83,7 @@ def _task(spark, sf_dir):
 def q_apply_plan(spark, sf_dir):
     """Execute the I6 plan on the issue table (group fills by issue type), then drop rows missing required fields."""
     d = _task(spark, sf_dir).select("id", "issue_type", "priority_name", "created", "updated",
-                                    "resolution_time_hours", "inward_hours" if False else "age_days")
+                                    "resolution_time_hours", "age_days")
     plan = I.imputation_plan(S.column_profile(d))
     return I.apply_plan(d, plan, ["issue_type"], required=["issue_type", "created", "id"])
 
