@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import small_side
 
@@ -37,19 +38,19 @@ def with_buckets(df: DataFrame, keys: Sequence[str], value: Column, hot_rows: in
     if not hot_keys:
         return df.withColumn(out, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    vals = df.withColumn("_v", value.cast("double"))
+    vals = df.withColumn("_bv", value.cast("double"))
     if keys:
         hot_df = spark.createDataFrame(hot_keys, vals.select(*keys).schema)
         cut_rows = (vals.join(F.broadcast(hot_df), keys, "left_semi")
-                    .groupBy(*keys).agg(F.percentile_approx("_v", probs, 10_000).alias("_cuts")).collect())
+                    .groupBy(*keys).agg(F.percentile_approx("_bv", probs, 10_000).alias("_cuts")).collect())
         cuts = spark.createDataFrame([tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cut_rows],
-                                     vals.select(*keys).schema.add("_cuts", "array<double>"))
+                                     vals.select(*keys).schema.add("_cuts", T.ArrayType(T.DoubleType())))
         b = vals.join(F.broadcast(cuts), keys, "left")
     else:
-        cut = sorted(set(vals.agg(F.percentile_approx("_v", probs, 10_000)).first()[0] or []))
+        cut = sorted(set(vals.agg(F.percentile_approx("_bv", probs, 10_000)).first()[0] or []))
         b = vals.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in cut]).cast("array<double>"))
-    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
-    return b.withColumn(out, bucket).drop("_cuts", "_v")
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_bv"))), F.lit(0))
+    return b.withColumn(out, bucket).drop("_cuts", "_bv")
 
 
 def row_number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -94,3 +95,40 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "_a
     cum = cumulative_sum_in_groups(pre, keys, value, "_n", "_cum", hot_rows)
     cum = cum.withColumn(out, (F.col("_cum") - F.col("_n")) + (F.col("_n") + 1) / 2.0)
     return df.join(cum.select(*keys, value, out), [*keys, value], "left")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str | Column, probs: Sequence[float],
+                    out: str = "quantiles", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) per group, skew-safe.
+
+    Spark's exact ``percentile`` aggregate keeps a value->count map per group
+    and merges it in one task, which does not bound a hot or global group.
+    Here rows are reduced to (group, value, count), running counts come from
+    the bucketed running sum, and each quantile reads the two values whose
+    rank ranges contain floor/ceil of (n-1)·p, with conditional aggregates.
+    Returns one row per group: keys + ``out`` (array<double>, one per prob).
+    """
+    keys = list(keys)
+    v = (F.col(col) if isinstance(col, str) else col).cast("double")
+    pre = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")) \
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cum = cumulative_sum_in_groups(pre, keys, "_v", "_n", "_cum", hot_rows)
+    tot = pre.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    if keys:
+        j = cum.join(small_side(tot), keys)
+    else:
+        n_all = tot.first()
+        j = cum.withColumn("_total", F.lit(n_all["_total"] if n_all else 0).cast("long"))
+    aggs = [F.max("_total").alias("_total")]
+    for i, p in enumerate(probs):
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        for tag, r in (("lo", F.floor(h) + 1), ("hi", F.ceil(h) + 1)):
+            hit = (F.col("_cum") - F.col("_n") < r) & (r <= F.col("_cum"))
+            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+    res = j.groupBy(*keys).agg(*aggs)
+    qs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_total") - 1) * F.lit(float(p))
+        frac = h - F.floor(h)
+        qs.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
+    return res.select(*keys, F.array(*qs).alias(out))

@@ -76,3 +76,29 @@ def is_finite(col: str | Column) -> Column:
 def finite_or_null(col: str | Column) -> Column:
     c = _c(col)
     return F.when(is_finite(c), c)
+
+
+def group_quantiles(df, keys, col: str | Column, probs: Sequence[float], exact: bool = True,
+                    out: str = "quantiles"):
+    """Quantiles per group as a DataFrame (keys + array<double>).
+
+    exact=True uses the distributed exact path (skew-safe, see
+    ``functions.ranking.exact_quantiles``); exact=False the mergeable sketch.
+    """
+    from .ranking import exact_quantiles
+
+    keys = list(keys)
+    if exact:
+        return exact_quantiles(df, keys, col, probs, out)
+    return df.groupBy(*keys).agg(quantiles(col, probs, False).alias(out))
+
+
+def column_quantiles(df, cols: Sequence[str], probs: Sequence[float], exact: bool = True) -> dict:
+    """Quantiles of many columns in one distributed pass: {column: [q...]} (None when a column is all null)."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot([], cols, "_column", "_value")
+    rows = group_quantiles(long, ["_column"], "_value", probs, exact).collect()
+    got = {r["_column"]: r["quantiles"] for r in rows}
+    return {c: got.get(c) for c in cols}

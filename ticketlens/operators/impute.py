@@ -22,7 +22,9 @@ from .columns import column_stats, numeric_columns, q, string_columns
 
 
 def _median_values(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
-    return column_stats(df, {c: median(q(c), exact) for c in cols}) if cols else {}
+    from ..functions.stats import column_quantiles
+
+    return {c: (v[0] if v else None) for c, v in column_quantiles(df, cols, [0.5], exact).items()}
 
 
 def _mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
@@ -58,7 +60,9 @@ def impute_mode(df: DataFrame, cols: Sequence[str], default: str = "Unknown") ->
 def impute_group_median(df: DataFrame, col: str, keys: Sequence[str], exact: bool = True) -> DataFrame:
     """Group median, then the overall median of the partly filled column for what is left."""
     keys = list(keys)
-    gm = df.groupBy(*keys).agg(median(col, exact).alias("_gm"))
+    from ..functions.stats import group_quantiles
+
+    gm = group_quantiles(df, keys, col, [0.5], exact, "_gq").select(*keys, F.col("_gq")[0].alias("_gm"))
     filled = (df.join(small_side(gm), keys, "left")
               .withColumn(col, F.coalesce(F.col(col), F.col("_gm"))).drop("_gm"))
     overall = _median_values(filled, [col], exact).get(col)
@@ -145,11 +149,11 @@ def fill_all(df: DataFrame, numeric=0, text: str = "Unknown") -> DataFrame:
 
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], mult: float = 1.5, exact: bool = True) -> DataFrame:
-    """Per column q1, median, q3 and the IQR fences (one aggregation, long form)."""
-    from ..functions.stats import quantiles
-    from .stats import _long_stats
+    """Per column q1, median, q3 and the IQR fences (one distributed quantile pass, long form)."""
+    from ..functions.stats import group_quantiles
 
-    out = _long_stats(df, list(cols), {"_q": lambda c: quantiles(q(c), [0.25, 0.5, 0.75], exact)})
+    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "_value")
+    out = group_quantiles(long, ["column"], "_value", [0.25, 0.5, 0.75], exact, "_q")
     iqr = F.col("_q")[2] - F.col("_q")[0]
     return out.select("column", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
                       (F.col("_q")[0] - mult * iqr).alias("lower"), (F.col("_q")[2] + mult * iqr).alias("upper"))
@@ -161,8 +165,8 @@ def iqr_cap(df: DataFrame, cols: Sequence[str] | None = None, mult: float = 1.5,
     b = {r["column"]: r for r in iqr_bounds(df, cols, mult, exact).collect()}
     exprs = {}
     for c in cols:
-        r = b[c]
-        if r["median"] is None:
+        r = b.get(c)
+        if r is None or r["median"] is None:
             continue
         v = F.coalesce(q(c).cast("double"), F.lit(r["median"]))
         exprs[c] = F.least(F.greatest(v, F.lit(r["lower"])), F.lit(r["upper"]))
@@ -186,8 +190,11 @@ def impute_unresolved_hours(df: DataFrame, hours: str, keys: Sequence[str], age_
     else ``default_hours``) x (1 + 0.1 * clip(age_days / 30, 0, 10)); log column recomputed."""
     keys = list(keys)
     res = F.col(hours).isNotNull() if resolved is None else resolved
-    gm = df.where(res).groupBy(*keys).agg(median(hours, exact).alias("_gm"))
-    glob = df.where(res).agg(median(hours, exact)).first()[0]
+    from ..functions.stats import column_quantiles, group_quantiles
+
+    resolved_rows = df.where(res)
+    gm = group_quantiles(resolved_rows, keys, hours, [0.5], exact, "_gq").select(*keys, F.col("_gq")[0].alias("_gm"))
+    glob = (column_quantiles(resolved_rows, [hours], [0.5], exact).get(hours) or [None])[0]
     factor = 1.0 + 0.1 * F.least(F.greatest(F.col(age_days) / 30.0, F.lit(0.0)), F.lit(10.0))
     base = F.coalesce(F.col("_gm"), F.lit(glob if glob is not None else default_hours))
     out = (df.join(small_side(gm), keys, "left")

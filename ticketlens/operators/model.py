@@ -102,13 +102,14 @@ def _attach(one_row: DataFrame, other_one_row: DataFrame) -> DataFrame:
 
 def more_metrics(pred: DataFrame, label: str, prediction: str = "prediction", exact: bool = True) -> DataFrame:
     """M5: median absolute error, MAPE with +1 in the denominator (%), MMRE with a 1e-10 floor skipping inf/nan."""
-    from ..functions.stats import median
+    from ..functions.stats import column_quantiles
 
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     ae = F.abs(y - p)
     mre = ae / F.greatest(F.abs(y), F.lit(1e-10))
     finite = ~F.isnan(mre) & (F.abs(mre) != F.lit(math.inf))
-    return pred.agg(median(ae, exact).alias("median_ae"),
+    med = (column_quantiles(pred.select(ae.alias("_ae")), ["_ae"], [0.5], exact).get("_ae") or [None])[0]
+    return pred.agg(F.lit(med).cast("double").alias("median_ae"),
                     (F.avg(ae / (F.abs(y) + 1.0)) * 100.0).alias("mape"),
                     F.avg(F.when(finite, mre)).alias("mmre"))
 
@@ -352,9 +353,11 @@ def score_tasks(df: DataFrame, model: PipelineModel, features: Sequence[str], ke
 def example_profiles(df: DataFrame, features: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
                      exact: bool = True) -> DataFrame:
     """One synthetic task per quantile level of the given features (quantiles in one aggregation)."""
-    from ..functions.stats import quantiles
+    from ..functions.stats import column_quantiles
 
-    qs = df.agg(*[quantiles(q(f), probs, exact).alias(f) for f in features])
+    got = column_quantiles(df, features, probs, exact)
+    qs = df.sparkSession.createDataFrame([tuple(got[f] for f in features)],
+                                         ", ".join(f"`{f}` array<double>" for f in features))
     rows = qs.select(F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "quantile"),
                      *[F.col(f"`{f}`") for f in features])
     return rows.select("quantile", *[F.col(f"`{f}`")[F.col("_i")].alias(f) for f in features])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -278,11 +279,13 @@ def count_links(df: DataFrame, repo: str = "repository", links: str = "fields.is
 
 
 def _has(df: DataFrame, path: str) -> bool:
-    try:
-        df.select(path)
-        return True
-    except Exception:  # noqa: BLE001 - analysis error means the path is absent
-        return False
+    """True when the dotted path exists in the schema (walks structs; no analysis error is raised)."""
+    dt: T.DataType = df.schema
+    for part in path.split("."):
+        if not isinstance(dt, T.StructType) or part not in dt.fieldNames():
+            return False
+        dt = dt[part].dataType
+    return True
 
 
 def count_changes(df: DataFrame, repo: str = "repository") -> DataFrame:
@@ -312,8 +315,6 @@ def embed_text(df: DataFrame, col: str = "text", out: str = "embedding", num_fea
     """
     src = df.withColumn("_txt", F.coalesce(F.col(col).cast("string"), F.lit("")))
     if encoder is not None:
-        import pandas as pd
-
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def _enc(s: pd.Series) -> pd.Series:
             return pd.Series([list(map(float, v)) for v in encoder(s)])

@@ -63,23 +63,39 @@ def born(df: DataFrame, created: str, repo: str = "repository",
     return ranked.where(F.col("_rn") == off + 1).select(repo, F.substring("_c", 1, 4).alias("born"))
 
 
+def _totals(docs: DataFrame, repo: str, epic: Column | None) -> DataFrame:
+    """Issues, Comments, Changes, subtasks and epic links per tracker in ONE aggregation (N16, N17, parts of N15)."""
+    changes = F.aggregate(F.coalesce(F.col("changelog.histories"), F.array()), F.lit(0),
+                          lambda a, h: a + F.size(h.getField("items")))
+    aggs = [F.count(F.lit(1)).alias("Issues"),
+            F.coalesce(F.sum(F.size("fields.comments")), F.lit(0)).cast("long").alias("Comments"),
+            F.coalesce(F.sum(changes), F.lit(0)).cast("long").alias("Changes")]
+    aggs.append(F.coalesce(F.sum(F.size("fields.subtasks")), F.lit(0)).cast("long").alias("_sub")
+                if N._has(docs, "fields.subtasks") else F.lit(0).cast("long").alias("_sub"))
+    aggs.append(F.count(epic).alias("_epic") if epic is not None else F.lit(0).cast("long").alias("_epic"))
+    return docs.groupBy(repo).agg(*aggs)
+
+
 def repository_profile(docs: DataFrame, issue_type_defs: DataFrame | None = None,
                        link_type_defs: DataFrame | None = None, repo: str = "repository",
                        born_skip: Mapping[str, int] | None = None, epic: Column | None = None) -> DataFrame:
     """A1: Born, Issues, DIT, UIT, Links, DLT, ULT, Changes, Ch/I, UP, Comments, Co/I per tracker.
 
+    One aggregation gives the per-tracker totals; the distinct counts (used
+    types, projects, link types, link ids) and Born are their own small
+    aggregations; all are joined on the tracker (a handful of rows each).
     Ch/I and Co/I are rounded half-to-even to whole numbers, like Python ``round``.
     """
     repos = docs.select(repo).distinct()
+    link_ids = (docs.select(repo, F.explode("fields.issuelinks.id").alias("_lid"))
+                .groupBy(repo).agg(F.countDistinct("_lid").alias("_links")))
     parts = [
+        _totals(docs, repo, epic),
+        link_ids,
         born(docs, "fields.created", repo, born_skip).withColumnRenamed("born", "Born"),
-        count_issues(docs, repo).withColumnRenamed("issues", "Issues"),
         N.distinct_types_used(docs, repo).withColumnRenamed("used_issue_types", "UIT"),
-        N.count_links(docs, repo, epic=epic).withColumnRenamed("links", "Links"),
         N.distinct_link_types(docs, repo).withColumnRenamed("used_link_types", "ULT"),
-        N.count_changes(docs, repo).withColumnRenamed("changes", "Changes"),
         N.distinct_projects(docs, repo).withColumnRenamed("used_projects", "UP"),
-        N.count_comments(docs, repo).withColumnRenamed("comments", "Comments"),
     ]
     if issue_type_defs is not None:
         parts.append(definitions_count(issue_type_defs, repos, repo, out="DIT"))
@@ -88,9 +104,11 @@ def repository_profile(docs: DataFrame, issue_type_defs: DataFrame | None = None
     out = repos
     for p in parts:
         out = out.join(p, repo, "left")
+    out = out.withColumn("Links", F.coalesce("_links", F.lit(0)) + F.col("_sub") + F.col("_epic")) \
+        .drop("_links", "_sub", "_epic")
     return out.withColumns({
-        "Ch/I": F.bround(F.col("Changes") / F.col("Issues"), 0).cast("long"),
-        "Co/I": F.bround(F.col("Comments") / F.col("Issues"), 0).cast("long"),
+        "Ch/I": F.bround(F.try_divide(F.col("Changes"), F.col("Issues")), 0).cast("long"),
+        "Co/I": F.bround(F.try_divide(F.col("Comments"), F.col("Issues")), 0).cast("long"),
     })
 
 

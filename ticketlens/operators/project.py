@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_parts, resolution_time_days, resolution_time_hours, seconds_between
 from ..functions.names import distinct_values, space_safe
-from ..functions.stats import entropy_log2, quantiles, safe_div, share_pct
+from ..functions.stats import entropy_log2, group_quantiles, safe_div, share_pct
 from ..sources.tables import small_side
 
 Keys = str | Sequence[str]
@@ -86,7 +86,6 @@ def _resolution_aggs(hours: str, exact: bool) -> list[Column]:
         F.sum(h).alias("total_resolution_hours"),
         F.when(n > 2, F.skewness(h)).alias("resolution_time_skewness"),
         F.when(n > 2, F.kurtosis(h)).alias("resolution_time_kurtosis"),
-        quantiles(h, [0.5, 0.25, 0.75, 0.9], exact).alias("_rq"),
         F.avg(F.when(h.isNotNull(), (h <= 24).cast("double"))).alias("_w24"),
         F.avg(F.when(h.isNotNull(), (h <= 168).cast("double"))).alias("_w168"),
         F.avg(F.when(h.isNotNull(), (h <= 720).cast("double"))).alias("_w720"),
@@ -107,13 +106,22 @@ def _resolution_post() -> dict[str, Column]:
 
 
 _RESOLUTION_TMP = ["_rq", "_w24", "_w168", "_w720"]
+RESOLUTION_PROBS = [0.5, 0.25, 0.75, 0.9]
+
+
+def _with_resolution_quantiles(out: DataFrame, d: DataFrame, keys: list[str], exact: bool) -> DataFrame:
+    """Join the per-project resolution quantiles (distributed exact by default) as ``_rq``."""
+    rq = group_quantiles(d, keys, "resolution_time_hours", RESOLUTION_PROBS, exact, "_rq")
+    return out.join(rq, keys, "left")
 
 
 def resolution_stats(df: DataFrame, key: Keys = "project_id", created: str = "created",
                      resolved: str = "resolutiondate", exact: bool = True) -> DataFrame:
     """mean/median/min/max/std/sum, biased skew+kurtosis (n>2), p25/p75/p90/IQR, % within 24h/week/month."""
     d = with_issue_times(df, created, resolved)
-    out = d.groupBy(*_keys(key)).agg(*_resolution_aggs("resolution_time_hours", exact))
+    keys = _keys(key)
+    out = d.groupBy(*keys).agg(*_resolution_aggs("resolution_time_hours", exact))
+    out = _with_resolution_quantiles(out, d, keys, exact)
     return out.withColumns(_resolution_post()).drop(*_RESOLUTION_TMP)
 
 
@@ -245,7 +253,7 @@ def dependency_stats(df: DataFrame, key: Keys = "project_id", inward: str = "inw
                      outward: str = "outward_count", exact: bool = True) -> DataFrame:
     """Link means/totals, % issues with inward above the project's own p75, link density."""
     keys = _keys(key)
-    thr = df.groupBy(*keys).agg(quantiles(inward, [0.75], exact)[0].alias("_p75"))
+    thr = group_quantiles(df, keys, inward, [0.75], exact, "_q").select(*keys, F.col("_q")[0].alias("_p75"))
     d = df.join(small_side(thr), keys)
     i, o = F.col(inward), F.col(outward)
     out = d.groupBy(*keys).agg(
@@ -395,9 +403,11 @@ def project_overview(df: DataFrame, key: Keys = "project_id", created: str = "cr
                      name_cols: Sequence[str] = ("project_name",), exact: bool = True) -> DataFrame:
     """A6 + A7 + A8 in one aggregation (the flagship)."""
     d = with_issue_times(df, created, resolved)
-    out = d.groupBy(*_keys(key)).agg(*_span_aggs(created, updated, resolved, name_cols),
-                                     *_resolution_aggs("resolution_time_hours", exact),
-                                     *_weekend_aggs(resolved))
+    keys = _keys(key)
+    out = d.groupBy(*keys).agg(*_span_aggs(created, updated, resolved, name_cols),
+                               *_resolution_aggs("resolution_time_hours", exact),
+                               *_weekend_aggs(resolved))
+    out = _with_resolution_quantiles(out, d, keys, exact)
     out = out.withColumns(_span_post(updated)).withColumns(_resolution_post()).withColumns(_weekend_post())
     return out.drop(*_RESOLUTION_TMP, "_res_we", "_res_n")
 
@@ -422,7 +432,7 @@ def project_features(df: DataFrame, key: Keys = "project_id", created: str = "cr
     if priority and issue_type:
         aggs += _matrix_aggs(priority, issue_type, resolved, pvals, tvals)
     aggs += _efficiency_aggs(issue_type, tvals)
-    out = d.groupBy(*keys).agg(*aggs)
+    out = _with_resolution_quantiles(d.groupBy(*keys).agg(*aggs), d, keys, exact)
     post = {**_span_post(updated), **_resolution_post(), **_weekend_post()}
     if priority:
         post.update(_priority_post(pvals, compat))

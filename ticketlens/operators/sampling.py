@@ -55,8 +55,10 @@ def average_rank_table(df: DataFrame, metrics: dict[str, bool], name: str = "mod
 
 def qcut_edges(df: DataFrame, col: str, q: int = 10) -> list[float]:
     """Exact quantile edges 0, 1/q, ..., 1 with duplicates dropped (one aggregation)."""
+    from ..functions.stats import column_quantiles
+
     probs = [i / q for i in range(q + 1)]
-    edges = df.agg(quantiles(col, probs, True)).first()[0] or []
+    edges = column_quantiles(df, [col], probs, True).get(col) or []
     out = []
     for e in edges:
         if not out or e != out[-1]:

@@ -37,7 +37,9 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard", exact
         st = column_stats(df, {f"{c}\u0000a": F.min(q(c)).cast("double") for c in cols} |
                           {f"{c}\u0000b": F.max(q(c)).cast("double") for c in cols})
     elif kind == "robust":
-        qs = column_stats(df, {c: quantiles(q(c), [0.25, 0.5, 0.75], exact) for c in cols})
+        from ..functions.stats import column_quantiles
+
+        qs = column_quantiles(df, cols, [0.25, 0.5, 0.75], exact)
         st = {}
         for c in cols:
             v = qs[c] or [None, None, None]

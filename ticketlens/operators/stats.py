@@ -115,17 +115,25 @@ def column_profile(df: DataFrame, drop_above_pct: float = 35.0) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Count, mean, sample std, min, exact quartiles, max of each numeric column (one row per column)."""
+    """Count, mean, sample std, min, exact quartiles, max of each numeric column (one row per column).
+
+    Moments come from one aggregation; the quartiles of all columns from one
+    distributed quantile pass over the unpivoted (column, value) table.
+    """
+    from ..functions.stats import group_quantiles
+
     cols = numeric_columns(df) if cols is None else list(cols)
     stats = {
         "count": lambda c: F.count(q(c)),
         "mean": lambda c: F.avg(q(c)),
         "std": lambda c: F.stddev_samp(q(c)),
         "min": lambda c: F.min(q(c)).cast("double"),
-        "q": lambda c: quantiles(q(c), [0.25, 0.5, 0.75], exact),
         "max": lambda c: F.max(q(c)).cast("double"),
     }
-    out = _long_stats(df, cols, stats)
+    moments = _long_stats(df, cols, stats)
+    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "_value")
+    qs = group_quantiles(long, ["column"], "_value", [0.25, 0.5, 0.75], exact, "q")
+    out = moments.join(qs, "column", "left")
     return out.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
                       F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
@@ -202,8 +210,12 @@ def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_
     total = df.count()
     long = df.select(cluster, *[q(f).cast("double").alias(f) for f in features]).unpivot(
         [cluster], list(features), "feature", "value")
-    per = long.groupBy(cluster, "feature").agg(F.avg("value").alias("mean"), median("value", exact).alias("median"),
-                                               F.min("value").alias("min"), F.max("value").alias("max"))
+    from ..functions.stats import group_quantiles
+
+    per = long.groupBy(cluster, "feature").agg(F.avg("value").alias("mean"), F.min("value").alias("min"),
+                                               F.max("value").alias("max"))
+    med = group_quantiles(long, [cluster, "feature"], "value", [0.5], exact, "_mq")
+    per = per.join(med.select(cluster, "feature", F.col("_mq")[0].alias("median")), [cluster, "feature"], "left")
     overall = long.groupBy("feature").agg(F.avg("value").alias("_overall"))
     per = per.join(overall, "feature")
     m, o = F.col("mean"), F.col("_overall")

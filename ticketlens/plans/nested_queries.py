@@ -334,7 +334,10 @@ LEFT JOIN com USING (repository) LEFT JOIN dit USING (repository) LEFT JOIN dlt
 
 
 def profile(spark, sf_dir):
-    return PR.repository_profile(docs(spark, sf_dir), issue_type_defs(spark, sf_dir),
+    from ..session import cut_lineage
+
+    # ten aggregations read the documents: build them once into the shared checkpoint folder
+    return PR.repository_profile(cut_lineage(docs(spark, sf_dir)), issue_type_defs(spark, sf_dir),
                                  link_type_defs(spark, sf_dir), born_skip=BORN_SKIP)
 
 
@@ -390,3 +393,31 @@ WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = i.id)
 def q_pending_comment_work(spark, sf_dir):
     """Issues still without comments created since the resume date, oldest first."""
     return SI.pending_comment_work(docs(spark, sf_dir), "1998-01-01")
+
+
+def hashing_encoder(dim: int = 64):
+    """A small per-batch text encoder (token hashing + L2 norm) for the pandas-UDF path of N18."""
+    import re as _re
+    import zlib
+
+    import numpy as np
+
+    def encode(texts):
+        out = []
+        for t in texts:
+            v = np.zeros(dim, dtype=np.float32)
+            for tok in _re.findall(r"\w+", t.lower()):
+                v[zlib.crc32(tok.encode("utf-8")) % dim] += 1.0  # stable across processes
+            n = float(np.linalg.norm(v))
+            out.append(v / n if n > 0 else v)
+        return out
+    return encode
+
+
+@register("X5_pandas_udf_embedding")
+def q_pandas_udf_embedding(spark, sf_dir):
+    """A vectorised (Arrow-batched) pandas UDF encodes every whole document text to a unit vector."""
+    d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = N.embed_text(d, "text", "embedding", encoder=hashing_encoder(64))
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))

@@ -40,14 +40,9 @@ def select_repositories(df: DataFrame, repos: Iterable[str] | None, known: Itera
 
 def project_fields(df: DataFrame, fields: Sequence[str] = NEEDED_FIELDS) -> DataFrame:
     """Keep only the listed (dotted) paths, named by their path; absent paths are skipped."""
-    cols = []
-    for f in fields:
-        try:
-            df.select(f)
-        except Exception:  # noqa: BLE001 - analysis error: the path does not exist
-            continue
-        cols.append(F.col(f).alias(f))
-    return df.select(*cols)
+    from ..operators.nested import _has
+
+    return df.select(*[F.col(f).alias(f) for f in fields if _has(df, f)])
 
 
 def filter_projects(df: DataFrame, projects: Iterable, col: str = "fields.project.id") -> DataFrame:
