@@ -143,3 +143,17 @@ def q_enrich_comments_stream(spark, sf_dir):
     base = TB.issues(spark, sf_dir).select("key", F.lit(None).cast(arrays.schema["comments"].dataType).alias("comments"))
     out = ST.enriched_view(base, log)
     return out.select("key", F.coalesce(F.size("comments"), F.lit(0)).alias("n_comments"))
+
+
+@register("S1_S3_read_issues_file", with_issues("""
+SELECT CAST(id AS VARCHAR) AS id, key, repository, priority_name AS "fields.priority.name",
+  CAST(project_id AS VARCHAR) AS "fields.project.id"
+FROM issues WHERE repository IN ('ASIA', 'EUROPE') AND project_id IN (8, 9, 12, 6, 7)""", ISSUES))
+def q_read_issues_file(spark, sf_dir):
+    """S1-S3 at the source: documents stored partitioned by tracker; tracker choice prunes partitions,
+    the field list prunes nested columns and the project filter runs at the scan."""
+    path = FS.scratch_path(spark, "issue-docs")
+    SI.append_issues(TB.issue_documents(spark, sf_dir), path)
+    return SI.read_issues(spark, path, repos=["ASIA", "EUROPE"],
+                          fields=["id", "key", "repository", "fields.priority.name", "fields.project.id"],
+                          projects=["8", "9", "12", "6", "7"])
