@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import reuse
 from ..sources.tables import small_side
 
 HOT_ROWS = 2_000_000
@@ -62,7 +63,7 @@ def row_number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Col
     """
     keys = list(keys)
     names = [f"_o{i}" for i in range(len(order))]
-    base = df.select("*", *[o.alias(n) for o, n in zip(order, names)])
+    base = reuse(df.select("*", *[o.alias(n) for o, n in zip(order, names)]))
     b = with_buckets(base, keys, F.col(names[0]), hot_rows, buckets)
     local = b.withColumn("_lr", F.row_number().over(
         Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(n) for n in names])))
@@ -77,7 +78,7 @@ def cumulative_sum_in_groups(df: DataFrame, keys: Sequence[str], order_col: str,
                              out: str, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """Inclusive running sum of ``value`` inside each group ordered by the (unique, numeric) ``order_col``."""
     keys = list(keys)
-    b = with_buckets(df, keys, F.col(order_col), hot_rows, buckets)
+    b = with_buckets(reuse(df), keys, F.col(order_col), hot_rows, buckets)
     local = b.withColumn("_ls", F.sum(value).over(
         Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
     tot = b.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_t"))
@@ -112,6 +113,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str | Column, probs
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
     pre = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")) \
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    pre = reuse(pre)
     cum = cumulative_sum_in_groups(pre, keys, "_v", "_n", "_cum", hot_rows)
     tot = pre.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:

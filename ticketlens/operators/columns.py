@@ -149,7 +149,11 @@ def one_hot_values(df: DataFrame, col: str, prefix: str, values: Sequence[str] |
 
     Values whose safe names collide are merged into one column (``isin``).
     """
-    values = distinct_values(df, col) if values is None else list(values)
+    if values is None:
+        from ..session import reuse
+
+        df = reuse(df)
+        values = distinct_values(df, col)
     groups: dict[str, list[str]] = {}
     for v in values:
         groups.setdefault(prefix + dummy_safe(v), []).append(v)
@@ -180,7 +184,10 @@ def one_hot_fixed(df: DataFrame, type_col: str = "fields.issuetype.name",
 
 def get_dummies(df: DataFrame, cols: Sequence[str] | None = None, drop_first: bool = True) -> DataFrame:
     """one-hot of string columns (levels sorted, the first dropped); the source column is removed."""
+    from ..session import reuse
+
     cols = string_columns(df) if cols is None else list(cols)
+    df = reuse(df)
     out = df
     for c in cols:
         levels = distinct_values(df, c)

@@ -85,7 +85,10 @@ def evaluate(pred: DataFrame, label: str, prediction: str = "prediction", log_sp
     """
     y = F.expm1(label) if log_space else F.col(label)
     p = F.expm1(prediction) if log_space else F.col(prediction)
-    d = pred.select(y.cast("double").alias("_y"), p.cast("double").alias("_p")).where("_y IS NOT NULL AND _p IS NOT NULL")
+    from ..session import reuse
+
+    d = reuse(pred.select(y.cast("double").alias("_y"), p.cast("double").alias("_p"))
+              .where("_y IS NOT NULL AND _p IS NOT NULL"))
     err = F.col("_y") - F.col("_p")
     base = d.agg(F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
                  F.sum(err * err).alias("_sse"), F.var_pop("_y").alias("_vy"), F.count(F.lit(1)).alias("_n"))

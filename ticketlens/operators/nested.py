@@ -98,7 +98,11 @@ def collect_history(changes: DataFrame, key: str = "issue_key",
 def changelog_counts(changes: DataFrame, key: str = "issue_key", field: str = "field",
                      values: Sequence[str] | None = None) -> DataFrame:
     """One ``changelog_count_<field>`` column per field; 0 where the issue has other changes."""
-    values = distinct_values(changes, field) if values is None else list(values)
+    if values is None:
+        from ..session import reuse
+
+        changes = reuse(changes)
+        values = distinct_values(changes, field)
     aggs = [F.count(F.when(F.col(field) == v, 1)).alias(f"changelog_count_{v}") for v in values]
     return changes.groupBy(key).agg(*aggs)
 
@@ -121,6 +125,9 @@ def link_features(df: DataFrame, links: str = "fields.issuelinks", key: str = "i
     """
     arr = F.col(links)
     if values is None:
+        from ..session import reuse
+
+        df = reuse(df)  # two passes (type names, then counts): build the input once
         types = df.select(F.explode(arr).alias("l")).select(link_type_name(F.col("l")).alias("t"))
         values = distinct_values(types, "t")
     if not compat:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_parts, resolution_time_days, resolution_time_hours, seconds_between
 from ..functions.names import distinct_values, space_safe
 from ..functions.stats import entropy_log2, group_quantiles, safe_div, share_pct
+from ..session import reuse
 from ..sources.tables import small_side
 
 Keys = str | Sequence[str]
@@ -118,8 +119,8 @@ def _with_resolution_quantiles(out: DataFrame, d: DataFrame, keys: list[str], ex
 def resolution_stats(df: DataFrame, key: Keys = "project_id", created: str = "created",
                      resolved: str = "resolutiondate", exact: bool = True) -> DataFrame:
     """mean/median/min/max/std/sum, biased skew+kurtosis (n>2), p25/p75/p90/IQR, % within 24h/week/month."""
-    d = with_issue_times(df, created, resolved)
     keys = _keys(key)
+    d = reuse(with_issue_times(df, created, resolved).select(*keys, "resolution_time_hours"))
     out = d.groupBy(*keys).agg(*_resolution_aggs("resolution_time_hours", exact))
     out = _with_resolution_quantiles(out, d, keys, exact)
     return out.withColumns(_resolution_post()).drop(*_RESOLUTION_TMP)
@@ -198,7 +199,9 @@ def _priority_post(values: Sequence[str], compat: bool) -> dict[str, Column]:
 def priority_mix(df: DataFrame, key: Keys = "project_id", priority: str = "priority_name",
                  values: Sequence[str] | None = None, compat: bool = False) -> DataFrame:
     """A10: count and % per priority; % over issues with a priority (``compat``: over all issues)."""
-    values = distinct_values(df, priority) if values is None else list(values)
+    if values is None:
+        df = reuse(df)
+        values = distinct_values(df, priority)
     out = df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("total_issues"), *_priority_aggs(priority, values))
     return out.withColumns(_priority_post(values, compat)).drop("_prio_n", "total_issues")
 
@@ -216,7 +219,9 @@ def _type_post(values: Sequence[str]) -> dict[str, Column]:
 def type_mix(df: DataFrame, key: Keys = "project_id", issue_type: str = "issue_type",
              values: Sequence[str] | None = None) -> DataFrame:
     """Count and % (over all issues) per issue type."""
-    values = distinct_values(df, issue_type) if values is None else list(values)
+    if values is None:
+        df = reuse(df)
+        values = distinct_values(df, issue_type)
     out = df.groupBy(*_keys(key)).agg(F.count(F.lit(1)).alias("total_issues"), *_type_aggs(issue_type, values))
     return out.withColumns(_type_post(values)).drop("total_issues")
 
@@ -239,7 +244,7 @@ def priority_type_matrix(df: DataFrame, key: Keys = "project_id", priority: str
                          resolved: str = "resolutiondate", pvals: Sequence[str] | None = None,
                          tvals: Sequence[str] | None = None) -> DataFrame:
     """Per (priority, type) with resolved issues: count and mean resolution hours."""
-    d = with_issue_times(df, created, resolved)
+    d = reuse(with_issue_times(df, created, resolved))
     pvals = distinct_values(d, priority) if pvals is None else list(pvals)
     tvals = distinct_values(d, issue_type) if tvals is None else list(tvals)
     return d.groupBy(*_keys(key)).agg(*_matrix_aggs(priority, issue_type, resolved, pvals, tvals))
@@ -253,6 +258,7 @@ def dependency_stats(df: DataFrame, key: Keys = "project_id", inward: str = "inw
                      outward: str = "outward_count", exact: bool = True) -> DataFrame:
     """Link means/totals, % issues with inward above the project's own p75, link density."""
     keys = _keys(key)
+    df = reuse(df.select(*keys, inward, outward))
     thr = group_quantiles(df, keys, inward, [0.75], exact, "_q").select(*keys, F.col("_q")[0].alias("_p75"))
     d = df.join(small_side(thr), keys)
     i, o = F.col(inward), F.col(outward)
@@ -297,6 +303,7 @@ def resolution_efficiency(df: DataFrame, key: Keys = "project_id", created: str
     """Resolved count and %, resolved per day of duration, per-type resolved %."""
     d = with_issue_times(df, created, resolved)
     if issue_type and tvals is None:
+        d = reuse(d)
         tvals = distinct_values(d, issue_type)
     tvals = list(tvals or [])
     out = d.groupBy(*_keys(key)).agg(*_span_aggs(created, updated, resolved, []),
@@ -402,8 +409,10 @@ def project_overview(df: DataFrame, key: Keys = "project_id", created: str = "cr
                      updated: str | None = "updated", resolved: str = "resolutiondate",
                      name_cols: Sequence[str] = ("project_name",), exact: bool = True) -> DataFrame:
     """A6 + A7 + A8 in one aggregation (the flagship)."""
-    d = with_issue_times(df, created, resolved)
     keys = _keys(key)
+    need = [*keys, *name_cols, created, resolved, "resolution_time_hours", "created_day_of_week",
+            "resolved_day_of_week"] + ([updated] if updated else [])
+    d = reuse(with_issue_times(df, created, resolved).select(*dict.fromkeys(need)))
     out = d.groupBy(*keys).agg(*_span_aggs(created, updated, resolved, name_cols),
                                *_resolution_aggs("resolution_time_hours", exact),
                                *_weekend_aggs(resolved))
@@ -419,7 +428,7 @@ def project_features(df: DataFrame, key: Keys = "project_id", created: str = "cr
                      exact: bool = True, compat: bool = False, derived_kwargs: dict | None = None) -> DataFrame:
     """Full project table: A6-A14 (one main aggregation + A9 + A13), then A15."""
     keys = _keys(key)
-    d = with_issue_times(df, created, resolved)
+    d = reuse(with_issue_times(df, created, resolved))
     pvals = distinct_values(d, priority) if priority else []
     tvals = distinct_values(d, issue_type) if issue_type else []
     aggs = [*_span_aggs(created, updated, resolved, name_cols),

@@ -122,7 +122,10 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
     """
     from ..functions.stats import group_quantiles
 
+    from ..session import reuse
+
     cols = numeric_columns(df) if cols is None else list(cols)
+    df = reuse(df.select(*[q(c) for c in cols]))
     stats = {
         "count": lambda c: F.count(q(c)),
         "mean": lambda c: F.avg(q(c)),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import entropy_log2, safe_div
+from ..session import reuse
 from .columns import numeric_columns, q
 from .stats import gini
 
@@ -39,6 +40,7 @@ def team_metrics(issues: DataFrame, key: str = "project_id", creator: str = "cre
     bug/feature are matched by exact value (the reference compares to 'bug' and
     'feature'); pass the tracker's spelling.
     """
+    issues = reuse(issues)
     cols = set(issues.columns)
     has = lambda c: c is not None and c in cols
     is_bug = F.col(issue_type) == bug_type if has(issue_type) else F.lit(False)

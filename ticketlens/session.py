@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    The written table survives executor loss, cuts the lineage, and - being
+    columnar - lets each consumer read only the columns it needs. Column names
+    parquet cannot store fall back to Spark's reliable ``checkpoint()``.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/ticketlens-tables/{uuid.uuid4().hex}"
+    if any(ch in c for c in df.columns for ch in " ,;{}()\n\t="):
+        return df.checkpoint(eager=True)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+# Plan nodes that make recomputing a frame cost more than re-reading it.
+_EXPENSIVE = ("Join", "Aggregate", "Window", "Generate", "Expand", "Sort")
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Frame read by several branches of one plan: materialise it once when it is more than a scan.
+
+    A bare scan (with filters/projections) is returned as is - re-reading
+    pruned parquet is cheap. Anything with joins, aggregations or windows is
+    checkpointed into the shared checkpoint folder, so every consumer reads
+    the written result instead of recomputing the joins, and the lineage is
+    cut (a lost executor re-reads the checkpoint, not the whole upstream).
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(tok in plan for tok in _EXPENSIVE):
+        return cut_lineage(df)
+    return df
