@@ -157,3 +157,26 @@ def test_splits_are_disjoint_and_complete(spark):
     df = spark.range(0, 1000)
     s = W.random_split(df, [0.8, 0.2], "id")
     assert s.count() == 1000 and set(r[0] for r in s.select("split").distinct().collect()) == {0, 1}
+
+
+def test_first_k_per_group_both_paths(spark):
+    from pyspark.sql import Window
+
+    from ticketlens.functions.ranking import first_k_per_group
+
+    df = spark.range(0, 2000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 7919) % 997).alias("v"), "id")
+    ref = (df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+           .where("r <= 3").select("g", "id", "r").collect())
+    few = first_k_per_group(df, ["g"], [F.col("v"), F.col("id")], 3, "r").select("g", "id", "r").collect()
+    many = first_k_per_group(df, ["g"], [F.col("v"), F.col("id")], 3, "r", max_groups=2, salt_buckets=16) \
+        .select("g", "id", "r").collect()
+    assert sorted(ref) == sorted(few) == sorted(many)
+
+
+def test_exact_quantiles_hot_path_matches_percentile(spark):
+    from ticketlens.functions.ranking import exact_quantiles
+
+    df = spark.range(0, 5000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 31) % 1013).cast("double").alias("x"))
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("q")).collect()}
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "x", [0.1, 0.5, 0.9], hot_rows=500).collect()}
+    assert all(all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k])) for k in want)

@@ -134,3 +134,33 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str | Column, probs
         frac = h - F.floor(h)
         qs.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
     return res.select(*keys, F.array(*qs).alias(out))
+
+
+def first_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "_r",
+                      max_groups: int = 256, salt_buckets: int = 256) -> DataFrame:
+    """The first ``k`` rows of each group in ``order`` with their 1-based position in ``out``.
+
+    Few groups (trackers, clusters): one ``orderBy(...).limit(k)`` per group -
+    Spark keeps a k-row heap per task and merges partitions x k rows, so a hot
+    group never sorts in one task. Many groups: a salted two-stage top-k
+    (k rows per (group, salt) first, then k per group from those candidates).
+    """
+    keys = list(keys)
+    groups = df.select(*keys).distinct().limit(max_groups + 1).collect() if keys else [()]
+    if len(groups) <= max_groups:
+        parts = []
+        for g in groups:
+            cond = F.lit(True)
+            for kname, v in zip(keys, g):
+                cond = cond & (F.col(kname).eqNullSafe(F.lit(v)))
+            parts.append(df.where(cond).orderBy(*order).limit(k))
+        cand = parts[0]
+        for p in parts[1:]:
+            cand = cand.unionByName(p)
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+        cand = (df.withColumn("_salt", salt)
+                .withColumn("_r0", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
+                .where(F.col("_r0") <= k).drop("_salt", "_r0"))
+    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
+    return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

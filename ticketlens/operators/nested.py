@@ -123,11 +123,14 @@ def link_features(df: DataFrame, links: str = "fields.issuelinks", key: str = "i
     issue lacks gets 0 and case variants are added together. ``compat=True``:
     absent types stay null and of two case variants the one seen last wins.
     """
-    arr = F.col(links)
     if values is None:
         from ..session import reuse
 
-        df = reuse(df)  # two passes (type names, then counts): build the input once
+        # two passes (type names, then counts): materialise only the key and the link array, once
+        df = reuse(df.select(F.col(_q(key)), F.col(links).alias("_links")))
+        links = "_links"
+    arr = F.col(links)
+    if values is None:
         types = df.select(F.explode(arr).alias("l")).select(link_type_name(F.col("l")).alias("t"))
         values = distinct_values(types, "t")
     if not compat:

@@ -49,17 +49,21 @@ def born(df: DataFrame, created: str, repo: str = "repository",
          skip: Mapping[str, int] | None = None) -> DataFrame:
     """A3: year (first 4 characters) of the earliest ``created`` text after skipping known-bad rows.
 
-    ``skip`` maps tracker -> number of earliest rows to ignore. Ranking uses a
-    window per tracker ordered by the created text; only the rank needed per
-    tracker survives, so the result is one row per tracker.
+    ``skip`` maps tracker -> number of earliest rows to ignore. Only the first
+    max(skip)+1 created values per tracker are kept (a bounded top-k per
+    tracker, never a sort of a whole tracker in one task); the result is one
+    row per tracker.
     """
+    from ..functions.ranking import first_k_per_group
+
     skip = dict(skip or {})
     off = F.lit(0)
     for r, n in skip.items():
         off = F.when(F.col(repo) == r, F.lit(int(n))).otherwise(off)
     c = F.col(created).cast("string")
-    ranked = (df.select(F.col(repo), c.alias("_c")).where(F.col("_c").isNotNull())
-              .withColumn("_rn", F.row_number().over(Window.partitionBy(repo).orderBy("_c"))))
+    src = df.select(F.col(repo), c.alias("_c")).where(F.col("_c").isNotNull())
+    k = max([0, *skip.values()]) + 1
+    ranked = first_k_per_group(src, [repo], [F.col("_c")], k, "_rn")
     return ranked.where(F.col("_rn") == off + 1).select(repo, F.substring("_c", 1, 4).alias("born"))
 
 
@@ -76,6 +80,25 @@ def _totals(docs: DataFrame, repo: str, epic: Column | None) -> DataFrame:
     return docs.groupBy(repo).agg(*aggs)
 
 
+def profile_projection(docs: DataFrame, repo: str = "repository") -> DataFrame:
+    """The document paths the profile reads, in the same nested shape (comment bodies, change values
+    and other fields dropped), so materialising the documents once stays small."""
+    f = F.col("fields")
+    links = F.transform(f.getField("issuelinks"), lambda l: F.struct(
+        l.getField("id").alias("id"), F.struct(l.getField("type").getField("name").alias("name")).alias("type")))
+    comments = F.transform(f.getField("comments"), lambda c: F.struct(c.getField("author").getField("name").alias("author")))
+    hist = F.transform(F.col("changelog.histories"), lambda h: F.struct(F.transform(
+        h.getField("items"), lambda i: F.struct(i.getField("field").alias("field"),
+                                                i.getField("fromString").alias("fromString"))).alias("items")))
+    fields = [f.getField("created").alias("created"),
+              F.struct(f.getField("issuetype").getField("name").alias("name")).alias("issuetype"),
+              F.struct(f.getField("project").getField("name").alias("name")).alias("project"),
+              links.alias("issuelinks"), comments.alias("comments")]
+    if N._has(docs, "fields.subtasks"):
+        fields.append(f.getField("subtasks").alias("subtasks"))
+    return docs.select(F.col(repo), F.struct(*fields).alias("fields"), F.struct(hist.alias("histories")).alias("changelog"))
+
+
 def repository_profile(docs: DataFrame, issue_type_defs: DataFrame | None = None,
                        link_type_defs: DataFrame | None = None, repo: str = "repository",
                        born_skip: Mapping[str, int] | None = None, epic: Column | None = None) -> DataFrame:
@@ -86,6 +109,10 @@ def repository_profile(docs: DataFrame, issue_type_defs: DataFrame | None = None
     aggregations; all are joined on the tracker (a handful of rows each).
     Ch/I and Co/I are rounded half-to-even to whole numbers, like Python ``round``.
     """
+    from ..session import reuse
+
+    # about ten aggregations read the documents: materialise the needed paths once
+    docs = reuse(profile_projection(docs, repo)) if epic is None else reuse(docs)
     repos = docs.select(repo).distinct()
     link_ids = (docs.select(repo, F.explode("fields.issuelinks.id").alias("_lid"))
                 .groupBy(repo).agg(F.countDistinct("_lid").alias("_links")))

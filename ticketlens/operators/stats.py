@@ -229,12 +229,10 @@ def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.withColumn("percentage", F.round(F.col("size") / F.lit(float(total)) * 100.0, 1))
     if name_col:
-        cand = (df.select(cluster, name_col, (F.abs(F.xxhash64(name_col)) % salt_buckets).alias("_salt"))
-                .withColumn("_r", F.row_number().over(Window.partitionBy(cluster, "_salt").orderBy(name_col)))
-                .where(F.col("_r") <= n_samples))
-        samples = (cand.withColumn("_r2", F.row_number().over(Window.partitionBy(cluster).orderBy(name_col)))
-                   .where(F.col("_r2") <= n_samples)
-                   .groupBy(cluster).agg(F.array_sort(F.collect_list(name_col)).alias("sample_projects")))
+        from ..functions.ranking import first_k_per_group
+
+        first = first_k_per_group(df.select(cluster, name_col), [cluster], [F.col(name_col)], n_samples, "_r")
+        samples = first.groupBy(cluster).agg(F.array_sort(F.collect_list(name_col)).alias("sample_projects"))
         sizes = sizes.join(samples, cluster, "left")
     return per.drop("_overall").join(sizes, cluster)
 
