@@ -27,6 +27,20 @@ BUCKETS = 128
 MAX_HOT_GROUPS = 4096
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group (one aggregation; 0 for an empty frame)."""
+    keys = list(keys)
+    if not keys:
+        return df.count()
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn")).agg(F.max("_gn")).first()
+    return int(row[0] or 0)
+
+
+def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """True when some group holds more than ``hot_rows`` rows."""
+    return largest_group(df, keys) > hot_rows
+
+
 def with_buckets(df: DataFrame, keys: Sequence[str], value: Column, hot_rows: int = HOT_ROWS,
                  buckets: int = BUCKETS, max_hot_groups: int = MAX_HOT_GROUPS, out: str = "_bkt") -> DataFrame:
     """Add ``out``: 0 for ordinary groups, the value's quantile bucket for the largest groups."""

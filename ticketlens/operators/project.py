@@ -110,8 +110,29 @@ _RESOLUTION_TMP = ["_rq", "_w24", "_w168", "_w720"]
 RESOLUTION_PROBS = [0.5, 0.25, 0.75, 0.9]
 
 
-def _with_resolution_quantiles(out: DataFrame, d: DataFrame, keys: list[str], exact: bool) -> DataFrame:
-    """Join the per-project resolution quantiles (distributed exact by default) as ``_rq``."""
+def _quantile_in_agg(d: DataFrame, keys: list[str], exact: bool) -> bool:
+    """Whether the resolution quantiles can be one more aggregate of the main pass.
+
+    True for the approximate sketch, and for the exact aggregate when no
+    project holds more than HOT_ROWS issues (its value->count buffer is then
+    bounded); otherwise the distributed exact path runs as a separate join.
+    """
+    from ..functions.ranking import has_hot_group
+
+    return (not exact) or not has_hot_group(d, keys)
+
+
+def _rq_agg(exact: bool) -> Column:
+    from ..functions.stats import quantiles
+
+    return quantiles("resolution_time_hours", RESOLUTION_PROBS, exact).alias("_rq")
+
+
+def _with_resolution_quantiles(out: DataFrame, d: DataFrame, keys: list[str], exact: bool,
+                               in_agg: bool = False) -> DataFrame:
+    """Join the per-project resolution quantiles as ``_rq`` unless they were computed in the main pass."""
+    if in_agg:
+        return out
     rq = group_quantiles(d, keys, "resolution_time_hours", RESOLUTION_PROBS, exact, "_rq")
     return out.join(rq, keys, "left")
 
@@ -121,8 +142,10 @@ def resolution_stats(df: DataFrame, key: Keys = "project_id", created: str = "cr
     """mean/median/min/max/std/sum, biased skew+kurtosis (n>2), p25/p75/p90/IQR, % within 24h/week/month."""
     keys = _keys(key)
     d = reuse(with_issue_times(df, created, resolved).select(*keys, "resolution_time_hours"))
-    out = d.groupBy(*keys).agg(*_resolution_aggs("resolution_time_hours", exact))
-    out = _with_resolution_quantiles(out, d, keys, exact)
+    in_agg = _quantile_in_agg(d, keys, exact)
+    extra = [_rq_agg(exact)] if in_agg else []
+    out = d.groupBy(*keys).agg(*_resolution_aggs("resolution_time_hours", exact), *extra)
+    out = _with_resolution_quantiles(out, d, keys, exact, in_agg)
     return out.withColumns(_resolution_post()).drop(*_RESOLUTION_TMP)
 
 
@@ -413,10 +436,12 @@ def project_overview(df: DataFrame, key: Keys = "project_id", created: str = "cr
     need = [*keys, *name_cols, created, resolved, "resolution_time_hours", "created_day_of_week",
             "resolved_day_of_week"] + ([updated] if updated else [])
     d = reuse(with_issue_times(df, created, resolved).select(*dict.fromkeys(need)))
+    in_agg = _quantile_in_agg(d, keys, exact)
+    extra = [_rq_agg(exact)] if in_agg else []
     out = d.groupBy(*keys).agg(*_span_aggs(created, updated, resolved, name_cols),
                                *_resolution_aggs("resolution_time_hours", exact),
-                               *_weekend_aggs(resolved))
-    out = _with_resolution_quantiles(out, d, keys, exact)
+                               *_weekend_aggs(resolved), *extra)
+    out = _with_resolution_quantiles(out, d, keys, exact, in_agg)
     out = out.withColumns(_span_post(updated)).withColumns(_resolution_post()).withColumns(_weekend_post())
     return out.drop(*_RESOLUTION_TMP, "_res_we", "_res_n")
 
@@ -441,7 +466,10 @@ def project_features(df: DataFrame, key: Keys = "project_id", created: str = "cr
     if priority and issue_type:
         aggs += _matrix_aggs(priority, issue_type, resolved, pvals, tvals)
     aggs += _efficiency_aggs(issue_type, tvals)
-    out = _with_resolution_quantiles(d.groupBy(*keys).agg(*aggs), d, keys, exact)
+    in_agg = _quantile_in_agg(d, keys, exact)
+    if in_agg:
+        aggs.append(_rq_agg(exact))
+    out = _with_resolution_quantiles(d.groupBy(*keys).agg(*aggs), d, keys, exact, in_agg)
     post = {**_span_post(updated), **_resolution_post(), **_weekend_post()}
     if priority:
         post.update(_priority_post(pvals, compat))
