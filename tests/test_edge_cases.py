@@ -180,3 +180,14 @@ def test_exact_quantiles_hot_path_matches_percentile(spark):
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", [0.1, 0.5, 0.9]).alias("q")).collect()}
     got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "x", [0.1, 0.5, 0.9], hot_rows=500).collect()}
     assert all(all(abs(a - b) < 1e-9 for a, b in zip(got[k], want[k])) for k in want)
+
+
+def test_batched_group_imputation_matches_single_column(spark):
+    from ticketlens.operators import impute as I
+
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", None, None), ("a", 3.0, "y"), ("b", None, None),
+                                ("b", 10.0, "z"), (None, None, None)], "g string, v double, t string")
+    one = I.impute_group_mode(I.impute_group_median(df, "v", ["g"]), "t", ["g"]).orderBy("g", "v", "t").collect()
+    many = I.impute_by_group(df, ["v"], ["t"], ["g"]).orderBy("g", "v", "t").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in many]
+    assert all(r["v"] is not None and r["t"] is not None for r in many)

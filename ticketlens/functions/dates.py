@@ -55,6 +55,12 @@ def to_utc_timestamp(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.withColumns({c: parse_utc_timestamp(F.col(f"`{c}`")) for c in present})
 
 
+def to_utc_ntz(col: str | Column) -> Column:
+    """A timestamp as its UTC wall-clock ``timestamp_ntz`` (independent of the session time zone)."""
+    c = _c(col)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def drop_invalid_dates(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """drop a row when ANY of the (present) date columns is null."""
     present = [c for c in cols if c in df.columns]
@@ -82,7 +88,9 @@ def age_days(created: str | Column, as_of: _dt.datetime | str) -> Column:
     """days from created to ``as_of`` (a parameter, never the wall clock)."""
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
-    return seconds_between(created, F.lit(as_of).cast("timestamp_ntz")) / F.lit(86400.0)
+    # a wall-clock literal built from text: independent of the session time zone
+    stamp = F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return seconds_between(created, stamp) / F.lit(86400.0)
 
 
 def calendar_parts(df: DataFrame, created: str = "created", resolved: str = "resolutiondate") -> DataFrame:

@@ -21,6 +21,17 @@ from ..sources.tables import small_side
 from .columns import column_stats, numeric_columns, q, string_columns
 
 
+def typed_lit(value, dtype: T.DataType) -> Column:
+    """A collected value turned back into a literal of the column's type.
+
+    Wall-clock timestamps go through their text form, so the literal does not
+    shift with the session or the Python process time zone.
+    """
+    if isinstance(dtype, T.TimestampNTZType) and hasattr(value, "isoformat"):
+        return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value).cast(dtype)
+
+
 def _median_values(df: DataFrame, cols: Sequence[str], exact: bool = True) -> dict:
     from ..functions.stats import column_quantiles
 
@@ -124,25 +135,62 @@ def apply_plan(df: DataFrame, plan: DataFrame, group_keys: Sequence[str], requir
                                for c in med if mv.get(c) is not None})
     if mod:
         out = impute_mode(out, mod)
-    for c, s in steps.items():
-        if c not in out.columns or c in group_keys:
-            continue
-        if s == "median_by_group" and isinstance(out.schema[c].dataType, T.NumericType):
-            out = impute_group_median(out, c, group_keys, exact)
-        elif s == "mode_by_group":
-            out = impute_group_mode(out, c, group_keys)
-        elif s == "new_category" and isinstance(out.schema[c].dataType, T.StringType):
-            out = impute_new_category(out, [c])
+    gmed = [c for c, s in steps.items() if s == "median_by_group" and c in out.columns and c not in group_keys
+            and isinstance(out.schema[c].dataType, T.NumericType)]
+    gmod = [c for c, s in steps.items() if s == "mode_by_group" and c in out.columns and c not in group_keys]
+    out = impute_by_group(out, gmed, gmod, list(group_keys), exact)
+    newcat = [c for c, s in steps.items() if s == "new_category" and c in out.columns
+              and isinstance(out.schema[c].dataType, T.StringType)]
+    if newcat:
+        out = impute_new_category(out, newcat)
     drop_rows = [c for c, s in steps.items() if s == "drop_rows" and c in out.columns]
     need = [c for c in list(required) + drop_rows if c in out.columns]
     return out.na.drop("any", subset=need) if need else out
 
 
+def impute_by_group(df: DataFrame, median_cols: Sequence[str], mode_cols: Sequence[str], keys: Sequence[str],
+                    exact: bool = True, default: str = "Unknown") -> DataFrame:
+    """I3 + I4 for many columns at once: every group median / mode in ONE grouped aggregation and one
+    join, then the overall median / mode of the partly filled columns for what is left.
+
+    When some group exceeds the hot-row bound the medians use the distributed
+    exact path column by column instead of the in-aggregate percentile.
+    """
+    from ..functions.ranking import has_hot_group
+    from ..session import reuse
+
+    keys = list(keys)
+    if not median_cols and not mode_cols:
+        return df
+    if median_cols and exact and has_hot_group(df, keys):
+        out = df
+        for c in median_cols:
+            out = impute_group_median(out, c, keys, exact)
+        for c in mode_cols:
+            out = impute_group_mode(out, c, keys, default)
+        return out
+    aggs = [median(q(c), exact).alias(f"_gmed_{i}") for i, c in enumerate(median_cols)]
+    aggs += [F.mode(q(c), True).alias(f"_gmod_{i}") for i, c in enumerate(mode_cols)]
+    g = df.groupBy(*keys).agg(*aggs)
+    filled = df.join(small_side(g), keys, "left")
+    exprs = {c: F.coalesce(q(c).cast("double"), F.col(f"_gmed_{i}")) for i, c in enumerate(median_cols)}
+    exprs.update({c: F.coalesce(q(c), F.col(f"_gmod_{i}")) for i, c in enumerate(mode_cols)})
+    filled = reuse(filled.withColumns(exprs).drop(*[f"_gmed_{i}" for i in range(len(median_cols))],
+                                                  *[f"_gmod_{i}" for i in range(len(mode_cols))]))
+    med = _median_values(filled, median_cols, exact)
+    mod = _mode_values(filled, mode_cols)
+    rest = {c: F.coalesce(q(c), F.lit(v).cast("double")) for c, v in med.items() if v is not None}
+    rest.update({c: F.coalesce(q(c), F.lit(mod.get(c) if mod.get(c) is not None else default)
+                                .cast(filled.schema[c].dataType)) for c in mode_cols})
+    return filled.withColumns(rest) if rest else filled
+
+
 def fill_all(df: DataFrame, numeric=0, text: str = "Unknown") -> DataFrame:
     """I8: numeric nulls -> 0, strings -> 'Unknown', columns named *date* -> that column's minimum."""
     dates = [c for c in df.columns if "date" in c.lower()]
     mins = column_stats(df, {c: F.min(q(c)) for c in dates}) if dates else {}
-    out = df.withColumns({c: F.coalesce(q(c), F.lit(v)) for c, v in mins.items() if v is not None}) if mins else df
+    out = df.withColumns({c: F.coalesce(q(c), typed_lit(v, df.schema[c].dataType))
+                          for c, v in mins.items() if v is not None}) if mins else df
     num = [c for c in numeric_columns(out) if c not in dates]
     txt = [c for c in string_columns(out) if c not in dates]
     return out.na.fill(numeric, subset=num).na.fill(text, subset=txt)

@@ -30,8 +30,9 @@ def q_parse_dates(spark, sf_dir):
     """F2 + F3: date text cleaned ('Missing'/blank -> null) and parsed to UTC timestamps."""
     d = flat_docs(spark, sf_dir)
     d = D.to_utc_timestamp(d, ["fields.created", "fields.updated", "fields.resolutiondate", "fields.absent"])
-    return d.select("id", F.col("`fields.created`").alias("created_ts"), F.col("`fields.updated`").alias("updated_ts"),
-                    F.col("`fields.resolutiondate`").alias("resolved_ts"))
+    return d.select("id", D.to_utc_ntz(F.col("`fields.created`")).alias("created_ts"),
+                    D.to_utc_ntz(F.col("`fields.updated`")).alias("updated_ts"),
+                    D.to_utc_ntz(F.col("`fields.resolutiondate`")).alias("resolved_ts"))
 
 
 @register("F4_drop_invalid_dates", with_issues("""
