@@ -191,3 +191,13 @@ def test_batched_group_imputation_matches_single_column(spark):
     many = I.impute_by_group(df, ["v"], ["t"], ["g"]).orderBy("g", "v", "t").collect()
     assert [tuple(r) for r in one] == [tuple(r) for r in many]
     assert all(r["v"] is not None and r["t"] is not None for r in many)
+
+
+def test_yeo_johnson_standardised(spark):
+    from ticketlens.operators import scale as SC
+
+    df = spark.range(1, 400).select(((F.col("id") * 37) % 101 + F.col("id") / 7.0).alias("x"))
+    out = SC.scale_yeo_johnson(df, ["x"]).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    assert abs(out["m"]) < 1e-9 and abs(out["s"] - 1.0) < 1e-6
+    lam = SC.fit_yeo_johnson(df, ["x"]).first()["lam"]
+    assert -2.0 <= lam <= 2.0

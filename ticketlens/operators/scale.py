@@ -156,19 +156,24 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -2.0, hi: fl
         .where(F.col("x").isNotNull())
     grids = {c: [lo + (hi - lo) * i / (steps - 1) for i in range(steps)] for c in cols}
     best: dict[str, float | None] = {c: None for c in cols}
+    last: dict[str, dict[float, tuple]] = {}
     width = (hi - lo) / (steps - 1)
     for _ in range(refinements + 1):
         table = _loglik_table(long, {c: g for c, g in grids.items() if g})
         for c in cols:
             if c in table:
                 best[c] = _best(table[c])
+                last[c] = table[c]
         width /= 10.0
         grids = {c: ([best[c] + width * (i - 10) for i in range(21)] if best[c] is not None else []) for c in cols}
-    fitted = column_stats(df, {f"{c}\u0000{k}": e for c in cols if best[c] is not None
-                               for k, e in (("m", F.avg(yeo_johnson(q(c).cast("double"), best[c]))),
-                                            ("s", F.stddev_pop(yeo_johnson(q(c).cast("double"), best[c]))))})
-    rows = [(c, "yeo_johnson", fitted.get(f"{c}\u0000m"), fitted.get(f"{c}\u0000s"), best[c]) for c in cols
-            if best[c] is not None]
+    rows = []
+    for c in cols:
+        if best[c] is None:
+            continue
+        # mean and population std of the transformed column, from the sums of the last pass at the chosen lambda
+        n, s1, s2, _ = last[c][best[c]]
+        mean = s1 / n
+        rows.append((c, "yeo_johnson", mean, math.sqrt(max(s2 / n - mean * mean, 0.0)), best[c]))
     return _params_df(df, rows)
 
 
@@ -207,30 +212,46 @@ def default_groups(cols: Sequence[str]) -> dict[str, list[str]]:
     return groups
 
 
-def fit_column_transformer(df: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]] | None = None
-                           ) -> DataFrame:
-    """I15 fit: one parameter table for every feature (kind by family; passthrough as 'remainder')."""
+def fit_column_transformer(df: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]] | None = None,
+                           exact: bool = True) -> DataFrame:
+    """I15 fit: one parameter table for every feature (kind by family; passthrough as 'remainder').
+
+    All moment-based parameters (standard: mean / population std, min-max:
+    min / max) come from one aggregation, the robust quartiles from one
+    quantile pass, and the Yeo-Johnson lambdas from the grid search.
+    """
+    from ..functions.stats import column_quantiles
+
     groups = default_groups(features) if groups is None else groups
     kind_of = {"time": "yeo_johnson", "pct": "minmax", "count": "standard", "stat": "robust", "link": "standard"}
-    parts = []
-    done = set()
+    plan: dict[str, tuple[str, str]] = {}
     for fam, cols in groups.items():
-        cols = [c for c in cols if c in features]
-        if not cols:
-            continue
-        p = fit_scaler(df, cols, kind_of[fam])
-        if fam == "link":
-            p = p.withColumn("kind", F.lit("standard"))
-        parts.append(p.withColumn("prefix", F.lit(LINK_PREFIX if fam == "link" else FAMILY_PREFIX[kind_of[fam]])))
-        done.update(cols)
-    rest = [c for c in features if c not in done]
-    if rest:
-        parts.append(df.sparkSession.createDataFrame([(c, "remainder", None, None, None, REMAINDER_PREFIX) for c in rest],
-                                                     PARAM_SCHEMA + ", prefix string"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for c in cols:
+            if c in features and c not in plan:
+                plan[c] = (kind_of[fam], LINK_PREFIX if fam == "link" else FAMILY_PREFIX[kind_of[fam]])
+    std = [c for c, (k, _) in plan.items() if k == "standard"]
+    mm = [c for c, (k, _) in plan.items() if k == "minmax"]
+    rob = [c for c, (k, _) in plan.items() if k == "robust"]
+    yj = [c for c, (k, _) in plan.items() if k == "yeo_johnson"]
+    exprs = {f"{c}\u0000a": F.avg(q(c)) for c in std} | {f"{c}\u0000b": F.stddev_pop(q(c)) for c in std}
+    exprs |= {f"{c}\u0000a": F.min(q(c)).cast("double") for c in mm} | {f"{c}\u0000b": F.max(q(c)).cast("double") for c in mm}
+    st = column_stats(df, exprs) if exprs else {}
+    qs = column_quantiles(df, rob, [0.25, 0.5, 0.75], exact) if rob else {}
+    lam = {r["column"]: r for r in fit_yeo_johnson(df, yj).collect()} if yj else {}
+    rows = []
+    for c, (k, prefix) in plan.items():
+        if k in ("standard", "minmax"):
+            rows.append((c, k, st.get(f"{c}\u0000a"), st.get(f"{c}\u0000b"), None, prefix))
+        elif k == "robust":
+            v = qs.get(c) or [None, None, None]
+            rows.append((c, k, v[1], (v[2] - v[0]) if v[0] is not None else None, None, prefix))
+        elif c in lam:
+            r = lam[c]
+            rows.append((c, k, r["p1"], r["p2"], r["lam"], prefix))
+        else:  # no usable lambda (e.g. all null): pass through
+            rows.append((c, "remainder", None, None, None, REMAINDER_PREFIX))
+    rows += [(c, "remainder", None, None, None, REMAINDER_PREFIX) for c in features if c not in plan]
+    return df.sparkSession.createDataFrame(rows, PARAM_SCHEMA + ", prefix string")
 
 
 def apply_column_transformer(df: DataFrame, params: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
