@@ -118,8 +118,9 @@ def q_estimation_ratio(spark, sf_dir):
 
 
 @register("F15_calendar_parts", """
-SELECT event_id, isodow(ts) - 1 AS created_day_of_week, hour(ts) AS created_hour, month(ts) AS created_month,
-  year(ts) AS created_year, CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS created_on_weekend FROM events""")
+SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS created_day_of_week, CAST(hour(ts) AS INTEGER) AS created_hour,
+  CAST(month(ts) AS INTEGER) AS created_month, CAST(year(ts) AS INTEGER) AS created_year,
+  CAST(isodow(ts) - 1 >= 5 AS INTEGER) AS created_on_weekend FROM events""")
 def q_calendar_parts(spark, sf_dir):
     """Monday=0 weekday, hour, month, year and weekend flag of event timestamps."""
     ev = T.read_table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("created"))
@@ -223,10 +224,10 @@ def q_drop_identifier_columns(spark, sf_dir):
 @register("F26_rule_effort_range", with_issues("""
 SELECT id, b * p * c * 0.7 AS min_hours, b * p * c AS typical_hours, b * p * c * 1.5 AS max_hours, b * p * c / 8.0 AS work_days
 FROM (SELECT id,
-  CASE lower(issue_type) WHEN 'bug' THEN 8.0 WHEN 'feature' THEN 24.0 WHEN 'improvement' THEN 16.0 ELSE 12.0 END AS b,
-  CASE lower(priority_name) WHEN 'critical' THEN 0.8 WHEN 'high' THEN 0.9 WHEN 'low' THEN 1.2 ELSE 1.0 END AS p,
-  CASE lower(CASE WHEN inward_count + outward_count > 5 THEN 'High' WHEN inward_count + outward_count < 2 THEN 'Low'
-       ELSE 'Medium' END) WHEN 'high' THEN 2.0 WHEN 'low' THEN 0.5 ELSE 1.0 END AS c FROM itl)""", ISSUES_TL))
+  CAST(CASE lower(issue_type) WHEN 'bug' THEN 8.0 WHEN 'feature' THEN 24.0 WHEN 'improvement' THEN 16.0 ELSE 12.0 END AS DOUBLE) AS b,
+  CAST(CASE lower(priority_name) WHEN 'critical' THEN 0.8 WHEN 'high' THEN 0.9 WHEN 'low' THEN 1.2 ELSE 1.0 END AS DOUBLE) AS p,
+  CAST(CASE lower(CASE WHEN inward_count + outward_count > 5 THEN 'High' WHEN inward_count + outward_count < 2 THEN 'Low'
+       ELSE 'Medium' END) WHEN 'high' THEN 2.0 WHEN 'low' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS c FROM itl)""", ISSUES_TL))
 def q_rule_effort_range(spark, sf_dir):
     """rule-based effort range per issue (complexity from link count: >5 High, <2 Low)."""
     d = issues_tl(spark, sf_dir)

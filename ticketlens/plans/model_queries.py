@@ -133,7 +133,7 @@ def q_compare(spark, sf_dir):
 
 @register("M15_example_profiles", with_issues(",\nq AS (SELECT " + ", ".join(
     f"quantile_cont({f}, [0.25, 0.5, 0.75]) AS {f}" for f in NUMERIC[:3]) + " FROM itl WHERE resolution_time_hours IS NOT NULL)\n"
-    + " UNION ALL ".join(f"SELECT {lv} AS quantile, " + ", ".join(f"{f}[{i + 1}] AS {f}" for f in NUMERIC[:3]) + " FROM q"
+    + " UNION ALL ".join(f"SELECT CAST({lv} AS DOUBLE) AS quantile, " + ", ".join(f"{f}[{i + 1}] AS {f}" for f in NUMERIC[:3]) + " FROM q"
                          for i, lv in enumerate([0.25, 0.5, 0.75])), ISSUES_TL))
 def q_example_profiles(spark, sf_dir):
     """Quartile profiles of the leading features as synthetic tasks."""

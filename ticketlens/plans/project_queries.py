@@ -84,7 +84,7 @@ def _matrix_agg() -> str:
 
 
 def _eff_agg() -> str:
-    parts = ["sum(is_resolved) AS num_resolved_issues"]
+    parts = ["CAST(sum(is_resolved) AS BIGINT) AS num_resolved_issues"]
     for t in SEGMENTS:
         parts.append(f"avg(CASE WHEN issue_type = '{t}' THEN CAST(is_resolved AS DOUBLE) END) * 100.0 "
                      f"AS {_qi(f'type_{space_safe(t)}_resolution_rate')}")

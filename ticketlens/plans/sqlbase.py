@@ -42,9 +42,10 @@ it AS (
     CASE WHEN resolutiondate IS NOT NULL AND {days('created', 'resolutiondate')} >= 0
          THEN {days('created', 'resolutiondate')} END AS resolution_time_days,
     CAST(resolutiondate IS NOT NULL AS INTEGER) AS is_resolved,
-    isodow(created) - 1 AS created_day_of_week, hour(created) AS created_hour,
-    month(created) AS created_month, year(created) AS created_year,
-    isodow(resolutiondate) - 1 AS resolved_day_of_week, hour(resolutiondate) AS resolved_hour
+    CAST(isodow(created) - 1 AS INTEGER) AS created_day_of_week, CAST(hour(created) AS INTEGER) AS created_hour,
+    CAST(month(created) AS INTEGER) AS created_month, CAST(year(created) AS INTEGER) AS created_year,
+    CAST(isodow(resolutiondate) - 1 AS INTEGER) AS resolved_day_of_week,
+    CAST(hour(resolutiondate) AS INTEGER) AS resolved_hour
   FROM issues)"""
 
 ISSUES_TL = ISSUES_T + "," + LINKCOUNTS + """,

@@ -120,7 +120,7 @@ _CREATOR_COLS = ["team_size_creators", "creator_workload_gini", "creator_diversi
 ov AS (SELECT project_id, count(*) AS total_issues, sum(resolution_time_hours) AS total_resolution_hours FROM it GROUP BY project_id),
 ts AS (SELECT tm.project_id, ov.total_issues, ov.total_resolution_hours,
          greatest({', '.join('CAST(tm.' + c + ' AS DOUBLE)' for c in _CREATOR_COLS)}) AS creator_count,
-         CAST(tm.team_size_assignees AS DOUBLE) AS assignee_count FROM tm JOIN ov ON tm.project_id = ov.project_id),
+         tm.team_size_assignees AS assignee_count FROM tm JOIN ov ON tm.project_id = ov.project_id),
 te AS (SELECT *, greatest(creator_count, assignee_count) AS team_size_estimate FROM ts)
 SELECT project_id, creator_count, assignee_count, team_size_estimate,
   total_issues / CASE WHEN team_size_estimate = 0 THEN 1 ELSE team_size_estimate END AS issues_per_team_member,
@@ -207,7 +207,8 @@ pd AS (SELECT per.*, CASE WHEN mean = 0 AND o = 0 THEN 0.0 WHEN o = 0 THEN 'inf'
 rk AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY abs(pct_diff) DESC NULLS LAST, feature) AS diff_rank FROM pd),
 sz AS (SELECT repository, count(*) AS size, round(count(*) / (SELECT count(*) FROM pf) * 100.0, 1) AS percentage,
          list_sort(list(project_name ORDER BY project_name)[1:5]) AS sample_projects FROM pf GROUP BY repository)
-SELECT rk.repository, rk.feature, rk.mean, rk.median, rk.min, rk.max, rk.pct_diff, rk.diff_rank, rk.diff_rank <= 5 AS is_top,
+SELECT rk.repository, rk.feature, rk.mean, rk.median, rk.min, rk.max, rk.pct_diff, CAST(rk.diff_rank AS INTEGER) AS diff_rank,
+  rk.diff_rank <= 5 AS is_top,
   sz.size, sz.percentage, sz.sample_projects
 FROM rk JOIN sz ON rk.repository = sz.repository"""))
 def q_cluster_profiles(spark, sf_dir):
@@ -265,7 +266,7 @@ t AS (SELECT *, sum(abs_corr) OVER (ORDER BY abs_corr DESC, feature ROWS BETWEEN
         / sum(abs_corr) OVER () AS cumulative,
         row_number() OVER (ORDER BY abs_corr DESC, feature) AS rank FROM c),
 p AS (SELECT *, coalesce(lag(cumulative) OVER (ORDER BY rank), 0.0) AS prev FROM t)
-SELECT feature, abs_corr AS importance, cumulative, rank FROM p WHERE prev < 0.9""")
+SELECT feature, abs_corr AS importance, cumulative, CAST(rank AS INTEGER) AS rank FROM p WHERE prev < 0.9""")
 def q_cumulative_importance(spark, sf_dir):
     """Running importance share; features up to 90 % plus the one crossing it."""
     imp = S.target_corr(matrix(spark, sf_dir), TARGET, FEATS).select("feature", F.col("abs_corr").alias("importance"))
