@@ -46,7 +46,7 @@ def baseline(train, test, keys, out="prediction"):
     """Mean training target of the same group; the global training mean where the group is unseen."""
     g = train.groupBy(*keys).agg(F.avg("y").alias("_gm"))
     glob = train.agg(F.avg("y")).first()[0]
-    return (test.join(F.broadcast(g), keys, "left")
+    return (test.join(T.small_side(g), keys, "left")
             .withColumn(out, F.coalesce(F.col("_gm"), F.lit(glob))).drop("_gm"))
 
 
