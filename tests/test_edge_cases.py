@@ -201,3 +201,22 @@ def test_yeo_johnson_standardised(spark):
     assert abs(out["m"]) < 1e-9 and abs(out["s"] - 1.0) < 1e-6
     lam = SC.fit_yeo_johnson(df, ["x"]).first()["lam"]
     assert -2.0 <= lam <= 2.0
+
+
+def test_group_without_median_uses_overall_of_partly_filled(spark):
+    from ticketlens.operators import impute as I
+
+    # group a: 1, 3 -> median 2 fills its null; group b is all null -> overall median of (1, 3, 2, 10) = 2.5
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("c", 10.0), ("b", None)], "g string, v double")
+    out = {(r["g"], i): r["v"] for i, r in enumerate(I.impute_group_median(df, "v", ["g"]).orderBy("g", "v").collect())}
+    vals = {g: v for (g, _), v in out.items()}
+    assert vals["b"] == 2.5
+    assert sorted(v for (g, _), v in out.items() if g == "a") == [1.0, 2.0, 3.0]
+
+
+def test_average_rank_ties(spark):
+    from ticketlens.operators.sampling import average_rank_table
+
+    m = spark.createDataFrame([("m1", 1.0), ("m2", 1.0), ("m3", 2.0)], "model string, err double")
+    got = {r["model"]: r["rank_err"] for r in average_rank_table(m, {"err": False}).collect()}
+    assert got == {"m1": 1.5, "m2": 1.5, "m3": 3.0}
