@@ -202,9 +202,17 @@ def select_projects(counts: DataFrame, target: int, project: str = "project_id",
     return chosen
 
 
-def fetch_projects(df: DataFrame, chosen: Sequence, project: str = "project_id") -> DataFrame:
-    """W8 second step: all issues of the chosen projects (semi join against the chosen ids)."""
-    ids = df.sparkSession.createDataFrame([(c,) for c in chosen], [project]) if chosen else None
-    if ids is None:
-        return df.limit(0)
+def fetch_projects(df: DataFrame, chosen: Sequence, project: str = "project_id", fallback_rows: int = 500,
+                   key: str | None = None, seed: int = 42) -> DataFrame:
+    """W8 second step: all issues of the chosen projects (semi join against the chosen ids).
+
+    The id list comes from the per-project count table, so its size is bounded
+    by the number of projects. When nothing was chosen, ``fallback_rows`` issues
+    in seeded hash order of ``key`` are returned instead (the reference takes a
+    random sample of that size).
+    """
+    if not chosen:
+        k = key or df.columns[0]
+        return df.orderBy(hash_order(F.col(k), seed, _is_integral(df, k)), F.col(k)).limit(fallback_rows)
+    ids = df.sparkSession.createDataFrame([(c,) for c in chosen], df.select(project).schema)
     return df.join(F.broadcast(ids), project, "left_semi")
