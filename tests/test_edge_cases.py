@@ -20,7 +20,7 @@ def test_flatten_changelog_no_history_and_no_key(spark):
     item = "struct<field:string,fieldtype:string,from:string,fromString:string,to:string,toString:string>"
     schema = f"id string, key string, changelog struct<histories: array<struct<id:string, author:struct<name:string>, created:string, items: array<{item}>>>>"
     rows = [("1", None, {"histories": [{"id": "h", "author": {"name": "a"}, "created": "2020",
-                                          "items": [{"field": "status", "fieldtype": "jira", "from": None,
+                                          "items": [{"field": "status", "fieldtype": "custom", "from": None,
                                                      "fromString": "Open", "to": None, "toString": "Done"}]}]}),
             ("2", "K-2", {"histories": []})]
     df = spark.createDataFrame(rows, schema)

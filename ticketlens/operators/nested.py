@@ -250,7 +250,7 @@ def distinct_with_history(df: DataFrame, final_col: str, field: str, repo: str =
                           out: str = "n") -> DataFrame:
     """Per repository, count of distinct values in final state ∪ fromString of changes on ``field``.
 
-    Null is not counted (Mongo's ``$addToSet`` would keep one null).
+    Null is not counted (a set accumulator in the source store would keep one null).
     """
     final = df.select(F.col(repo), F.col(final_col).alias("value"))
     both = final.unionByName(_changes_of_field(df, field, repo))

@@ -34,7 +34,7 @@ CHANGES_SQL = """,
 ch AS (
   SELECT i.key AS issue_key, strftime(e.ts, '%Y%m%d') AS history_id, 'system' AS author,
          min(e.ts) OVER (PARTITION BY e.user_id, strftime(e.ts, '%Y%m%d')) AS created,
-         e.event_type AS field, 'jira' AS fieldtype, CAST(NULL AS VARCHAR) AS "from",
+         e.event_type AS field, 'custom' AS fieldtype, CAST(NULL AS VARCHAR) AS "from",
          CAST(NULL AS VARCHAR) AS "fromString", CAST(e.value AS VARCHAR) AS "to", e.props AS "toString",
          i.repository
   FROM events e JOIN issues i ON i.id = e.user_id)"""

@@ -109,7 +109,7 @@ def changelog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("event_id"),
                      F.col("ts").alias("created"),
                      F.col("event_type").alias("field"),
-                     F.lit("jira").alias("fieldtype"),
+                     F.lit("custom").alias("fieldtype"),
                      F.col("props").alias("toString"),
                      F.col("value").cast("string").alias("to"))
 
