@@ -39,20 +39,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (tests, a laptop) a fresh scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset a
+    scratch folder is made for a local master only (tests, a laptop); on a
+    cluster that folder would lie on one machine's disk, so this raises.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        conf_dir = conf_dir.get() if conf_dir.isDefined() else None
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        conf_dir = held.get() if held.isDefined() else None
     if not conf_dir:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="ticketlens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def scratch_table_path(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder for one intermediate table."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ticketlens-tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
@@ -61,12 +69,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     parquet cannot store fall back to Spark's reliable ``checkpoint()``.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/ticketlens-tables/{uuid.uuid4().hex}"
+    path = scratch_table_path(spark)
     if any(ch in c for c in df.columns for ch in " ,;{}()\n\t="):
         return df.checkpoint(eager=True)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 # Plan nodes that make recomputing a frame cost more than re-reading it.
