@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketlens.sources.tables import read_table
 
-from . import byte_bpe, chat, license_scan, line_dedup, url_filter, warc
+from . import byte_bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, order_minhash, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,51 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page's response."""
     return warc.build_derivatives(warc.responses_of_pages(read_table(spark, sf_dir, "pages")))
+
+
+@query("op4_order_minhash")
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    near = order_minhash.edited_neighbours(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return near.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                       "near_edited", "near_next")
+
+
+@query("op9_ngram_join", r"""
+WITH RECURSIVE cut AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM cut),
+toks AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM toks a JOIN toks b ON a.t = b.t AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, r.c AS component_id FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON s.doc_id = r.x
+""")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of linked shingle sets."""
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"), num=85, den=100)
+
+
+@query("op7_decontamination", r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(len(w), 13) AS size, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2),
+                lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS g FROM iw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM wins),
+places AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS first, unnest(list_transform(range(1, len(w) - size + 2),
+                  lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g FROM dw, sizes WHERE len(w) >= size),
+occurs AS (SELECT p.doc_id, p.first, p.size, x.item_id FROM places p JOIN wins x ON p.size = x.size AND p.g = x.g),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(first, first + size)) AS pos FROM occurs) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occurs) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.s, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+FROM dw d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)
+""")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows."""
+    found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
