@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where they could not by themselves.
+
+    Workers find it in their working folder or on ``PYTHONPATH``; elsewhere the
+    package's sources are sent once a session as a py-file.
+    """
+    here = Path(__file__).resolve().parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    sc = spark.sparkContext
+    name = f"{here.name}-src.zip"
+    if any(x and Path(x).resolve() == here.parent for x in known) or name in getattr(sc, "_python_includes", []):
+        return
+    path = Path(tempfile.mkdtemp(prefix="ticketlens-src-")) / name
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    sc.addPyFile(str(path))
+
+
 def scratch_table_path(spark: SparkSession) -> str:
     """A new path below the shared checkpoint folder for one intermediate table."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ticketlens-tables/{uuid.uuid4().hex}"
