@@ -1,8 +1,82 @@
-"""Corpus pipeline (in work)."""
+"""Corpus pipeline: quality, repeated lines, near duplicates, benchmark passages, tokens.
+
+``STAGES`` are applied in order to ``documents``; each stage works on all that
+the one before kept and is written as Parquet before the next one reads it. All
+but the last return the columns of ``documents``.
+
+1. quality: documents that the co-trained classifier rejects go.
+2. lines: lines that ten documents at least hold go from every document;
+   ``n_chars`` follows the text. A document that loses all lines stays, empty.
+3. near_duplicates: of each component of linked documents the one with the
+   smallest id stays (rows of that id that repeat are the same document).
+4. decontamination: contaminated documents go.
+5. tokens: doc_id, n_tokens and ids of every document that is left.
+
+Empty tables pass through every stage. SQL cannot say the first stage, so there
+is no oracle; tests hold the stages against brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketlens.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
+from ticketlens.llm.queries import BPE_FILE, MIN_LINE_DOCS
+from ticketlens.session import cut_lineage, ship_package
+from ticketlens.sources.tables import read_table, small_side
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    judged = quality.classify(docs, read_table(spark, sf_dir, "labels"), docs.columns)
+    return judged.where("keep").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat across documents."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    kept = line_dedup.drop_repeated_lines(docs, others, min_docs=MIN_LINE_DOCS)
+    return kept.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each component of near duplicates."""
+    found = cut_lineage(ngram_join.jaccard_components(docs))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small_side(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark passages."""
+    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), docs.columns)
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text that is left."""
+    coder = byte_bpe.load(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return byte_bpe.encode_decode(docs, ["doc_id"], coder, outputs=("ids",))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_good),
+    ("lines", drop_lines),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_contaminated),
+    ("tokens", to_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next one reads it."""
+    ship_package(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

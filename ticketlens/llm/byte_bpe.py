@@ -205,25 +205,32 @@ class _Shared:
 ROWS_AT_ONCE = 256
 
 
-def encode_decode(docs: DataFrame, columns: list[str], coder, text: str = "text") -> DataFrame:
-    """``columns`` of every row, ``n_tokens``, ``ids_le`` (ids as little-endian unsigned 32-bit integers) and ``decoded`` (bytes).
-
-    Special tokens are never made: their strings are ordinary text. A null
-    text is the empty text, which has no ids. Equal rows each give a row; an
-    empty table gives an empty result; ``columns`` pass through as they are and
-    may not be named like the results.
+def encode_decode(docs: DataFrame, columns: list[str], coder, text: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``columns`` of every row, ``n_tokens``, and ``outputs``.
+
+    Outputs: ``ids`` (array), ``ids_le`` (ids as little-endian unsigned 32-bit
+    integers) and ``decoded`` (the bytes that the ids decode to). Special tokens
+    are never made: their strings are ordinary text. A null text is the empty
+    text, which has no ids. Equal rows each give a row; an empty table gives an
+    empty result; ``columns`` pass through as they are and may not be named like
+    the results.
     """
+    kinds = {"ids": "array<int>", "ids_le": "binary", "decoded": "binary"}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _coder(coder.value)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 b = whole.slice(at, ROWS_AT_ONCE)
                 ids = [bpe.encode(x) for x in b.column(b.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                     pa.array([bpe.decode(x) for x in ids], pa.binary())],
-                    [*b.schema.names[:-1], "n_tokens", "ids_le", "decoded"])
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                made = {"ids_le": lambda ids=ids: pa.array(ids, pa.binary()),
+                        "decoded": lambda ids=ids: pa.array([bpe.decode(x) for x in ids], pa.binary()),
+                        "ids": lambda ids=ids, sizes=sizes: pa.ListArray.from_arrays(
+                            pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))}
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes), *(made[x]() for x in outputs)],
+                                                 [*b.schema.names[:-1], "n_tokens", *outputs])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
     rows = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, fields + "n_tokens long, ids_le binary, decoded binary")
+    return rows.mapInArrow(run, fields + "n_tokens long" + "".join(f", {x} {kinds[x]}" for x in outputs))

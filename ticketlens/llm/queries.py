@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlens.session import ship_package
 from ticketlens.sources.tables import read_table
 
-from . import byte_bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, order_minhash, url_filter, warc
+from . import byte_bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, order_minhash, quality, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,13 +31,25 @@ URL_RULES = [
 
 def query(name: str, sql: str | None = None):
     def keep(build):
-        QUERIES[name] = build
+        @functools.wraps(build)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return build(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql:
             SQL[name] = sql
         return build
     return keep
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by the two co-trained views."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, ["doc_id"])
+
+
 @query("op2_line_dedup", r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
@@ -69,7 +83,7 @@ def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to ids and decoded again."""
     coder = byte_bpe.load(spark, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
-    coded = byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), ["doc_id"], coder)
+    coded = byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"), ["doc_id"], coder, outputs=("ids_le", "decoded"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
