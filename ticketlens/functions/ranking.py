@@ -1,14 +1,12 @@
-"""Exact ranks and running sums inside groups without putting a whole group into one task.
+"""Exact ranks, running sums and quantiles inside groups without putting a whole group into one task.
 
 A window ``partitionBy(group).orderBy(x)`` sends every row of a group to one
-task, so a group holding a third of the data becomes one straggler. Here a
-group larger than ``hot_rows`` is cut into value buckets first: cut points are
-approximate quantiles of the (numeric) leading order column, computed once in
-one aggregation and fetched (at most ``max_hot_groups`` x ``buckets`` numbers).
-The bucket of a row is then a pure function of its data, so every branch of
-the plan agrees on it. Rows are ranked inside (group, bucket) - bounded work
-per task - and a small per-(group, bucket) count table, cumulated in bucket
-order, turns local ranks into exact global ranks.
+task, so a group holding a third of the data becomes one straggler. Here rows
+are range-partitioned by (keys, order), which cuts a large group into as many
+parts as its rows need, and written once together with their part number. A
+part is ranked or summed by itself; the parts' totals, a row per (part, group),
+are cumulated in part order and shift the local results to the global ones.
+There is one path for every size, and a null key is a group like any other.
 """
 
 from __future__ import annotations
@@ -17,131 +15,99 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import reuse
+from ..session import cut_lineage
 from ..sources.tables import small_side
 
-HOT_ROWS = 2_000_000
-BUCKETS = 128
-MAX_HOT_GROUPS = 4096
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on equal keys, where null equals null; the key columns stay once.
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group (one aggregation; 0 for an empty frame)."""
+    Without keys ``right`` must be one row, which every row gets.
+    """
     keys = list(keys)
     if not keys:
-        return df.count()
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn")).agg(F.max("_gn")).first()
-    return int(row[0] or 0)
+        return left.join(F.broadcast(right), how="left")
+    named = [f"_k{i}" for i in range(len(keys))]
+    other = small_side(right.withColumnsRenamed(dict(zip(keys, named))))
+    cond = None
+    for k, n in zip(keys, named):
+        one = left[f"`{k}`"].eqNullSafe(other[n])
+        cond = one if cond is None else cond & one
+    return left.join(other, cond, how).drop(*named)
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    """True when some group holds more than ``hot_rows`` rows."""
-    return largest_group(df, keys) > hot_rows
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` dealt to ranges of (keys, order) and written, with its range's number in ``_part``."""
+    dealt = df.repartitionByRange(*[F.col(f"`{c}`") for c in [*keys, *order]])
+    return cut_lineage(dealt.withColumn("_part", F.spark_partition_id()))
 
 
-def with_buckets(df: DataFrame, keys: Sequence[str], value: Column, hot_rows: int = HOT_ROWS,
-                 buckets: int = BUCKETS, max_hot_groups: int = MAX_HOT_GROUPS, out: str = "_bkt") -> DataFrame:
-    """Add ``out``: 0 for ordinary groups, the value's quantile bucket for the largest groups."""
-    keys = list(keys)
-    spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gn"))
-    hot = sizes.where(F.col("_gn") > hot_rows).orderBy(F.col("_gn").desc()).limit(max_hot_groups)
-    hot_keys = [tuple(r[k] for k in keys) for r in hot.select(*keys).collect()] if keys else \
-        ([()] if hot.count() else [])
-    if not hot_keys:
-        return df.withColumn(out, F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    vals = df.withColumn("_bv", value.cast("double"))
-    if keys:
-        hot_df = spark.createDataFrame(hot_keys, vals.select(*keys).schema)
-        cut_rows = (vals.join(F.broadcast(hot_df), keys, "left_semi")
-                    .groupBy(*keys).agg(F.percentile_approx("_bv", probs, 10_000).alias("_cuts")).collect())
-        cuts = spark.createDataFrame([tuple(r[k] for k in keys) + (sorted(set(r["_cuts"])),) for r in cut_rows],
-                                     vals.select(*keys).schema.add("_cuts", T.ArrayType(T.DoubleType())))
-        b = vals.join(F.broadcast(cuts), keys, "left")
-    else:
-        cut = sorted(set(vals.agg(F.percentile_approx("_bv", probs, 10_000)).first()[0] or []))
-        b = vals.withColumn("_cuts", F.array(*[F.lit(float(c)) for c in cut]).cast("array<double>"))
-    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_bv"))), F.lit(0))
-    return b.withColumn(out, bucket).drop("_cuts", "_bv")
-
-
-def row_number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
-                         out: str = "_rank", hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def _before(parts: DataFrame, keys: list[str], total: Column) -> DataFrame:
+    """Per (part, group): ``_off``, the total of the group's earlier parts."""
+    sums = parts.groupBy("_part", *keys).agg(total.alias("_t"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", *keys, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+
+
+def row_number_in_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str = "_rank") -> DataFrame:
     """Add ``out`` = 1-based position of each row inside its group in the given order.
 
     Equal to ``row_number().over(partitionBy(keys).orderBy(order))``; ``order``
-    should make rows unique (add a tiebreak) and its first column must be numeric.
+    should make rows unique (add a tiebreak), else equal rows share a part.
     """
     keys = list(keys)
     names = [f"_o{i}" for i in range(len(order))]
-    base = reuse(df.select("*", *[o.alias(n) for o, n in zip(order, names)]))
-    b = with_buckets(base, keys, F.col(names[0]), hot_rows, buckets)
-    local = b.withColumn("_lr", F.row_number().over(
-        Window.partitionBy(*keys, "_bkt").orderBy(*[F.col(n) for n in names])))
-    counts = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(small_side(offsets.drop("_c")), [*keys, "_bkt"])
-    return joined.withColumn(out, F.col("_off") + F.col("_lr")).drop("_bkt", "_lr", "_off", *names)
-
-
-def cumulative_sum_in_groups(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
-                             out: str, hot_rows: int = HOT_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """Inclusive running sum of ``value`` inside each group ordered by the (unique, numeric) ``order_col``."""
+    parts = in_parts(df.select("*", *[o.alias(n) for o, n in zip(order, names)]), keys, names)
+    local = parts.withColumn("_lr", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*names)))
+    joined = null_safe_join(local, _before(parts, keys, F.count(F.lit(1))), ["_part", *keys])
+    return joined.withColumn(out, F.col("_off") + F.col("_lr")).drop("_part", "_lr", "_off", *names)
+
+
+def cumulative_sum_in_groups(df: DataFrame, keys: Sequence[str], order_col: str, value: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` inside each group ordered by the (unique) ``order_col``."""
     keys = list(keys)
-    b = with_buckets(reuse(df), keys, F.col(order_col), hot_rows, buckets)
-    local = b.withColumn("_ls", F.sum(value).over(
-        Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)))
-    tot = b.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_t"))
-    offsets = tot.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = local.join(small_side(offsets.drop("_t")), [*keys, "_bkt"])
-    return joined.withColumn(out, F.col("_off") + F.col("_ls")).drop("_bkt", "_ls", "_off")
-
-
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "_avg_rank",
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+    parts = in_parts(df, keys, [order_col])
+    run = Window.partitionBy("_part", *keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_ls", F.sum(value).over(run))
+    joined = null_safe_join(local, _before(parts, keys, F.sum(value)), ["_part", *keys])
+    return joined.withColumn(out, F.col("_off") + F.col("_ls")).drop("_part", "_ls", "_off")
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "_avg_rank") -> DataFrame:
     """Rank of ``value`` inside each group, ties given the mean of their positions (pandas 'average')."""
     keys = list(keys)
     pre = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cum = cumulative_sum_in_groups(pre, keys, value, "_n", "_cum", hot_rows)
+    cum = cumulative_sum_in_groups(pre, keys, value, "_n", "_cum")
     cum = cum.withColumn(out, (F.col("_cum") - F.col("_n")) + (F.col("_n") + 1) / 2.0)
-    return df.join(cum.select(*keys, value, out), [*keys, value], "left")
+    return null_safe_join(df, cum.select(*keys, value, out), [*keys, value], "left")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str | Column, probs: Sequence[float],
-                    out: str = "quantiles", hot_rows: int = HOT_ROWS) -> DataFrame:
+                    out: str = "quantiles") -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``) per group, skew-safe.
 
     Spark's exact ``percentile`` aggregate keeps a value->count map per group
     and merges it in one task, which does not bound a hot or global group.
     Here rows are reduced to (group, value, count), running counts come from
-    the bucketed running sum, and each quantile reads the two values whose
+    the running sum over parts, and each quantile reads the two values whose
     rank ranges contain floor/ceil of (n-1)·p, with conditional aggregates.
+    Null and NaN values do not count; a group of them alone has null quantiles.
     Returns one row per group: keys + ``out`` (array<double>, one per prob).
     """
     keys = list(keys)
     v = (F.col(col) if isinstance(col, str) else col).cast("double")
-    pre = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")) \
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    pre = reuse(pre)
-    cum = cumulative_sum_in_groups(pre, keys, "_v", "_n", "_cum", hot_rows)
-    tot = pre.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        j = cum.join(small_side(tot), keys)
-    else:
-        n_all = tot.first()
-        j = cum.withColumn("_total", F.lit(n_all["_total"] if n_all else 0).cast("long"))
+    pre = (df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
+           .groupBy(*keys, "_v").agg(F.count("_v").alias("_n")))
+    cum = cumulative_sum_in_groups(pre, keys, "_v", "_n", "_cum")
+    joined = null_safe_join(cum, cum.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
     aggs = [F.max("_total").alias("_total")]
     for i, p in enumerate(probs):
         h = (F.col("_total") - 1) * F.lit(float(p))
         for tag, r in (("lo", F.floor(h) + 1), ("hi", F.ceil(h) + 1)):
             hit = (F.col("_cum") - F.col("_n") < r) & (r <= F.col("_cum"))
             aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-    res = j.groupBy(*keys).agg(*aggs)
+    res = joined.groupBy(*keys).agg(*aggs)
     qs = []
     for i, p in enumerate(probs):
         h = (F.col("_total") - 1) * F.lit(float(p))
@@ -150,31 +116,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str | Column, probs
     return res.select(*keys, F.array(*qs).alias(out))
 
 
-def first_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "_r",
-                      max_groups: int = 256, salt_buckets: int = 256) -> DataFrame:
+def first_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "_r") -> DataFrame:
     """The first ``k`` rows of each group in ``order`` with their 1-based position in ``out``.
 
-    Few groups (trackers, clusters): one ``orderBy(...).limit(k)`` per group -
-    Spark keeps a k-row heap per task and merges partitions x k rows, so a hot
-    group never sorts in one task. Many groups: a salted two-stage top-k
-    (k rows per (group, salt) first, then k per group from those candidates).
+    Spark limits each group to ``k`` rows per task before the shuffle, so a
+    group's task gets k rows from each of the others at most.
     """
-    keys = list(keys)
-    groups = df.select(*keys).distinct().limit(max_groups + 1).collect() if keys else [()]
-    if len(groups) <= max_groups:
-        parts = []
-        for g in groups:
-            cond = F.lit(True)
-            for kname, v in zip(keys, g):
-                cond = cond & (F.col(kname).eqNullSafe(F.lit(v)))
-            parts.append(df.where(cond).orderBy(*order).limit(k))
-        cand = parts[0]
-        for p in parts[1:]:
-            cand = cand.unionByName(p)
-    else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
-        cand = (df.withColumn("_salt", salt)
-                .withColumn("_r0", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)))
-                .where(F.col("_r0") <= k).drop("_salt", "_r0"))
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return cand.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

@@ -85,12 +85,11 @@ def group_quantiles(df, keys, col: str | Column, probs: Sequence[float], exact:
     exact=True uses the distributed exact path (skew-safe, see
     ``functions.ranking.exact_quantiles``); exact=False the mergeable sketch.
     """
-    from .ranking import exact_quantiles, has_hot_group
+    from .ranking import exact_quantiles
 
     keys = list(keys)
-    if exact and has_hot_group(df, keys):
+    if exact:
         return exact_quantiles(df, keys, col, probs, out)
-    # no group above the hot-row bound: the exact percentile aggregate holds at most that many values
     return df.groupBy(*keys).agg(quantiles(col, probs, exact).alias(out))
 
 

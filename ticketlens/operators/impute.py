@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.derive import log_target
-from ..functions.stats import median
+from ..functions.ranking import null_safe_join
 from ..sources.tables import small_side
 from .columns import column_stats, numeric_columns, q, string_columns
 
@@ -74,7 +74,7 @@ def impute_group_median(df: DataFrame, col: str, keys: Sequence[str], exact: boo
     from ..functions.stats import group_quantiles
 
     gm = group_quantiles(df, keys, col, [0.5], exact, "_gq").select(*keys, F.col("_gq")[0].alias("_gm"))
-    filled = (df.join(small_side(gm), keys, "left")
+    filled = (null_safe_join(df, gm, keys, "left")
               .withColumn(col, F.coalesce(F.col(col), F.col("_gm"))).drop("_gm"))
     overall = _median_values(filled, [col], exact).get(col)
     return filled.withColumn(col, F.coalesce(F.col(col), F.lit(overall).cast(df.schema[col].dataType))) \
@@ -85,7 +85,7 @@ def impute_group_mode(df: DataFrame, col: str, keys: Sequence[str], default: str
     """I4: group mode, then the overall mode of the partly filled column, then ``default``."""
     keys = list(keys)
     gm = df.groupBy(*keys).agg(F.mode(col, True).alias("_gm"))
-    filled = (df.join(small_side(gm), keys, "left")
+    filled = (null_safe_join(df, gm, keys, "left")
               .withColumn(col, F.coalesce(F.col(col), F.col("_gm"))).drop("_gm"))
     return impute_mode(filled, [col], default)
 
@@ -153,26 +153,25 @@ def impute_by_group(df: DataFrame, median_cols: Sequence[str], mode_cols: Sequen
     """I3 + I4 for many columns at once: every group median / mode in ONE grouped aggregation and one
     join, then the overall median / mode of the partly filled columns for what is left.
 
-    When some group exceeds the hot-row bound the medians use the distributed
-    exact path column by column instead of the in-aggregate percentile.
+    The medians of all columns are one pass over (group, column, value); a null
+    group is a group.
     """
-    from ..functions.ranking import has_hot_group
+    from ..functions.stats import group_quantiles
     from ..session import reuse
 
     keys = list(keys)
     if not median_cols and not mode_cols:
         return df
-    if median_cols and exact and has_hot_group(df, keys):
-        out = df
-        for c in median_cols:
-            out = impute_group_median(out, c, keys, exact)
-        for c in mode_cols:
-            out = impute_group_mode(out, c, keys, default)
-        return out
-    aggs = [median(q(c), exact).alias(f"_gmed_{i}") for i, c in enumerate(median_cols)]
-    aggs += [F.mode(q(c), True).alias(f"_gmod_{i}") for i, c in enumerate(mode_cols)]
-    g = df.groupBy(*keys).agg(*aggs)
-    filled = df.join(small_side(g), keys, "left")
+    filled = df
+    if median_cols:
+        long = df.select(*keys, *[q(c).cast("double").alias(f"_gmed_{i}") for i, c in enumerate(median_cols)]).unpivot(
+            keys, [f"_gmed_{i}" for i in range(len(median_cols))], "_column", "_value")
+        medians = group_quantiles(long, [*keys, "_column"], "_value", [0.5], exact, "_gq").groupBy(*keys).agg(
+            *[F.max(F.when(F.col("_column") == f"_gmed_{i}", F.col("_gq")[0])).alias(f"_gmed_{i}") for i in range(len(median_cols))])
+        filled = null_safe_join(filled, medians, keys, "left")
+    if mode_cols:
+        modes = df.groupBy(*keys).agg(*[F.mode(q(c), True).alias(f"_gmod_{i}") for i, c in enumerate(mode_cols)])
+        filled = null_safe_join(filled, modes, keys, "left")
     exprs = {c: F.coalesce(q(c).cast("double"), F.col(f"_gmed_{i}")) for i, c in enumerate(median_cols)}
     exprs.update({c: F.coalesce(q(c), F.col(f"_gmod_{i}")) for i, c in enumerate(mode_cols)})
     filled = reuse(filled.withColumns(exprs).drop(*[f"_gmed_{i}" for i in range(len(median_cols))],
@@ -245,6 +244,6 @@ def impute_unresolved_hours(df: DataFrame, hours: str, keys: Sequence[str], age_
     glob = (column_quantiles(resolved_rows, [hours], [0.5], exact).get(hours) or [None])[0]
     factor = 1.0 + 0.1 * F.least(F.greatest(F.col(age_days) / 30.0, F.lit(0.0)), F.lit(10.0))
     base = F.coalesce(F.col("_gm"), F.lit(glob if glob is not None else default_hours))
-    out = (df.join(small_side(gm), keys, "left")
+    out = (null_safe_join(df, gm, keys, "left")
            .withColumn(hours, F.when(res, F.col(hours)).otherwise(base * factor)).drop("_gm"))
     return out.withColumn(log_col, log_target(hours)) if log_col else out

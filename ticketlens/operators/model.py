@@ -227,10 +227,8 @@ def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
     from ..functions.ranking import row_number_in_groups
     from .sampling import hash_order
 
-    integral = df.schema[key].dataType.typeName() in ("long", "integer")
-    by_key = row_number_in_groups(df.drop(col), [], [F.col(key).cast("double") if integral else F.xxhash64(key), F.col(key)], "_r")
-    by_hash = row_number_in_groups(df.select(key, col), [], [hash_order(F.col(key), seed, integral).cast("double"),
-                                                           F.col(key)], "_r").select("_r", col)
+    by_key = row_number_in_groups(df.drop(col), [], [F.col(key)], "_r")
+    by_hash = row_number_in_groups(df.select(key, col), [], [hash_order(F.col(key), seed), F.col(key)], "_r").select("_r", col)
     return by_key.join(by_hash, "_r").drop("_r")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_parts, resolution_time_days, resolution_time_hours, seconds_between
 from ..functions.names import distinct_values, space_safe
+from ..functions.ranking import null_safe_join
 from ..functions.stats import entropy_log2, group_quantiles, safe_div, share_pct
 from ..session import reuse
 from ..sources.tables import small_side
@@ -110,18 +111,6 @@ _RESOLUTION_TMP = ["_rq", "_w24", "_w168", "_w720"]
 RESOLUTION_PROBS = [0.5, 0.25, 0.75, 0.9]
 
 
-def _quantile_in_agg(d: DataFrame, keys: list[str], exact: bool) -> bool:
-    """Whether the resolution quantiles can be one more aggregate of the main pass.
-
-    True for the approximate sketch, and for the exact aggregate when no
-    project holds more than HOT_ROWS issues (its value->count buffer is then
-    bounded); otherwise the distributed exact path runs as a separate join.
-    """
-    from ..functions.ranking import has_hot_group
-
-    return (not exact) or not has_hot_group(d, keys)
-
-
 def _rq_agg(exact: bool) -> Column:
     from ..functions.stats import quantiles
 
@@ -134,7 +123,7 @@ def _with_resolution_quantiles(out: DataFrame, d: DataFrame, keys: list[str], ex
     if in_agg:
         return out
     rq = group_quantiles(d, keys, "resolution_time_hours", RESOLUTION_PROBS, exact, "_rq")
-    return out.join(rq, keys, "left")
+    return null_safe_join(out, rq, keys, "left")
 
 
 def resolution_stats(df: DataFrame, key: Keys = "project_id", created: str = "created",
@@ -142,7 +131,7 @@ def resolution_stats(df: DataFrame, key: Keys = "project_id", created: str = "cr
     """mean/median/min/max/std/sum, biased skew+kurtosis (n>2), p25/p75/p90/IQR, % within 24h/week/month."""
     keys = _keys(key)
     d = reuse(with_issue_times(df, created, resolved).select(*keys, "resolution_time_hours"))
-    in_agg = _quantile_in_agg(d, keys, exact)
+    in_agg = not exact
     extra = [_rq_agg(exact)] if in_agg else []
     out = d.groupBy(*keys).agg(*_resolution_aggs("resolution_time_hours", exact), *extra)
     out = _with_resolution_quantiles(out, d, keys, exact, in_agg)
@@ -283,7 +272,7 @@ def dependency_stats(df: DataFrame, key: Keys = "project_id", inward: str = "inw
     keys = _keys(key)
     df = reuse(df.select(*keys, inward, outward))
     thr = group_quantiles(df, keys, inward, [0.75], exact, "_q").select(*keys, F.col("_q")[0].alias("_p75"))
-    d = df.join(small_side(thr), keys)
+    d = null_safe_join(df, thr, keys)
     i, o = F.col(inward), F.col(outward)
     out = d.groupBy(*keys).agg(
         F.avg(i).alias("avg_inward_links"),
@@ -436,7 +425,7 @@ def project_overview(df: DataFrame, key: Keys = "project_id", created: str = "cr
     need = [*keys, *name_cols, created, resolved, "resolution_time_hours", "created_day_of_week",
             "resolved_day_of_week"] + ([updated] if updated else [])
     d = reuse(with_issue_times(df, created, resolved).select(*dict.fromkeys(need)))
-    in_agg = _quantile_in_agg(d, keys, exact)
+    in_agg = not exact
     extra = [_rq_agg(exact)] if in_agg else []
     out = d.groupBy(*keys).agg(*_span_aggs(created, updated, resolved, name_cols),
                                *_resolution_aggs("resolution_time_hours", exact),
@@ -466,7 +455,7 @@ def project_features(df: DataFrame, key: Keys = "project_id", created: str = "cr
     if priority and issue_type:
         aggs += _matrix_aggs(priority, issue_type, resolved, pvals, tvals)
     aggs += _efficiency_aggs(issue_type, tvals)
-    in_agg = _quantile_in_agg(d, keys, exact)
+    in_agg = not exact
     if in_agg:
         aggs.append(_rq_agg(exact))
     out = _with_resolution_quantiles(d.groupBy(*keys).agg(*aggs), d, keys, exact, in_agg)
@@ -477,7 +466,7 @@ def project_features(df: DataFrame, key: Keys = "project_id", created: str = "cr
         post.update(_type_post(tvals))
     out = out.withColumns(post).withColumns(_efficiency_post())
     out = out.drop(*_RESOLUTION_TMP, "_res_we", "_res_n", "_prio_n")
-    out = out.join(monthly_activity(d, keys, created), keys, "left")
+    out = null_safe_join(out, monthly_activity(d, keys, created), keys, "left")
     if links:
-        out = out.join(dependency_stats(d, keys, exact=exact), keys, "left")
+        out = null_safe_join(out, dependency_stats(d, keys, exact=exact), keys, "left")
     return project_derived(out, compat=compat, **(derived_kwargs or {}))

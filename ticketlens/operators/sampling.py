@@ -1,6 +1,6 @@
 """Ranking, top-k, bucketing, sampling and splits.
 
-Reproducibility comes from hashing a key with a seed (``xxhash64``) instead
+Reproducibility comes from hashing a key with a seed (md5) instead
 of ``rand()``: the same row lands in the same sample or split after a retry,
 on any cluster size. Per-group ranks use the range-partitioned ranking of
 ``functions.ranking`` so a hot group is split across tasks.
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import row_number_in_groups
+from ..functions.ranking import null_safe_join, row_number_in_groups
 from ..functions.stats import quantiles
 from ..sources.tables import small_side
 
@@ -90,32 +90,33 @@ def best_by(df: DataFrame, value: str, score: str, higher_is_better: bool = True
     return df.agg(fn(value, score).alias(f"best_{value}"), (F.max if higher_is_better else F.min)(score).alias(f"best_{score}"))
 
 
-def earliest(df: DataFrame, created: str, n: int = 500, cols: Sequence[str] | None = None) -> DataFrame:
-    """The ``n`` earliest rows by ``created``."""
+def earliest(df: DataFrame, created: str, n: int = 500, cols: Sequence[str] | None = None, tie: str | None = None) -> DataFrame:
+    """The ``n`` earliest rows by ``created``, then by ``tie`` where given; null dates last."""
     src = df.select(*cols) if cols else df
-    return src.orderBy(F.col(created).asc_nulls_last()).limit(n)
+    return src.orderBy(F.col(created).asc_nulls_last(), *([F.col(tie)] if tie else [])).limit(n)
 
 
-# Multiplicative hash for integral keys: pmod(pmod(key, P) * A + seed, P). Products stay below 2^63,
-# so it never overflows, and any SQL engine can reproduce it; other key types use xxhash64.
-HASH_P = 1_000_000_007
-HASH_A = 747_796_405
+HASH_DIGITS = 13   # hexadecimal digits of the hash: 52 bits, which a double holds exactly
 
 
-def hash_order(key: Column, seed: int, integral: bool = True) -> Column:
-    if integral:
-        return F.pmod(F.pmod(key.cast("long"), F.lit(HASH_P)) * F.lit(HASH_A) + F.lit(seed), F.lit(HASH_P))
-    return F.xxhash64(key, F.lit(seed))
+def hash_order(key: Column, seed: int) -> Column:
+    """A number of 52 bits that mixes key and seed: the first digits of md5("key:seed").
+
+    Any SQL engine can repeat it. Two seeds order the keys independently; a
+    null key hashes like the text "null".
+    """
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
-def _is_integral(df: DataFrame, key: str) -> bool:
-    return df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+def hash_order_sql(key: str, seed: int) -> str:
+    """:func:`hash_order` in DuckDB SQL."""
+    return f"CAST(('0x' || substr(md5(coalesce(CAST({key} AS VARCHAR), 'null') || ':{seed}'), 1, {HASH_DIGITS})) AS BIGINT)"
 
 
-def unit_hash(df: DataFrame, key: str, seed: int) -> Column:
+def unit_hash(key: str, seed: int) -> Column:
     """A reproducible pseudo-uniform number in [0, 1) per key."""
-    h = hash_order(F.col(key), seed, _is_integral(df, key))
-    return F.pmod(h, F.lit(1_000_000)) / F.lit(1_000_000.0)
+    return hash_order(F.col(key), seed) / F.lit(float(1 << 4 * HASH_DIGITS))
 
 
 def sample_exact(df: DataFrame, ratio: float, key: str, group: str | None = None, seed: int = 42) -> DataFrame:
@@ -123,9 +124,9 @@ def sample_exact(df: DataFrame, ratio: float, key: str, group: str | None = None
     keys = [group] if group else []
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_take", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(ratio))))
-    ranked = row_number_in_groups(df, keys, [hash_order(F.col(key), seed, _is_integral(df, key)), F.col(key)], "_r")
+    ranked = row_number_in_groups(df, keys, [hash_order(F.col(key), seed), F.col(key)], "_r")
     if keys:
-        joined = ranked.join(small_side(counts.select(*keys, "_take")), keys)
+        joined = null_safe_join(ranked, counts.select(*keys, "_take"), keys)
     else:
         joined = ranked.withColumn("_take", F.lit(counts.first()["_take"]))
     return joined.where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
@@ -135,14 +136,14 @@ def sample_frac(df: DataFrame, fraction: float, seed: int = 42, key: str | None
     """Bernoulli-like sample; with ``key`` it is a seeded hash filter (stable under retries)."""
     if key is None:
         return df.sample(fraction=fraction, seed=seed)
-    return df.where(unit_hash(df, key, seed) < fraction)
+    return df.where(unit_hash(key, seed) < fraction)
 
 
 def random_split(df: DataFrame, weights: Sequence[float], key: str, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Assign each row a split index by seeded hash of its key (80/20, 60/20/20, ...)."""
     total = float(sum(weights))
-    u = unit_hash(df, key, seed)
+    u = unit_hash(key, seed)
     expr = F.lit(len(weights) - 1)
     acc = 0.0
     bounds = []
@@ -158,8 +159,8 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test_fraction: float
                      out: str = "is_test") -> DataFrame:
     """Per stratum, the first round(fraction·count) rows in seeded hash order go to the test split."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = row_number_in_groups(df, [stratum], [hash_order(F.col(key), seed, _is_integral(df, key)), F.col(key)], "_r")
-    joined = ranked.join(small_side(counts), stratum)
+    ranked = row_number_in_groups(df, [stratum], [hash_order(F.col(key), seed), F.col(key)], "_r")
+    joined = null_safe_join(ranked, counts, [stratum])
     return joined.withColumn(out, (F.col("_r") <= F.round(F.col("_n") * F.lit(test_fraction))).cast("int")) \
         .drop("_r", "_n")
 
@@ -213,6 +214,6 @@ def fetch_projects(df: DataFrame, chosen: Sequence, project: str = "project_id",
     """
     if not chosen:
         k = key or df.columns[0]
-        return df.orderBy(hash_order(F.col(k), seed, _is_integral(df, k)), F.col(k)).limit(fallback_rows)
+        return df.orderBy(hash_order(F.col(k), seed), F.col(k)).limit(fallback_rows)
     ids = df.sparkSession.createDataFrame([(c,) for c in chosen], df.select(project).schema)
     return df.join(F.broadcast(ids), project, "left_semi")

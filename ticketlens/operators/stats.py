@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.derive import feature_group
-from ..functions.ranking import cumulative_sum_in_groups
+from ..functions.ranking import cumulative_sum_in_groups, null_safe_join
 from ..functions.stats import median, pearson, quantiles
 from .columns import AGG_CHUNK, numeric_columns, q
 
@@ -56,7 +56,7 @@ def gini(df: DataFrame, value: str, keys: Sequence[str] = (), out: str = "gini")
 def _gini_finish(cum: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     grp = cum.groupBy(*keys).agg(F.min(value).alias("_gmin"), F.sum("_c").alias("_gtot"))
     if keys:
-        per = cum.join(grp, keys)
+        per = null_safe_join(cum, grp, keys)
     else:
         row = grp.first()
         per = cum.withColumns({"_gmin": F.lit(row["_gmin"]), "_gtot": F.lit(row["_gtot"])})

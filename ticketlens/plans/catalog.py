@@ -44,6 +44,7 @@ def load_all() -> dict[str, Query]:
         issue_queries,
         model_queries,
         nested_queries,
+        null_group_queries,
         project_queries,
         stats_queries,
     )

@@ -57,12 +57,11 @@ def q_read_csv_typed(spark, sf_dir):
 @register("S10_write_partitioned", with_issues("""
 SELECT id, regexp_replace(project_name, '[\\\\/*?:"<>|]', '_', 'g') AS project, updated, resolutiondate FROM issues""", ISSUES))
 def q_write_partitioned(spark, sf_dir):
-    """One folder per project with a file-safe name; all-null columns dropped per project; read back."""
+    """One folder per project with a file-safe name, read back."""
     path = FS.scratch_path(spark, "by-project")
     d = TB.issues(spark, sf_dir).select("id", F.col("project_name").alias("project"), "updated", "resolutiondate")
-    FS.write_partitioned(d, path, "project", drop_all_null=True)
-    back = spark.read.option("mergeSchema", True).parquet(path)
-    return back.select("id", "project", "updated", "resolutiondate")
+    FS.write_partitioned(d, path, "project")
+    return spark.read.parquet(path).select("id", "project", "updated", "resolutiondate")
 
 
 @register("S11_write_json", project_overview_sql())

@@ -16,7 +16,7 @@ from ..functions.derive import log_target
 from ..operators import cluster as CL
 from ..operators import model as M
 from ..operators.columns import one_hot_values
-from ..operators.sampling import HASH_A, HASH_P, random_split
+from ..operators.sampling import HASH_DIGITS, hash_order_sql, random_split
 from ..sources import tables as T
 from .catalog import register
 from .sqlbase import ISSUES_TL, with_issues
@@ -52,13 +52,9 @@ def baseline(train, test, keys, out="prediction"):
 
 # ---- SQL side ---------------------------------------------------------------------
 
-def _h(col: str, seed: int) -> str:
-    return f"((({col} % {HASH_P}) * {HASH_A} + {seed}) % {HASH_P})"
-
-
 TASK_SQL = ISSUES_TL + f""",
 t AS (SELECT id, issue_type, priority_name, ln(1 + greatest(coalesce(resolution_time_hours, 0.0), 0.0)) AS y,
-        CASE WHEN ({_h('id', SEED)} % 1000000) / 1000000.0 < 0.8 THEN 0 ELSE 1 END AS split
+        CASE WHEN {hash_order_sql('id', SEED)} / CAST({1 << 4 * HASH_DIGITS} AS DOUBLE) < 0.8 THEN 0 ELSE 1 END AS split
       FROM itl WHERE resolution_time_hours IS NOT NULL),
 gm AS (SELECT avg(y) AS g FROM t WHERE split = 0)"""
 

@@ -15,7 +15,6 @@ from .sqlbase import ISSUES, ISSUES_T, ISSUES_TL, with_issues
 from .standin import issues_t, issues_tl
 
 BUG, FEAT = "MACHINERY", "BUILDING"   # stand-in spelling of the bug and feature issue types
-P, A = W.HASH_P, W.HASH_A
 
 
 def _u(parts):
@@ -319,11 +318,15 @@ def q_best_by(spark, sf_dir):
 @register("W5_earliest", with_issues("SELECT id, created FROM issues ORDER BY created, id LIMIT 500", ISSUES))
 def q_earliest(spark, sf_dir):
     """The 500 earliest issues (ties broken by id)."""
-    return W.top_k(T.issues(spark, sf_dir).select("id", "created"), [F.col("created"), F.col("id")], 500)
+    return W.earliest(T.issues(spark, sf_dir), "created", 500, ["id", "created"], tie="id")
 
 
 def _h(col: str, seed: int = 42) -> str:
-    return f"((({col} % {P}) * {A} + {seed}) % {P})"
+    return W.hash_order_sql(col, seed)
+
+
+def _u(col: str, seed: int = 42) -> str:
+    return f"{_h(col, seed)} / CAST({1 << 4 * W.HASH_DIGITS} AS DOUBLE)"
 
 
 @register("W6_sample_exact", with_issues(f"""
@@ -336,7 +339,7 @@ def q_sample_exact(spark, sf_dir):
     return W.sample_exact(T.issues(spark, sf_dir).select("id", "repository"), 0.1, "id", "repository", seed=42)
 
 
-@register("W7_sample_frac", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE ({_h('l_orderkey')} % 1000000) / 1000000.0 < 0.1")
+@register("W7_sample_frac", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_u('l_orderkey')} < 0.1")
 def q_sample_frac(spark, sf_dir):
     """~10 % sample of whole orders' lines by seeded hash of the order key."""
     li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -356,8 +359,8 @@ def q_select_projects(spark, sf_dir):
 
 
 @register("W9_random_split", f"""
-SELECT o_orderkey, CASE WHEN ({_h('o_orderkey', 7)} % 1000000) / 1000000.0 < 0.6 THEN 0
-                        WHEN ({_h('o_orderkey', 7)} % 1000000) / 1000000.0 < 0.8 THEN 1 ELSE 2 END AS split FROM orders""")
+SELECT o_orderkey, CASE WHEN {_u('o_orderkey', 7)} < 0.6 THEN 0
+                        WHEN {_u('o_orderkey', 7)} < 0.8 THEN 1 ELSE 2 END AS split FROM orders""")
 def q_random_split(spark, sf_dir):
     """60/20/20 split by seeded hash of the key."""
     o = T.read_table(spark, sf_dir, "orders").select("o_orderkey")
