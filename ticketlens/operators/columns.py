@@ -309,6 +309,21 @@ def align_columns(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
     return df.select(*[q(c) if c in have else F.lit(fill).alias(c) for c in columns])
 
 
+def feature_report(df: DataFrame, wanted: Sequence[str], suspicious: Sequence[str] = ()) -> DataFrame:
+    """Per wanted or suspicious feature its status (available, absent, suspicious) and its rows with a value (null if absent).
+
+    One aggregation over the columns that are there; names in ``suspicious``
+    that ``df`` does not hold are left out.
+    """
+    have = set(df.columns)
+    names = list(dict.fromkeys([*wanted, *(s for s in suspicious if s in have)]))
+    held = df.agg(*[(F.count(q(c)) if c in have else F.lit(None).cast("long")).alias(f"_f{i}") for i, c in enumerate(names)])
+    status = ["suspicious" if c in suspicious else "available" if c in have else "absent" for c in names]
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(s).alias("status"), F.col(f"_f{i}").alias("filled_rows"))
+                     for i, (c, s) in enumerate(zip(names, status))])
+    return held.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
 def corr_with(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> dict[str, float]:
     """Pearson correlation of each numeric column with the target (pairwise complete)."""
     cols = [c for c in (numeric_columns(df) if cols is None else cols) if c != target]

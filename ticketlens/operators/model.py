@@ -257,12 +257,19 @@ def fit_linear_per_group(df: DataFrame, group: str, features: Sequence[str], lab
     """M12 (many groups): ordinary least squares per group from aggregated XᵀX and Xᵀy.
 
     One grouped aggregation builds the (p+1)² + (p+1) sums per group on the map
-    side; each group's small system is solved afterwards. Groups with fewer
-    than ``min_rows`` rows get no model (routed to the global one).
+    side; each group's small system is solved afterwards. Features are centred
+    and scaled by their overall mean and deviation first, which keeps the
+    systems well conditioned; the penalty leaves the intercept out. Groups with
+    fewer than ``min_rows`` rows get no model (routed to the global one); a null
+    group is a group.
     """
     cols = ["_one"] + list(features)
     d = df.select(group, F.lit(1.0).alias("_one"), *[q(c).cast("double").alias(c) for c in features],
-                  F.col(label).cast("double").alias("_y")).na.drop()
+                  F.col(label).cast("double").alias("_y")).na.drop(subset=[*features, "_y"])
+    means = d.agg(*[F.avg(q(c)) for c in features], *[F.stddev_pop(q(c)) for c in features]).first()
+    mean = [float(m or 0.0) for m in means[:len(features)]]
+    scale = [float(s) if s else 1.0 for s in means[len(features):]]
+    d = d.withColumns({c: (q(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(features, mean, scale)})
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, a in enumerate(cols):
         aggs.append(F.sum(F.col(a) * F.col("_y")).alias(f"xy_{i}"))
@@ -282,8 +289,9 @@ def fit_linear_per_group(df: DataFrame, group: str, features: Sequence[str], lab
                     for j in range(i, p):
                         xx[i, j] = xx[j, i] = r[f"xx_{i}_{j}"]
                 xy = np.array([r[f"xy_{i}"] for i in range(p)])
-                beta = np.linalg.solve(xx + ridge * np.eye(p), xy)
-                out.append((r[group], float(beta[0]), [float(b) for b in beta[1:]], int(r["_n"])))
+                beta = np.linalg.solve(xx + ridge * np.diag([0.0] + [1.0] * (p - 1)), xy)
+                slopes = [float(b) / s for b, s in zip(beta[1:], scale)]
+                out.append((r[group], float(beta[0]) - sum(b * m for b, m in zip(slopes, mean)), slopes, int(r["_n"])))
             yield pd.DataFrame(out, columns=[group, "intercept", "coefficients", "n"])
 
     return stats.mapInPandas(solve, schema)
@@ -339,11 +347,15 @@ def predict_routed(df: DataFrame, models: Mapping, group: str) -> DataFrame:
 
 
 def score_tasks(df: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str] = (),
-                log_space: bool = True) -> DataFrame:
-    """Align features (J8), predict, back-transform (expm1), hours -> days (/24) and work days (/8), ±30 % bounds."""
-    aligned = df.select(*[q(k) for k in keep], *align_columns(df, list(features), 0.0).columns) \
-        if all(f in df.columns for f in features) else \
-        df.select(*[q(k) for k in keep], *[q(c) if c in df.columns else F.lit(0.0).alias(c) for c in features])
+                log_space: bool = True, absent: float | None = None) -> DataFrame:
+    """Align features (J8), predict, back-transform (expm1), hours -> days (/24) and work days (/8), ±30 % bounds.
+
+    A feature that ``df`` lacks is an error, unless ``absent`` gives the value to score it with.
+    """
+    missing = [f for f in features if f not in df.columns]
+    if missing and absent is None:
+        raise ValueError(f"features absent from the tasks: {', '.join(missing)}")
+    aligned = df.select(*[q(k) for k in keep], *[F.lit(absent).alias(f) if f in missing else q(f) for f in features])
     p = model.transform(aligned)
     h = F.expm1("prediction") if log_space else F.col("prediction")
     return p.select(*[q(k) for k in keep], h.alias("predicted_hours"), (h / 24.0).alias("predicted_days"),

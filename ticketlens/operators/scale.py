@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import quantiles
+from ..session import reuse
 from .columns import column_stats, numeric_columns, q
 
 PARAM_SCHEMA = "column string, kind string, p1 double, p2 double, lam double"
@@ -107,36 +108,39 @@ def yeo_johnson(x: Column, lam: float | Column) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _loglik_table(long: DataFrame, grids: dict[str, list[float]]) -> dict[str, dict[float, tuple]]:
-    """For every (column, lambda): n, Σt, Σt², Σsign·log1p|x| in ONE grouped aggregation.
+#: (column, lambda) pairs of one aggregation.
+PAIRS_AT_ONCE = 60
 
-    ``long`` is (column, x). Each value is paired with its column's lambda
-    candidates by an ``explode`` (a bounded, per-row expansion), then the sums
-    aggregate partially on the map side.
+
+def _loglik_table(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, dict[float, tuple]]:
+    """For every (column, lambda): n, mean and variance of the transform, and the sum of sign * log1p|x|.
+
+    Each pair is three expressions of one aggregation over ``df``; rows are
+    neither unpivoted nor multiplied.
     """
-    spark = long.sparkSession
-    cand = spark.createDataFrame([(c, float(l)) for c, ls in grids.items() for l in ls], "column string, lam double")
-    per_col = cand.groupBy("column").agg(F.collect_list("lam").alias("_lams"))  # one small row per column
-    x = F.col("x")
-    e = (long.join(F.broadcast(per_col), "column")
-         .select("column", "x", F.explode("_lams").alias("lam")))
-    t = yeo_johnson(x, F.col("lam"))
-    agg = e.groupBy("column", "lam").agg(F.count(x).alias("n"), F.sum(t).alias("s"), F.sum(t * t).alias("s2"),
-                                         F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("sl"))
+    pairs = [(c, lam) for c, lams in grids.items() for lam in lams]
     out: dict[str, dict[float, tuple]] = {}
-    for r in agg.collect():
-        out.setdefault(r["column"], {})[r["lam"]] = (r["n"], r["s"], r["s2"], r["sl"])
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[at:at + PAIRS_AT_ONCE]
+        aggs = []
+        for i, (c, lam) in enumerate(part):
+            x = q(c).cast("double")
+            t = yeo_johnson(x, lam)
+            aggs += [F.avg(t).alias(f"m{i}"), F.var_pop(t).alias(f"v{i}")]
+        for c in dict.fromkeys(c for c, _ in part):
+            x = q(c).cast("double")
+            aggs += [F.count(x).alias(f"n_{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l_{c}")]
+        row = df.agg(*aggs).first()
+        for i, (c, lam) in enumerate(part):
+            out.setdefault(c, {})[lam] = (row[f"n_{c}"], row[f"m{i}"], row[f"v{i}"], row[f"l_{c}"])
     return out
 
 
 def _best(table: dict[float, tuple]) -> float | None:
     best, best_ll = None, -math.inf
     for lam in sorted(table):
-        n, s, s2, sl = table[lam]
-        if not n or n < 2 or s is None or s2 is None:
-            continue
-        var = s2 / n - (s / n) ** 2
-        if not (var > 0) or math.isinf(var):
+        n, _, var, sl = table[lam]
+        if not n or n < 2 or var is None or not (var > 0) or math.isinf(var):
             continue
         ll = -n / 2.0 * math.log(var) + (lam - 1.0) * (sl or 0.0)
         if ll > best_ll:
@@ -145,35 +149,41 @@ def _best(table: dict[float, tuple]) -> float | None:
 
 
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], lo: float = -2.0, hi: float = 2.0,
-                    steps: int = 41, refinements: int = 2) -> DataFrame:
-    """Per-column lambda by maximum likelihood (grid over [lo, hi], refined twice around the best),
-    then the mean / population std of the transformed column for standardising.
+                    steps: int = 21, refinements: int = 3, widenings: int = 10) -> DataFrame:
+    """Per-column lambda by maximum likelihood, then mean / population std of the transformed column.
 
-    Each grid pass is one grouped aggregation over (column, lambda).
+    The grid over [lo, hi] moves on while the best lambda lies at its edge (the
+    likelihood has one maximum), ``widenings`` times at most, and is then refined around
+    the best. A column without variance has no parameters.
     """
     cols = list(cols)
-    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "x") \
-        .where(F.col("x").isNotNull())
-    grids = {c: [lo + (hi - lo) * i / (steps - 1) for i in range(steps)] for c in cols}
-    best: dict[str, float | None] = {c: None for c in cols}
-    last: dict[str, dict[float, tuple]] = {}
+    df = reuse(df.select(*[q(c) for c in cols]))
     width = (hi - lo) / (steps - 1)
-    for _ in range(refinements + 1):
-        table = _loglik_table(long, {c: g for c, g in grids.items() if g})
+    tables: dict[str, dict[float, tuple]] = {c: {} for c in cols}
+    best: dict[str, float | None] = {}
+    grids = {c: [lo + width * i for i in range(steps)] for c in cols}
+    for _ in range(widenings + 1):
+        for c, t in _loglik_table(df, grids).items():
+            tables[c] |= t
+        best = {c: _best(tables[c]) for c in cols}
+        grids = {}
         for c in cols:
-            if c in table:
-                best[c] = _best(table[c])
-                last[c] = table[c]
-        width /= 10.0
-        grids = {c: ([best[c] + width * (i - 10) for i in range(21)] if best[c] is not None else []) for c in cols}
+            if best[c] is not None and best[c] in (min(tables[c]), max(tables[c])):
+                step = width if best[c] == max(tables[c]) else -width
+                grids[c] = [best[c] + step * (i + 1) for i in range(steps - 1)]
+        if not grids:
+            break
+    for _ in range(refinements):
+        width /= 5.0
+        grids = {c: [best[c] + width * i for i in range(-5, 6) if i] for c in cols if best[c] is not None}
+        for c, t in _loglik_table(df, grids).items():
+            tables[c] |= t
+        best = {c: _best(tables[c]) for c in cols}
     rows = []
     for c in cols:
-        if best[c] is None:
-            continue
-        # mean and population std of the transformed column, from the sums of the last pass at the chosen lambda
-        n, s1, s2, _ = last[c][best[c]]
-        mean = s1 / n
-        rows.append((c, "yeo_johnson", mean, math.sqrt(max(s2 / n - mean * mean, 0.0)), best[c]))
+        if best[c] is not None:
+            _, mean, var, _ = tables[c][best[c]]
+            rows.append((c, "yeo_johnson", mean, math.sqrt(var), best[c]))
     return _params_df(df, rows)
 
 

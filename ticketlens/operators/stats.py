@@ -92,22 +92,24 @@ def _kind(numeric_share: Column, ts_share: Column, bool_share: Column, distinct:
 def column_profile(df: DataFrame, drop_above_pct: float = 35.0) -> DataFrame:
     """Per column kind, missing %, action (drop above the threshold), distinct count, min/max samples.
 
-    Reads every row (the reference looks at 20-row samples); the distinct count
-    is the HyperLogLog estimate so memory stays bounded on any column.
+    Reads every row (the reference looks at 20-row samples). The distinct count
+    decides the kind at fixed bounds, so it is exact: values are reduced to
+    (column, value) before they are counted.
     """
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
     s = lambda c: q(c).cast("string")
     nn = lambda c: F.count(q(c))
     stats = {
         "missing_pct": lambda c: F.round(F.try_divide(F.count_if(q(c).isNull()), F.count(F.lit(1))) * 100.0, 2),
-        "distinct": lambda c: F.approx_count_distinct(q(c)),
         "num_share": lambda c: F.try_divide(F.count_if(s(c).try_cast("double").isNotNull()), nn(c)),
         "ts_share": lambda c: F.try_divide(F.count_if(F.try_to_timestamp(s(c)).isNotNull() & s(c).rlike(r"^\d{4}-\d{2}-\d{2}")), nn(c)),
         "bool_share": lambda c: F.try_divide(F.count_if(F.lower(s(c)).isin("true", "false")), nn(c)),
         "min_value": lambda c: F.min(s(c)),
         "max_value": lambda c: F.max(s(c)),
     }
-    prof = _long_stats(df, cols, stats)
+    values = df.select(*[s(c).alias(c) for c in cols]).unpivot([], cols, "column", "_value")
+    distinct = values.distinct().groupBy("column").agg(F.count("_value").alias("distinct"))
+    prof = _long_stats(df, cols, stats).join(distinct, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
     return (prof.withColumn("kind", _kind(F.coalesce("num_share", F.lit(0)), F.coalesce("ts_share", F.lit(0)),
                                           F.coalesce("bool_share", F.lit(0)), F.col("distinct")))
             .withColumn("action", F.when(F.col("missing_pct") > drop_above_pct, "drop").otherwise("keep"))
@@ -202,14 +204,16 @@ def value_counts(df: DataFrame, col: str, out: str = "count") -> DataFrame:
 # --------------------------------------------------------------------------
 
 def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_col: str | None = None,
-                     n_samples: int = 5, top: int = 5, exact: bool = True, salt_buckets: int = 64) -> DataFrame:
+                     n_samples: int = 5, top: int = 5, exact: bool = True, issues: str | None = None,
+                     hours: str | None = None) -> DataFrame:
     """Per cluster size, %, sample names, per-feature mean/median/min/max, % difference from the
-    overall mean, the top features by absolute difference, and size/effort labels.
+    overall mean, the top features by absolute difference, and, from the cluster's mean
+    ``issues`` and mean ``hours`` where those columns are named, size and effort labels.
 
     Returns one row per (cluster, feature); cluster-level fields repeat.
-    Sample names are the first names in sort order, taken in two salted
-    steps so a huge cluster never sorts in one task.
+    Sample names are the first names in sort order; each task passes on that many at most.
     """
+    labels = ([label_size(F.avg(issues)).alias("size_label")] if issues else []) + ([label_effort(F.avg(hours)).alias("effort_label")] if hours else [])
     total = df.count()
     long = df.select(cluster, *[q(f).cast("double").alias(f) for f in features]).unpivot(
         [cluster], list(features), "feature", "value")
@@ -226,7 +230,7 @@ def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_
                          .when(o == 0, F.lit(math.inf)).otherwise(F.try_divide(m - o, o) * 100.0))
     rk = Window.partitionBy(cluster).orderBy(F.abs("pct_diff").desc_nulls_last(), "feature")
     per = per.withColumn("diff_rank", F.row_number().over(rk)).withColumn("is_top", F.col("diff_rank") <= top)
-    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"), *labels)
     sizes = sizes.withColumn("percentage", F.round(F.col("size") / F.lit(float(total)) * 100.0, 1))
     if name_col:
         from ..functions.ranking import first_k_per_group
@@ -237,12 +241,13 @@ def cluster_profiles(df: DataFrame, cluster: str, features: Sequence[str], name_
     return per.drop("_overall").join(sizes, cluster)
 
 
-def label_size(total_issues: Column) -> Column:
-    return F.when(total_issues > 10000, "large").when(total_issues > 1000, "medium").otherwise("small")
+# Labels and bounds of the cluster descriptions.
+def label_size(issues: Column) -> Column:
+    return F.when(issues > 10_000, "Large").when(issues > 1_000, "Medium").otherwise("Small")
 
 
-def label_effort(total_hours: Column) -> Column:
-    return F.when(total_hours > 1e6, "high").when(total_hours > 1e5, "medium").otherwise("low")
+def label_effort(hours: Column) -> Column:
+    return F.when(hours > 1_000_000, "High-effort").when(hours > 100_000, "Medium-effort").otherwise("Low-effort")
 
 
 # --------------------------------------------------------------------------

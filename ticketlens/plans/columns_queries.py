@@ -116,6 +116,16 @@ def q_align_columns(spark, sf_dir):
     return C.align_columns(issues_tl(spark, sf_dir), ["id", "inward_count", "story_points", "outward_count"])
 
 
+@register("J8_feature_report", with_issues("""
+SELECT 'inward_count' AS feature, 'available' AS status, count(inward_count) AS filled_rows FROM itl
+UNION ALL SELECT 'priority_name', 'available', count(priority_name) FROM itl
+UNION ALL SELECT 'story_points', 'absent', NULL FROM itl WHERE id IS NULL HAVING count(*) = 0
+UNION ALL SELECT 'resolution_time_hours', 'suspicious', count(resolution_time_hours) FROM itl""", ISSUES_TL))
+def q_feature_report(spark, sf_dir):
+    """Which wanted features are there, absent or suspicious, and how many rows fill them."""
+    return C.feature_report(issues_tl(spark, sf_dir), ["inward_count", "priority_name", "story_points"], ["resolution_time_hours", "hours_spent"])
+
+
 # ---- joins and unions ------------------------------------------------------------
 
 @register("J1_join_left_on_key", with_issues(CHANGES_SQL + """,

@@ -17,6 +17,7 @@ from ..operators import cluster as CL
 from ..operators import model as M
 from ..operators.columns import one_hot_values
 from ..operators.sampling import HASH_DIGITS, hash_order_sql, random_split
+from ..session import reuse
 from ..sources import tables as T
 from .catalog import register
 from .sqlbase import ISSUES_TL, with_issues
@@ -38,10 +39,16 @@ def task_table(spark, sf_dir):
 
 
 def split_sets(spark, sf_dir):
-    t = task_table(spark, sf_dir)
+    t = reuse(task_table(spark, sf_dir))    # fits read it again and again
     return t.where("split = 0"), t.where("split = 1")
 
 
+def three_sets(spark, sf_dir):
+    """Train, validation (to choose models on) and test (to score) tasks, written once for the many fits."""
+    t = reuse(random_split(task_table(spark, sf_dir).drop("split"), [0.6, 0.2, 0.2], "id", seed=SEED))
+    return t.where("split = 0"), t.where("split = 1"), t.where("split = 2")
+
+
 def baseline(train, test, keys, out="prediction"):
     """Mean training target of the same group; the global training mean where the group is unseen."""
     g = train.groupBy(*keys).agg(F.avg("y").alias("_gm"))
@@ -205,8 +212,8 @@ def q_fit_linear_per_group(spark, sf_dir):
 @register("M12_M13_predict_routed")
 def q_predict_routed(spark, sf_dir):
     """M12 + M13: best linear/forest model per repository (enough rows), global fallback, routed scoring."""
-    train, test = split_sets(spark, sf_dir)
-    models = M.fit_per_group(train, test, "repository", FEATS, "y", ("linear", "random_forest"), 50, 20, SEED)
+    train, valid, test = three_sets(spark, sf_dir)
+    models = M.fit_per_group(train, valid, "repository", FEATS, "y", ("linear", "random_forest"), 50, 20, SEED)
     return M.predict_routed(test.select("id", "repository", "y", *FEATS), models, "repository") \
         .select("id", "repository", "prediction")
 
@@ -218,6 +225,7 @@ def q_score_tasks(spark, sf_dir):
     m = M.fit_regressors(train, FEATS, "y", ("linear",), SEED)["linear"]
     open_ = issues_tl(spark, sf_dir).where(F.col("resolution_time_hours").isNull())
     open_ = one_hot_values(open_, "priority_name", "prio_", PRIORITIES)
+    open_ = one_hot_values(open_, "issue_type", "type_", SEGMENTS)
     return M.score_tasks(open_, m, FEATS, keep=["id"])
 
 

@@ -194,7 +194,7 @@ PF_FEATS = ["total_issues", "avg_resolution_hours", "pct_issues_created_on_weeke
 
 @register("A28_cluster_profiles", with_issues(f""",
 pf AS (SELECT it.project_id, min(it.project_name) AS project_name, min(it.repository) AS repository,
-         CAST(count(*) AS DOUBLE) AS total_issues, avg(resolution_time_hours) AS avg_resolution_hours,
+         CAST(count(*) AS DOUBLE) AS total_issues, sum(resolution_time_hours) AS total_hours, avg(resolution_time_hours) AS avg_resolution_hours,
          avg(CAST(coalesce(created_day_of_week >= 5, false) AS DOUBLE)) * 100.0 AS pct_issues_created_on_weekend
        FROM it GROUP BY it.project_id),
 lg AS ({_u([f"SELECT repository, '{f}' AS feature, {f} AS value FROM pf" for f in PF_FEATS])}),
@@ -204,18 +204,21 @@ ov AS (SELECT feature, avg(value) AS o FROM lg GROUP BY feature),
 pd AS (SELECT per.*, CASE WHEN mean = 0 AND o = 0 THEN 0.0 WHEN o = 0 THEN 'inf'::DOUBLE ELSE (mean - o) / o * 100.0 END AS pct_diff
        FROM per JOIN ov ON per.feature = ov.feature),
 rk AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY abs(pct_diff) DESC NULLS LAST, feature) AS diff_rank FROM pd),
-sz AS (SELECT repository, count(*) AS size, round(count(*) / (SELECT count(*) FROM pf) * 100.0, 1) AS percentage,
+sz AS (SELECT repository, count(*) AS size,
+         CASE WHEN avg(total_issues) > 10000 THEN 'Large' WHEN avg(total_issues) > 1000 THEN 'Medium' ELSE 'Small' END AS size_label,
+         CASE WHEN avg(total_hours) > 1000000 THEN 'High-effort' WHEN avg(total_hours) > 100000 THEN 'Medium-effort' ELSE 'Low-effort' END AS effort_label, round(count(*) / (SELECT count(*) FROM pf) * 100.0, 1) AS percentage,
          list_sort(list(project_name ORDER BY project_name)[1:5]) AS sample_projects FROM pf GROUP BY repository)
 SELECT rk.repository, rk.feature, rk.mean, rk.median, rk.min, rk.max, rk.pct_diff, CAST(rk.diff_rank AS INTEGER) AS diff_rank,
   rk.diff_rank <= 5 AS is_top,
-  sz.size, sz.percentage, sz.sample_projects
+  sz.size, sz.size_label, sz.effort_label, sz.percentage, sz.sample_projects
 FROM rk JOIN sz ON rk.repository = sz.repository"""))
 def q_cluster_profiles(spark, sf_dir):
     """Per-repository profile of project features (size, share, samples, stats, % difference, top features)."""
     it = issues_t(spark, sf_dir)
     pf = project_overview(it, name_cols=["project_name", "repository"])
     pf = pf.withColumn("total_issues", F.col("total_issues").cast("double"))
-    return S.cluster_profiles(pf, "repository", PF_FEATS, name_col="project_name")
+    hours = it.groupBy("project_id").agg(F.sum("resolution_time_hours").alias("total_hours"))
+    return S.cluster_profiles(pf.join(hours, "project_id"), "repository", PF_FEATS, name_col="project_name", issues="total_issues", hours="total_hours")
 
 
 @register("A29_importance_by_category", f"""
