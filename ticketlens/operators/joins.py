@@ -92,7 +92,3 @@ def union_distinct_count(a: DataFrame, b: DataFrame, col: str, group: Sequence[s
     """Size of the set union of two name sets (per group)."""
     u = a.select(*group, F.col(col).alias("_v")).union(b.select(*group, F.col(col).alias("_v"))).distinct()
     return u.groupBy(*group).agg(F.count("_v").alias("n"))
-
-
-def with_column_if(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    return df.withColumn(name, expr)

@@ -216,4 +216,4 @@ def fetch_projects(df: DataFrame, chosen: Sequence, project: str = "project_id",
         k = key or df.columns[0]
         return df.orderBy(hash_order(F.col(k), seed), F.col(k)).limit(fallback_rows)
     ids = df.sparkSession.createDataFrame([(c,) for c in chosen], df.select(project).schema)
-    return df.join(F.broadcast(ids), project, "left_semi")
+    return df.join(small_side(ids), project, "left_semi")

@@ -25,6 +25,11 @@ def _flat_issues(spark, sf_dir):
     return TB.issues(spark, sf_dir).select("id", "key", "repository", "project_name", "priority_name", "status")
 
 
+def _repositories(flat):
+    """The trackers there are; one batch arrives from each."""
+    return sorted(r[0] for r in flat.select("repository").distinct().collect())
+
+
 FLAT_SQL = "SELECT id, key, repository, project_name, priority_name, status FROM issues"
 
 
@@ -92,8 +97,7 @@ def q_append_issues(spark, sf_dir):
     """Batches of issues appended to a repository-partitioned table, read back whole."""
     path = FS.scratch_path(spark, "append")
     flat = _flat_issues(spark, sf_dir)
-    repos = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    for r in repos:  # one append per arriving batch
+    for r in _repositories(flat):  # one append per arriving batch
         SI.append_issues(flat.where(F.col("repository") == r), path)
     return spark.read.parquet(path).select("id", "key", "repository", "project_name", "priority_name", "status")
 
@@ -125,7 +129,7 @@ def q_ingest_issues_stream(spark, sf_dir):
     a second run over the same folder appends nothing."""
     src, table, ckpt = (FS.scratch_path(spark, n) for n in ("st1-src", "st1-table", "st1-ckpt"))
     flat = _flat_issues(spark, sf_dir)
-    for r in ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]:
+    for r in _repositories(flat):
         flat.where(F.col("repository") == r).write.mode("append").parquet(src)
     ST.ingest_issues_stream(spark, src, flat.schema, table, ckpt)
     ST.ingest_issues_stream(spark, src, flat.schema, table, ckpt)   # restart: nothing new, nothing twice

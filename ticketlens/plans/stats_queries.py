@@ -328,7 +328,7 @@ def _h(col: str, seed: int = 42) -> str:
     return W.hash_order_sql(col, seed)
 
 
-def _u(col: str, seed: int = 42) -> str:
+def _unit(col: str, seed: int = 42) -> str:
     return f"{_h(col, seed)} / CAST({1 << 4 * W.HASH_DIGITS} AS DOUBLE)"
 
 
@@ -342,7 +342,7 @@ def q_sample_exact(spark, sf_dir):
     return W.sample_exact(T.issues(spark, sf_dir).select("id", "repository"), 0.1, "id", "repository", seed=42)
 
 
-@register("W7_sample_frac", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_u('l_orderkey')} < 0.1")
+@register("W7_sample_frac", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_unit('l_orderkey')} < 0.1")
 def q_sample_frac(spark, sf_dir):
     """~10 % sample of whole orders' lines by seeded hash of the order key."""
     li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -362,8 +362,8 @@ def q_select_projects(spark, sf_dir):
 
 
 @register("W9_random_split", f"""
-SELECT o_orderkey, CASE WHEN {_u('o_orderkey', 7)} < 0.6 THEN 0
-                        WHEN {_u('o_orderkey', 7)} < 0.8 THEN 1 ELSE 2 END AS split FROM orders""")
+SELECT o_orderkey, CASE WHEN {_unit('o_orderkey', 7)} < 0.6 THEN 0
+                        WHEN {_unit('o_orderkey', 7)} < 0.8 THEN 1 ELSE 2 END AS split FROM orders""")
 def q_random_split(spark, sf_dir):
     """60/20/20 split by seeded hash of the key."""
     o = T.read_table(spark, sf_dir, "orders").select("o_orderkey")

@@ -97,8 +97,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Plan nodes that make recomputing a frame cost more than re-reading it.
-_EXPENSIVE = ("Join", "Aggregate", "Window", "Generate", "Expand", "Sort")
+# Operators of an optimized plan that cost no more to run again than a read of their result.
+_CHEAP = frozenset(("Project", "Filter", "LogicalRelation", "LocalRelation", "SubqueryAlias", "Range"))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether the optimized plan is a scan with filters and projections alone."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split(" ")[0] not in _CHEAP:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
 
 
 def reuse(df: DataFrame) -> DataFrame:
@@ -110,7 +122,4 @@ def reuse(df: DataFrame) -> DataFrame:
     the written result instead of recomputing the joins, and the lineage is
     cut (a lost executor re-reads the checkpoint, not the whole upstream).
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(tok in plan for tok in _EXPENSIVE):
-        return cut_lineage(df)
-    return df
+    return df if _is_scan(df) else cut_lineage(df)
