@@ -92,6 +92,18 @@ def inf_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                        else q(c) for c in df.columns])
 
 
+def inf_to_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN and +-inf -> the exact median of the column's finite values (null where there are none); nulls stay."""
+    from ..functions.stats import column_quantiles, finite_or_null
+
+    fl = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    cols = fl if cols is None else [c for c in cols if c in fl]
+    medians = column_quantiles(df.select(*[finite_or_null(q(c)).alias(c) for c in cols]), cols, [0.5])
+    middle = {c: (medians[c] or [None])[0] for c in cols}
+    return df.select(*[F.when(q(c).isNull() | finite_or_null(q(c)).isNotNull(), q(c)).otherwise(F.lit(middle[c]).cast("double")).alias(c)
+                       if c in middle else q(c) for c in df.columns])
+
+
 # Keywords of the columns whose negatives are clamped to 0.
 CLIP_KEYWORDS = ("count", "hours", "duration")
 

@@ -320,10 +320,25 @@ def column_family(name: Column) -> Column:
             .otherwise("other"))
 
 
+# The core columns of every subset, and the share of repositories that must hold a common column.
+CORE_COLUMNS = ("project_id", "project_key", "project_name", "repository", "total_issues", "project_start_date", "project_duration_days",
+                "avg_resolution_hours", "num_resolved_issues", "pct_resolved_issues")
+COMMON_SHARE = 0.35
+
+
+def common_and_filled(df: DataFrame, group: str = "repository") -> dict[str, DataFrame]:
+    """``common`` (columns that hold data in enough repositories) and ``filled`` (no value missing)."""
+    from .columns import common_columns
+    from .impute import fill_all
+
+    return {"common": df.select(*[q(c) for c in common_columns(df, group, COMMON_SHARE)]), "filled": fill_all(df)}
+
+
 def feature_subsets(df: DataFrame) -> dict[str, DataFrame]:
     """Named projections by family: core, temporal, priority, issue_type, resolution+efficiency."""
     fam = {c: family_of(c) for c in df.columns}
-    core = [c for c in df.columns if fam[c] == "core"]
+    core = [c for c in CORE_COLUMNS if c in df.columns]
+    fam |= dict.fromkeys(core, "core")
 
     def pick(*names):
         return df.select(*[q(c) for c in core + [c for c in df.columns if fam[c] in names]])

@@ -39,6 +39,7 @@ def load_all() -> dict[str, Query]:
     """Import every plan module so its queries register themselves."""
     from . import (  # noqa: F401
         columns_queries,
+        extra_queries,
         file_queries,
         impute_queries,
         issue_queries,
