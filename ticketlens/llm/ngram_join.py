@@ -16,10 +16,11 @@ hold enough shingles.
 2. Each class gives a row per segment subset (and one-deletion subset) it may
    be asked for. Rows of one key are read as a sorted stream: short runs give
    their pairs, long runs a star around their largest set and a chain.
-3. Pairs are verified on the texts of the classes concerned: exact sets, exact
-   integer arithmetic. Verified links make components (large-star, small-star).
-4. Long runs that still hold several components give their remaining pairs across
-   components, which are verified too. So no link between components is lost,
+3. Pairs whose parity bits differ in more places than linked sets may differ in
+   shingles go. The others are verified on the texts of the classes concerned:
+   whole sets, integer arithmetic. Verified links make components (large-star, small-star).
+4. Long runs that still hold several components give the pairs across components
+   whose parity bits allow a link, which are verified too. So no link between components is lost,
    and pairs inside a component are not spelled out.
 5. Every document gets the smallest id of its component.
 """
@@ -43,6 +44,8 @@ _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 #: Least ratio of a band's bounds, and the longest runs of a key that give all their pairs.
 BAND_RATIO, SHORT_RUN = 1.6, 12
+#: Rows of a long run that are compared with its others at once.
+BLOCK = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,6 +74,30 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit per bucket of shingles: whether it holds an odd number of them.
+
+    There are as many buckets as shingles at least, a power of two. Two sets
+    differ in as many shingles at least as their parities differ in bits.
+    """
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    bucket = (_mix(s + _U(_STEP >> 1)) & _U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(bucket, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(rows: list[bytes], words: int) -> np.ndarray:
+    """Parities as rows of ``words`` 64-bit words: those of more buckets have their halves added up."""
+    out = np.empty((len(rows), words), _U)
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        x = np.frombuffer(b"".join([rows[i] for i in own.tolist()]), _U).reshape(len(own), -1)
+        while x.shape[1] > words:
+            x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+        out[own] = x
+    return out
+
+
 class Threshold:
     """Bands, segments and efforts for a Jaccard likeness of ``num / den`` at least."""
 
@@ -94,6 +121,10 @@ class Threshold:
         """Greatest symmetric difference of a set of ``a`` shingles and a linked one that is no larger."""
         return 2 * a * (self.den - self.num) // (self.den + self.num)
 
+    def most(self, sizes):
+        """Greatest symmetric difference of two linked sets, from their sizes' sum."""
+        return sizes * (self.den - self.num) // (self.den + self.num)
+
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
@@ -154,8 +185,9 @@ def _classes(width: int):
         for b in batches:
             sets = [shingle_set(t, width) for t in _texts(b)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())],
-                                             [*b.schema.names[:-1], "n_shingles", "class"])
+                                              pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                                              pa.array([parities(s) if len(s) else None for s in sets], pa.binary())],
+                                             [*b.schema.names[:-1], "n_shingles", "class", "parities"])
     return run
 
 
@@ -246,6 +278,22 @@ def _runs(threshold: Threshold):
     return run
 
 
+def _sift(threshold: Threshold):
+    """Pairs whose parities allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            words = np.array([min(len(p), len(q)) // 8 for p, q in zip(x, y, strict=True)])
+            ok = np.zeros(len(words), bool)
+            for w in np.unique(words).tolist():
+                at = np.flatnonzero(words == w)
+                differ = folded([x[i] for i in at.tolist()], w) ^ folded([y[i] for i in at.tolist()], w)
+                ok[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= threshold.most(na[at] + nb[at])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
+    return run
+
+
 def _pack(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
@@ -276,25 +324,40 @@ def _verify(width: int, threshold: Threshold):
 
 
 def _across(threshold: Threshold):
-    """Pairs across components of long runs, from rows sorted by key and falling tag; a window of sizes bounds the rows held."""
+    """Pairs across components of long runs that their parities allow to link, from rows sorted by key and falling tag.
+
+    Blocks of rows are compared with the rows before them that are near enough
+    in size; only those are held.
+    """
     num, den = threshold.num, threshold.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held, bits = np.zeros((4, 0), np.int64), []
         for b in batches:
-            rows = np.stack([c.to_numpy() for c in b.columns])
-            for at in range(0, rows.shape[1], 1024):
-                part = rows[:, at:at + 1024]
-                every = np.concatenate([held, part], axis=1)
-                key, cls, tag, comp = every
-                size, asks, n = tag >> 1, tag & 1 == 1, held.shape[1]
-                for j in range(n, every.shape[1]):
-                    i = int(np.searchsorted(key[:j], key[j], "left"))
-                    near = slice(i, j)
-                    ok = (comp[near] != comp[j]) & (asks[near] | (asks[j] & (size[near] == size[j]))) & (den * size[j] >= num * size[near])
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(cls[near][ok]), pa.array(np.full(int(ok.sum()), cls[j]))], ["a", "b"])
-                held = every[:, (key == key[-1]) & (den * size[-1] >= num * size)]
+            rows, own = np.stack([c.to_numpy() for c in b.columns[:4]]), b.column(4).to_pylist()
+            for at in range(0, rows.shape[1], BLOCK):
+                held, bits = np.concatenate([held, rows[:, at:at + BLOCK]], axis=1), bits + own[at:at + BLOCK]
+                first = held.shape[1] - min(BLOCK, rows.shape[1] - at)
+                key, cls, tag, comp = held
+                size, asks = tag >> 1, tag & 1 == 1
+                for k in np.unique(key[first:]).tolist():
+                    run_rows = np.flatnonzero(key == k)
+                    late = run_rows[run_rows >= first]
+                    near = (comp[run_rows][:, None] != comp[late]) & (run_rows[:, None] < late) & (den * size[late] >= num * size[run_rows][:, None])
+                    near &= asks[run_rows][:, None] | (asks[late] & (size[run_rows][:, None] == size[late]))
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        x = folded([bits[n] for n in run_rows.tolist()], min(len(bits[n]) for n in run_rows.tolist()) // 8)
+                        place = np.searchsorted(run_rows, late)
+                        step = max(64, (1 << 19) // x.shape[1])     # 4 MB at once
+                        for cut in range(0, len(i), step):
+                            p, q = i[cut:cut + step], j[cut:cut + step]
+                            differ = np.bitwise_count(x[p] ^ x[place[q]]).sum(axis=1, dtype=np.int64)
+                            ok = differ <= threshold.most(size[run_rows[p]] + size[late[q]])
+                            if ok.any():
+                                yield pa.RecordBatch.from_arrays([pa.array(cls[run_rows[p]][ok]), pa.array(cls[late[q]][ok])], ["a", "b"])
+                keep = np.flatnonzero((key == key[-1]) & (den * size[-1] >= num * size))
+                held, bits = held[:, keep], [bits[n] for n in keep.tolist()]
     return run
 
 
@@ -338,17 +401,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     threshold = Threshold(num, den)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = cut_lineage(rows.mapInArrow(_classes(width), f"doc_id {id_type}, n_shingles long, class long"))
+    members = cut_lineage(rows.mapInArrow(_classes(width), f"doc_id {id_type}, n_shingles long, class long, parities binary"))
+    classes = cut_lineage(members.where("class IS NOT NULL").dropDuplicates(["class"]).withColumnRenamed("doc_id", "one"))
     keyed = rows.select("_text").mapInArrow(_key_rows(width, threshold), "key long, class long, tag long")
     keyed = keyed.repartition("key").sortWithinPartitions("key", F.desc("tag"), "class")
     found = cut_lineage(keyed.mapInArrow(_runs(threshold), "kind long, a long, b long, tag long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("parities").alias("xa"))
+        two = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("parities").alias("xb"))
+        pairs = cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "xa", "xb")
+                            .mapInArrow(_sift(threshold), "a long, b long"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        chosen = (members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("one"))
-                  .select("class", F.col("one").alias("one")))
-        chosen = cut_lineage(chosen)
+        chosen = cut_lineage(classes.join(wanted, "class", "left_semi").select("class", "one"))
         ids = chosen.select("one").distinct()
         packed = (rows.join(small_side(ids), rows["doc_id"].eqNullSafe(ids["one"]), "left_semi").select("_text")
                   .mapInArrow(_pack(width), "class long, packed binary").join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]))
@@ -363,8 +429,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not runs.isEmpty():
         placed = runs.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = (placed.join(mixed, "key", "left_semi").select("key", "class", "tag", "component")
-                .repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
+        rest = (placed.join(mixed, "key", "left_semi").join(classes.select("class", "parities"), "class")
+                .select("key", "class", "tag", "component", "parities").repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
         more = cut_lineage(rest.mapInArrow(_across(threshold), "a long, b long"))
         if not more.isEmpty():
             label = components(links.union(verified(more)))
