@@ -19,8 +19,9 @@ hold enough shingles.
 3. Pairs whose parity bits differ in more places than linked sets may differ in
    shingles go. The others are verified on the texts of the classes concerned:
    whole sets, integer arithmetic. Verified links make components (large-star, small-star).
-4. Long runs that still hold several components give the pairs across components
-   whose parity bits allow a link, which are verified too. So no link between components is lost,
+4. Long runs that still hold several components give, for each row, its nearest
+   partner in another component; when these are verified and joined, what is left
+   gives all pairs across components whose parity bits allow a link. So no link between components is lost,
    and pairs inside a component are not spelled out.
 5. Every document gets the smallest id of its component.
 """
@@ -77,10 +78,11 @@ def class_of(s: np.ndarray) -> int:
 def parities(s: np.ndarray) -> bytes:
     """A bit per bucket of shingles: whether it holds an odd number of them.
 
-    There are as many buckets as shingles at least, a power of two. Two sets
-    differ in as many shingles at least as their parities differ in bits.
+    There are four buckets a shingle at least, a power of two, so few shingles
+    cancel out. Two sets differ in as many shingles at least as their parities
+    differ in bits.
     """
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+    bits = max(64, 4 << (len(s) - 1).bit_length())
     bucket = (_mix(s + _U(_STEP >> 1)) & _U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(bucket, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -323,11 +325,12 @@ def _verify(width: int, threshold: Threshold):
     return run
 
 
-def _across(threshold: Threshold):
+def _across(threshold: Threshold, nearest: bool):
     """Pairs across components of long runs that their parities allow to link, from rows sorted by key and falling tag.
 
     Blocks of rows are compared with the rows before them that are near enough
-    in size; only those are held.
+    in size; only those are held. ``nearest`` gives each row's nearest partner
+    alone, at most a pair a row; else all pairs.
     """
     num, den = threshold.num, threshold.den
 
@@ -350,12 +353,21 @@ def _across(threshold: Threshold):
                         x = folded([bits[n] for n in run_rows.tolist()], min(len(bits[n]) for n in run_rows.tolist()) // 8)
                         place = np.searchsorted(run_rows, late)
                         step = max(64, (1 << 19) // x.shape[1])     # 4 MB at once
+                        best: dict[int, tuple[int, int]] = {}
                         for cut in range(0, len(i), step):
                             p, q = i[cut:cut + step], j[cut:cut + step]
                             differ = np.bitwise_count(x[p] ^ x[place[q]]).sum(axis=1, dtype=np.int64)
                             ok = differ <= threshold.most(size[run_rows[p]] + size[late[q]])
-                            if ok.any():
-                                yield pa.RecordBatch.from_arrays([pa.array(cls[run_rows[p]][ok]), pa.array(cls[late[q]][ok])], ["a", "b"])
+                            p, q, differ = p[ok], q[ok], differ[ok]
+                            if nearest:
+                                order = np.lexsort([p, differ, q])
+                                for n in order[np.r_[True, np.diff(q[order]) > 0]].tolist() if len(q) else ():
+                                    best[int(q[n])] = min(best.get(int(q[n]), (1 << 60, 0)), (int(differ[n]), int(p[n])))
+                            elif len(p):
+                                yield pa.RecordBatch.from_arrays([pa.array(cls[run_rows[p]]), pa.array(cls[late[q]])], ["a", "b"])
+                        if best:
+                            yield pa.RecordBatch.from_arrays([pa.array([int(cls[run_rows[n]]) for _, n in best.values()], pa.int64()),
+                                                              pa.array([int(cls[late[n]]) for n in best], pa.int64())], ["a", "b"])
                 keep = np.flatnonzero((key == key[-1]) & (den * size[-1] >= num * size))
                 held, bits = held[:, keep], [bits[n] for n in keep.tolist()]
     return run
@@ -426,14 +438,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = verified(found.where("kind = 0"))
     label = components(links)
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"), "tag")
-    if not runs.isEmpty():
+    for nearest in (True, False) if not runs.isEmpty() else ():
         placed = runs.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         rest = (placed.join(mixed, "key", "left_semi").join(classes.select("class", "parities"), "class")
                 .select("key", "class", "tag", "component", "parities").repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
-        more = cut_lineage(rest.mapInArrow(_across(threshold), "a long, b long"))
+        more = cut_lineage(rest.mapInArrow(_across(threshold, nearest), "a long, b long"))
+        if more.isEmpty():
+            break
+        more = verified(more)
         if not more.isEmpty():
-            label = components(links.union(verified(more)))
+            links = links.union(more)
+            label = components(links)
     placed = members.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = placed.where("class IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return (placed.join(lowest, "component", "left")
