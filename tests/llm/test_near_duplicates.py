@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from ticketlens.llm import ngram_join, order_minhash
 from ticketlens.llm.queries import op4_order_minhash
 
@@ -88,6 +89,30 @@ def test_every_link_shares_a_key(size, change, seed):
     assert set(ka[asks].tolist()) & set(kb.tolist())
 
 
+def five_word_brute(rows):
+    """Group number of each row by links of 0.8 on five-word shingles; a text without words is alone."""
+    sets = [shingles(t or "", 5) for _, t in rows]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_pipeline_stage_links_from_080_on_five_words(spark):
+    """A copy with a fifth appended (0.833), one cut by 18 percent, and varied groups, against 5/0.8 brute force."""
+    rng = random.Random(11)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(1000)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + [f"x{i}" for i in range(200)])), (2, " ".join(words[:820]))]
+    rows += [(10 + i, t) for i, t in varied(6, 40, 4, 120, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()}
+    group = five_word_brute(rows)
+    assert got == {min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in group}
+    assert not {1, 2} & got
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 2000 + i) for i in range(50)]
     got = {r.node: r.component for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
