@@ -49,10 +49,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near duplicates."""
-    found = cut_lineage(ngram_join.jaccard_components(docs, width=NEAR_WIDTH, num=NEAR_NUM, den=NEAR_DEN))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(gone), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each component of near duplicates: of the smallest id, rows without an id last.
+
+    Rows are told apart by id and text, so neither null nor repeated ids take
+    other rows along. Rows of one id and text are copies of each other.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    found = cut_lineage(ngram_join.jaccard_components(keyed, width=NEAR_WIDTH, num=NEAR_NUM, den=NEAR_DEN))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.withColumn("_row", key).join(small_side(gone), F.col("_row") == F.col("_gone"), "left_anti")
+    twice = (found.where("n_shingles > 0 AND doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).count()
+             .where("count > 1").select("_twice"))
+    once = left.join(small_side(twice), F.col("_row") == F.col("_twice"), "left_anti").select(*docs.columns)
+    one = (left.join(small_side(twice), F.col("_row") == F.col("_twice"), "left_semi")
+           .groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_one")).select("_one.*"))
+    return once.unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,6 +113,20 @@ def test_pipeline_stage_links_from_080_on_five_words(spark):
     assert not {1, 2} & got
 
 
+def test_pipeline_stage_decides_by_row(spark):
+    """Null ids, one id over two texts, and repeated rows: one row of each component stays, and each unlinked row."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c + " end"), (5, d), (6, d), (6, e), (7, f), (7, f),
+            (None, None), (None, ""), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    want = [(1, a), (None, b), (5, d), (6, e), (7, f), (None, None), (None, ""), (8, ""), (8, "")]
+    ends = [x for x in got if x in ((None, c), (None, c + " end"))]
+    assert len(ends) == 1
+    assert sorted(got, key=repr) == sorted(want + ends, key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)] + [(1000, 2000 + i) for i in range(50)]
     got = {r.node: r.component for r in ngram_join.components(spark.createDataFrame(links, "a long, b long")).collect()}
