@@ -85,6 +85,27 @@ def test_license_tables():
     assert lengths == sorted(lengths, reverse=True)
 
 
+@pytest.mark.parametrize("width", [None, 30, 47])
+def test_every_sentence_and_rule_is_found_in_its_own_text(spark, width):
+    """Plain and wrapped, also where the cut divides a sentence; each mark is within a word."""
+    import textwrap
+
+    def shown(text):
+        return textwrap.fill(text, width, break_long_words=False, break_on_hyphens=False) if width else text
+    assert not any(" " in m for m in license_scan.MARKS)
+    texts = [(f"s{i}", shown(f"{s}. More text.")) for i, s in license_scan.SENTENCES.items()]
+    texts += [(f"r{n}", shown(". ".join(license_scan.SENTENCES[i] for i in ids) + ".")) for n, (*_, ids) in enumerate(license_scan.RULES)]
+    texts += [("own", "\n\n".join([shown(". ".join(license_scan.SENTENCES[i] for i in (11, 12)) + ". You may obtain a copy of the License at"),
+                                   "    http://www.apache.org/licenses/LICENSE-2.0", shown(". ".join(license_scan.SENTENCES[i] for i in (14, 15)))]))]
+    rows = license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string"), ["doc_id"]).collect()
+    got = {r.doc_id: r for r in rows}
+    for i in license_scan.SENTENCES:
+        assert f"<{i}>" in got[f"s{i}"].wrapped_sequence
+    for n, (name, kind, _) in enumerate(license_scan.RULES):
+        assert got[f"r{n}"].findings == [f"{name} ({kind})"]
+    assert got["own"].wrapped_sequence == "<11><12><13><14><15>"
+
+
 def test_license_odd_rows(odd):
     assert len(license_scan.scan_licenses(odd, ["doc_id", "words"]).collect()) == len(ROWS)
     assert license_scan.scan_licenses(odd.limit(0), ["doc_id"]).collect() == []

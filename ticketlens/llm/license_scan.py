@@ -8,8 +8,11 @@ order, the longest first; a rule that finds its identifiers in sequence takes
 them, so that a part of a longer notice is not reported again. A licence is
 reported if either way of cutting finds it.
 
-Every known sentence holds one of ``MARKS``, so a text with none of them has no
-finding and is not cut. Rows are independent: no shuffle.
+A known sentence that the cut itself divides ("v. 2.0"), or that is usually set
+in two paragraphs, is known by its parts where they follow each other.
+
+Every known sentence holds one of ``MARKS``, each within one word, so a text
+with none of them has no finding and is not cut. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARKS = ("licen", "permission", "warrant", "redistribut", "public domain", "copyright", "liable")
+MARKS = ("licen", "permission", "warrant", "redistribut", "unencumbered", "copyright", "liable")
 
 # Sentences of public licence texts and notices.
 SENTENCES = {
@@ -91,11 +94,21 @@ def normalised(sentence: str) -> str:
     return re.sub(_OTHER, " ", sentence.lower()).strip(" ")
 
 
+def _parted() -> list[tuple[list[str], str]]:
+    """Normalised parts, and the normalised sentence, of known sentences that texts may have in parts."""
+    own = [(re.split(SPACE_ENDS, s), s) for s in SENTENCES.values()]
+    own.append((SENTENCES[13].rsplit(" ", 1), SENTENCES[13]))      # the address in a paragraph of its own
+    return [([normalised(x) for x in parts], normalised(s)) for parts, s in own if len(parts) > 1]
+
+
 def _sequence(text: Column, ends: str) -> Column:
     """Identifiers of the known sentences in their order, as ``<1><3>``."""
     known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), f"<{k}>")))
-    own = F.transform(F.split(text, ends), lambda s: F.trim(F.regexp_replace(F.lower(s), _OTHER, " ")))
-    return F.array_join(F.transform(own, lambda s: F.element_at(known, s)), "")
+    own = F.transform(F.split(text, ends), lambda s: F.concat(F.lit("["), F.trim(F.regexp_replace(F.lower(s), _OTHER, " ")), F.lit("]")))
+    joined = F.replace(F.array_join(own, ""), F.lit("[]"), F.lit(""))
+    for parts, whole in _parted():
+        joined = F.replace(joined, F.lit("".join(f"[{x}]" for x in parts)), F.lit(f"[{whole}]"))
+    return F.array_join(F.transform(F.split(joined, r"[\[\]]+"), lambda s: F.element_at(known, s)), "")
 
 
 def _apply_rules(sequence: Column) -> Column:
