@@ -252,6 +252,12 @@ def test_warc_query(spark, duck_small):
         assert all(r.refers_to == r.response_id for r in by_uri[url])
 
 
+def test_html_text_finds_closing_tags_in_capitals_beside_letters_that_grow():
+    page = "<TITLE>\u0130zmir</TITLE><p>one</p><SCRIPT>x</SCRIPT><p>two</p><style>y</STYLE><p>\u0130\u0130 three"
+    assert warc.html_text(page) == ("one\ntwo\n\u0130\u0130 three", "\u0130zmir", [])
+    assert warc.html_text("\u0130<script>x</\u017fcript>y</Script>z")[0] == "\u0130z"
+
+
 def test_html_text_is_linear():
     assert warc.html_text("<script>" * 20000 + "x")[0] == ""
     assert warc.html_text("<!--" * 20000)[0] == ""

@@ -26,6 +26,7 @@ _TAG = re.compile(r"<(!--|/?[a-zA-Z][^\s/>]*)")
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header "
                    "hr html li main nav ol p pre section table td th title tr ul".split())
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "title"))
+_CLOSE = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in _SKIPPED}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
 _HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
@@ -73,7 +74,7 @@ def decoded_body(headers: dict[str, str], body: bytes) -> bytes:
 
 def html_text(source: str) -> tuple[str, str, list[str]]:
     """Plain text, title and link targets; one pass, linear in the length."""
-    out, links, title, at, low = [], [], "", 0, None
+    out, links, title, at = [], [], "", 0
     while m := _TAG.search(source, at):
         out.append(source[at:m.start()])
         name = m[1].lower()
@@ -84,8 +85,8 @@ def html_text(source: str) -> tuple[str, str, list[str]]:
         end = source.find(">", m.end())
         stop = len(source) if end < 0 else end + 1
         if name in _SKIPPED:
-            low = source.lower() if low is None else low
-            close = low.find(f"</{name}", stop) if len(low) == len(source) else source.find(f"</{name}", stop)
+            m = _CLOSE[name].search(source, stop)
+            close = m.start() if m else -1
             if name == "title" and not title:
                 title = " ".join(html.unescape(source[stop:close if close >= 0 else len(source)]).split())
             at = len(source) if close < 0 else close
