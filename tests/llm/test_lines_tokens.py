@@ -44,6 +44,22 @@ def test_line_dedup_odd_rows(odd, least):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_line_dedup_probes_each_distinct_text_once(spark, monkeypatch):
+    """A text of very many copies does not make one pandas group of all their probes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "COPY_PROBES", 20)
+    texts = ["common\nhot line"] * 200 + [f"common\nown {i}" for i in range(100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(F.md5("text").alias("text_md5"), "text").repartition(4)
+    hashes = rows.mapInArrow(line_dedup._hash_lines, "text_md5 string, h1 array<long>, h2 array<long>")
+    probes = line_dedup.line_probes(hashes, line_dedup.line_index(hashes, 1), 1)
+    assert probes.count() == 2 * 101
+    assert probes.groupBy("shard", "copy").count().agg(F.max("count")).first()[0] <= 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.drop_repeated_lines(docs, ["doc_id"]).collect()}
+    assert got == {i: "" if i < 200 else f"own {i - 200}" for i in range(300)}
+
+
 def test_line_dedup_copies_of_a_hot_shard(spark, odd, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_LINES", 8)
     monkeypatch.setattr(line_dedup, "COPY_PROBES", 4)

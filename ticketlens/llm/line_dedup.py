@@ -5,9 +5,10 @@
 2. The hashes are counted with partial aggregation and dealt to shards. One
    task per shard builds a minimal perfect hash over the shard's distinct
    hashes and, by slot, a fingerprint array and a document-count array.
-3. The rows' hashes are sent to their shards and probe the arrays there; a
-   shard with many probes (a line that a third of all rows share) is copied
-   and its probes are dealt over the copies. Only hits come back.
+3. The hashes of each distinct text are sent to their shards and probe the
+   arrays there; a shard with many probes (a line that a third of all texts
+   share) is copied and its probes are dealt over the copies. Only hits come
+   back.
 4. A row with hits drops those lines from its own text.
 
 No line text leaves its row and no line table is joined. Shards hold about
@@ -78,6 +79,15 @@ def line_index(hashes: DataFrame, shards: int) -> DataFrame:
         _build_shard, "shard long, probes long, width int, index binary, marks binary, counts binary")
 
 
+def line_probes(hashes: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """``text_md5, h1, h2`` of each distinct text's lines once, with the ``shard`` and the ``copy`` of it that they probe."""
+    copies = F.ceil(F.col("probes") / COPY_PROBES)
+    hot = index.where(copies > 1).select("shard", copies.cast("long").alias("copies"))
+    return (hashes.dropDuplicates(["text_md5"]).select("text_md5", F.explode(F.arrays_zip("h1", "h2")).alias("x")).select("text_md5", "x.h1", "x.h2")
+            .withColumn("shard", F.pmod("h1", F.lit(shards))).join(small_side(hot), "shard", "left")
+            .withColumn("copy", F.pmod(F.xxhash64("text_md5"), F.coalesce("copies", F.lit(1)))).drop("copies"))
+
+
 def _probe(min_docs: int):
     def probe(key: tuple, rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(shard):
@@ -131,11 +141,8 @@ def drop_repeated_lines(docs: DataFrame, columns: list[str], text: str = "text",
     total = hashes.agg(F.sum(F.size("h1"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_LINES))
     index = cut_lineage(line_index(hashes, shards))
+    probes = line_probes(hashes, index, shards)
     copies = F.ceil(F.col("probes") / COPY_PROBES)
-    hot = index.where(copies > 1).select("shard", copies.cast("long").alias("copies"))
-    probes = (hashes.select("text_md5", F.explode(F.arrays_zip("h1", "h2")).alias("x")).select("text_md5", "x.h1", "x.h2")
-              .withColumn("shard", F.pmod("h1", F.lit(shards))).join(small_side(hot), "shard", "left")
-              .withColumn("copy", F.pmod(F.xxhash64("text_md5"), F.coalesce("copies", F.lit(1)))).drop("copies"))
     arrays = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies.cast("long"), F.lit(1).cast("long")) - 1)))
     hits = (probes.groupBy("shard", "copy").cogroup(arrays.groupBy("shard", "copy"))
             .applyInPandas(_probe(min_docs), "text_md5 string, h1 long, h2 long"))
