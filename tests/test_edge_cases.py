@@ -266,3 +266,13 @@ def test_average_rank_ties(spark):
     m = spark.createDataFrame([("m1", 1.0), ("m2", 1.0), ("m3", 2.0)], "model string, err double")
     got = {r["model"]: r["rank_err"] for r in average_rank_table(m, {"err": False}).collect()}
     assert got == {"m1": 1.5, "m2": 1.5, "m3": 3.0}
+
+
+def test_pivot_metric_query_keeps_further_languages(spark, tmp_path):
+    """A language that the given tables do not hold has its column too."""
+    from ticketlens.plans.catalog import load_all
+
+    rows = [("s", "en", 10), ("s", "it", 30), ("s", "it", 50), ("t", "pt", 7)]
+    spark.createDataFrame(rows, "source string, lang string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = load_all()["A32_pivot_metric"].build(spark, str(tmp_path)).orderBy("source").collect()
+    assert [r.asDict() for r in got] == [{"source": "s", "en": 10.0, "it": 40.0, "pt": None}, {"source": "t", "en": None, "it": None, "pt": 7.0}]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.names import distinct_values
 from ..operators import sampling as W
 from ..operators import stats as S
 from ..operators import team as TM
@@ -255,9 +256,9 @@ LANGS = ["de", "en", "es", "fr"]
 @register("A32_pivot_metric", "SELECT source, " + ", ".join(
     f"avg(CASE WHEN lang = '{lg}' THEN n_chars END) AS {lg}" for lg in LANGS) + " FROM documents GROUP BY source")
 def q_pivot_metric(spark, sf_dir):
-    """Mean value per row key x metric, metrics as columns (source x language mean length)."""
+    """Mean value per row key x metric, metrics as columns (source x language mean length); the languages are those found."""
     d = T.read_table(spark, sf_dir, "documents")
-    return S.pivot_metric(d, "source", "lang", "n_chars", LANGS)
+    return S.pivot_metric(d, "source", "lang", "n_chars", distinct_values(d, "lang"))
 
 
 # ---- W1-W10 --------------------------------------------------------------------------
