@@ -50,6 +50,37 @@ def test_co_training_lets_one_view_teach_the_other():
     assert score(taught) >= max(0.97, score(alone) - 0.005)
 
 
+def test_co_training_in_spark_uses_every_unlabelled_row(spark):
+    """30,000 unlabelled rows, some without an id: all are scored, taught by share, and the sums give the same fit as the rows."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    n, few = 30_000, 400
+    y = rng.integers(0, 2, n + few).astype(float)
+    xt = rng.normal(size=(n + few, quality.N_TEXT)).astype(np.float32)
+    xt[:, :3] += (y * 2 - 1)[:, None] * 1.5
+    code = rng.integers(0, 40, n + few) * 2 + np.where(rng.random(n + few) < 0.97, y, 1 - y).astype(int)
+    xm, fit = quality.code_features()[code], quality.Fit(rounds=2)
+    at = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+    table = spark.createDataFrame(pd.DataFrame({"at": at, "code": code[few:].astype(np.int32), "x": [r.tobytes() for r in xt[few:]]}),
+                                  "at long, code int, x binary").repartition(3)
+    assert quality._codes(xm).tolist() == code.tolist()
+    rows = quality.TaughtRows(table, 0.5)
+    view = quality.Calibrated(quality.Logistic(xt[:few], y[:few], 1.0), xt[:few], y[:few])
+    by_code = np.where(np.arange(quality.CODES) % 2, 3.0, -3.0)
+    counts = rows.confidence(view, by_code)
+    assert counts[0].sum() >= n and counts[1].sum() == n
+    for label in (1, 0):
+        rows.to_text.append(quality.Rule.of(by_code, float(label), counts[1, label], 3000))
+    label = quality._taught(rows.to_text, at, code[few:], xt[few:], 0.5)
+    own = ~np.isnan(label)
+    assert abs(own.sum() - 6000) < 400
+    want = quality.Logistic(np.vstack([xt[:few], xt[few:][own]]), np.concatenate([y[:few], label[own]]), 1.0)
+    assert np.allclose(quality.Logistic(xt[:few], y[:few], 1.0, more=rows).w, want.w, atol=1e-3)
+    model = quality.co_train_all(xt[:few], xm[:few], y[:few], lambda: table, fit)
+    assert ((model.score(xt[few:], xm[few:])[2] > 0.5) == y[few:]).mean() > 0.98
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (99, 0)], "doc_id long, quality int")
     got = quality.classify(odd, labels, ["doc_id", "class"]).collect()
