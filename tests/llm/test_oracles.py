@@ -18,4 +18,4 @@ def test_entry_lists_every_operator():
 
     names = e.queries()
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

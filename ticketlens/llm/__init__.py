@@ -1,4 +1,4 @@
-"""Training-data operators: quality, deduplication, licences, decontamination, chat, tokens, URLs, WARC.
+"""Training-data operators: quality, toxicity, deduplication, licences, decontamination, resampling, chat, tokens, URLs, WARC.
 
 Nothing else in the library imports this subpackage.
 """

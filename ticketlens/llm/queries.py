@@ -12,7 +12,21 @@ from pyspark.sql import functions as F
 from ticketlens.session import ship_package
 from ticketlens.sources.tables import read_table
 
-from . import byte_bpe, chat, decontaminate, license_scan, line_dedup, ngram_join, order_minhash, quality, url_filter, warc
+from . import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    importance,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    order_minhash,
+    quality,
+    token_align,
+    toxicity,
+    url_filter,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,6 +34,8 @@ SQL: dict[str, str] = {}
 #: Fixed values of the contracts.
 MIN_LINE_DOCS = 10
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+ALIGN_FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+TOXIC_FROM = 0.7
 URL_RULES = [
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -154,3 +170,52 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; labels of a third of the ids are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    scored = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ["doc_id"], ~held_out, TOXIC_FROM)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, aligned."""
+    pair = token_align.load(spark, *map(public_tokenizers.path, ALIGN_FILES))
+    found = token_align.align(read_table(spark, sf_dir, "documents"), ["doc_id"], pair)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+@query("op13_importance_resampling", r"""
+WITH RECURSIVE crc_step(n, c, k) AS (
+  SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_step WHERE k = 8),
+texts AS (SELECT doc_id, false AS target, text FROM documents UNION ALL SELECT NULL, true, text FROM benchmark),
+cut AS (SELECT doc_id, target, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts),
+words AS (SELECT doc_id, target, unnest(w) AS w FROM cut),
+coded AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(w), 2 * i + 1, 2) AS UBIGINT)) AS b
+          FROM (SELECT DISTINCT w FROM words)),
+hashed AS (SELECT w, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), b),
+                  lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) % 10000 AS bucket
+           FROM coded, crc_table),
+counts AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM counts),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+weights AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket)
+            WHERE NOT target GROUP BY doc_id),
+noise AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM cut WHERE NOT target),
+scored AS (SELECT doc_id, n AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM noise LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS all_n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= all_n * 10 // 100 THEN r END AS rank FROM scored s LEFT JOIN ranked USING (doc_id)
+""")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words at least, drawn towards the benchmark's words."""
+    drawn = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"],
+                                share=(10, 100), grams=(1, 1), buckets=10_000, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
