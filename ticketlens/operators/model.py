@@ -222,27 +222,42 @@ def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFra
         .orderBy(F.col("importance").desc(), "feature")
 
 
-def permute_column(df: DataFrame, col: str, key: str, seed: int) -> DataFrame:
-    """Replace ``col`` by the value of another row: rank rows by key and by seeded hash, join rank to rank."""
+def shuffled_values(df: DataFrame, cols: Sequence[str], key: str, repeats: int, seed: int = 42, out: str = "_shuffled") -> DataFrame:
+    """``df`` with ``out``: per repeat a list of the values that ``cols`` have in another row; every repeat is a permutation of the rows.
+
+    Rows stand in the order of their key's seeded hash; repeat r takes the row
+    that is a drawn number of places further on. One shuffle joins all repeats:
+    each row sends its values to the places that take them.
+    """
     from ..functions.ranking import row_number_in_groups
+    from ..session import cut_lineage
     from .sampling import hash_order
 
-    by_key = row_number_in_groups(df.drop(col), [], [F.col(key)], "_r")
-    by_hash = row_number_in_groups(df.select(key, col), [], [hash_order(F.col(key), seed), F.col(key)], "_r").select("_r", col)
-    return by_key.join(by_hash, "_r").drop("_r")
+    placed = cut_lineage(row_number_in_groups(df, [], [hash_order(F.col(key), seed), F.col(key)], "_place"))
+    n = placed.count()
+    steps = [int(x) for x in np.random.default_rng(seed).integers(1, max(n, 2), repeats)]
+    values = F.array(*[q(c).cast("double") for c in cols])
+    sent = placed.select(F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("_r", "_step"), F.col("_place"), values.alias("_v"))
+    sent = sent.select(F.pmod(F.col("_place") - 1 - F.col("_step"), F.lit(max(n, 1))).alias("_to"), "_r", "_v")
+    lists = sent.groupBy("_to").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda s: s["_v"]).alias(out))
+    return placed.join(lists, F.col("_place") - 1 == F.col("_to")).drop("_place", "_to")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str,
                            repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Mean increase of RMSE when one feature is shuffled, over ``repeats`` seeded shuffles."""
-    def rmse(d: DataFrame) -> float:
-        p = model.transform(d)
-        return p.agg(F.sqrt(F.avg((F.col(label) - F.col("prediction")) ** 2))).first()[0]
+    """Mean increase of RMSE when one feature is shuffled, over ``repeats`` seeded shuffles.
 
-    base = rmse(df)
+    All shuffles of all features are scored in one pass, so the number of jobs
+    depends on neither. ``features`` are the model's, in its order.
+    """
+    from .scoring import as_arrays, shuffled_errors
+
+    shuffled = shuffled_values(df.select(q(key), q(label), *[q(f) for f in features]), features, key, repeats, seed)
+    mse = {(r["feature"], r["repeat"]): r["mse"] for r in
+           shuffled_errors(shuffled, as_arrays(df.sparkSession, model), features, label, "_shuffled").collect()}
     rows = []
-    for f in features:
-        losses = [rmse(permute_column(df, f, key, seed + r)) - base for r in range(repeats)]
+    for i, f in enumerate(features):
+        losses = [math.sqrt(mse[i, r]) - math.sqrt(mse[-1, -1]) for r in range(repeats)] if mse else [0.0]
         rows.append((f, float(np.mean(losses)), float(np.std(losses))))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double, importance_std double") \
         .orderBy(F.col("importance").desc(), "feature")
@@ -312,38 +327,42 @@ def predict_linear_per_group(df: DataFrame, models: DataFrame, group: str, featu
 def fit_per_group(train: DataFrame, valid: DataFrame, group: str, features: Sequence[str], label: str,
                   kinds: Sequence[str] = ("linear", "random_forest"), min_train: int = 50, min_valid: int = 20,
                   seed: int = 42) -> dict:
-    """M12 (few groups): per group with enough rows fit each kind with Spark ML, keep the best R² on
-    validation; a global model covers the rest (key None)."""
+    """Per group with enough rows the kind with the best R² on its validation rows; a global model covers the rest (key None).
+
+    Linear kinds come from sums of products for all groups at once. Ensembles of
+    trees are fitted by Spark ML, a fit per group and kind, so ask for them for
+    few groups (clusters, trackers); ``linear.fit_family_per_group`` has no such bound.
+    The unknown group, null, is left to the global model.
+    """
     from pyspark.ml.evaluation import RegressionEvaluator
 
-    ev = RegressionEvaluator(labelCol=label, metricName="r2")
-    sizes_t = {r[group]: r["n"] for r in train.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes_v = {r[group]: r["n"] for r in valid.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
-    models: dict = {}
-    glob = fit_regressors(train, features, label, kinds, seed)
-    models[None] = max(glob.values(), key=lambda m: ev.evaluate(m.transform(valid)))
-    for g, n in sizes_t.items():
-        if n < min_train or sizes_v.get(g, 0) < min_valid:
-            continue
-        tr, va = train.where(F.col(group) == g), valid.where(F.col(group) == g)
-        fits = fit_regressors(tr, features, label, kinds, seed)
-        models[g] = max(fits.values(), key=lambda m: ev.evaluate(m.transform(va)))
-    return models
-
-
-def predict_routed(df: DataFrame, models: Mapping, group: str) -> DataFrame:
-    """Each row scored by its group's model, the global model (key None) for the rest."""
-    parts = []
-    known = [g for g in models if g is not None]
-    for g in known:
-        parts.append(models[g].transform(df.where(F.col(group) == g)).drop(FEATURES))
-    rest = df.where(~F.col(group).isin(known)) if known else df
-    rest = rest.unionByName(df.where(F.col(group).isNull())) if known else rest
-    parts.append(models[None].transform(rest).drop(FEATURES))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    from .linear import FAMILY, fit_family_per_group
+    from .scoring import LinearArrays
+
+    family = [p for k in kinds for p in FAMILY if p.kind == k]
+    trees = [k for k in kinds if k not in {p.kind for p in FAMILY}]
+    best: dict = {}
+    if family:
+        for r in fit_family_per_group(train, valid, group, features, label, family, min_train, min_valid).collect():
+            best[None if r["is_global"] else r[group]] = (r["r2"], LinearArrays(r["intercept"], np.array(r["coefficients"])))
+    if trees:
+        ev = RegressionEvaluator(labelCol=label, metricName="r2")
+        sizes = [{r[group]: r["n"] for r in d.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()} for d in (train, valid)]
+        own = [g for g, n in sizes[0].items() if g is not None and n >= min_train and sizes[1].get(g, 0) >= min_valid]
+        for g in [None, *own]:
+            tr, va = (train, valid) if g is None else (d.where(F.col(group) == g) for d in (train, valid))
+            for m in fit_regressors(tr, features, label, trees, seed).values():
+                r2 = ev.evaluate(m.transform(va))
+                if g not in best or best[g][0] is None or r2 > best[g][0]:
+                    best[g] = (r2, m)
+    return {g: m for g, (_, m) in best.items()}
+
+
+def predict_routed(df: DataFrame, models: Mapping, group: str, features: Sequence[str]) -> DataFrame:
+    """Each row scored by its group's model, the global model (key None) for the rest, in one scan of ``df``."""
+    from .scoring import as_arrays, predict_by_group
+
+    return predict_by_group(df, {g: as_arrays(df.sparkSession, m) if isinstance(m, PipelineModel) else m for g, m in models.items()}, group, features)
 
 
 def score_tasks(df: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str] = (),
@@ -374,3 +393,41 @@ def example_profiles(df: DataFrame, features: Sequence[str], probs: Sequence[flo
     rows = qs.select(F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "quantile"),
                      *[F.col(f"`{f}`") for f in features])
     return rows.select("quantile", *[F.col(f"`{f}`")[F.col("_i")].alias(f) for f in features])
+
+
+# Names of the example tasks by quantile level.
+COMPLEXITY = {0.25: "Low complexity task", 0.5: "Medium complexity task", 0.75: "High complexity task"}
+
+
+def example_tasks(df: DataFrame, features: Sequence[str], cluster: str | None = None, exact: bool = True) -> DataFrame:
+    """Synthetic tasks ``name, cluster, features..``: a row per quantile level of the features, and each cluster's medians.
+
+    The medians of all clusters and features are one pass over (cluster,
+    feature, value); the null cluster, unknown, has no task of its own.
+    """
+    from ..functions.stats import group_quantiles
+
+    kind = "string" if cluster is None else df.schema[cluster].dataType.simpleString()
+    levels = example_profiles(df, features, tuple(COMPLEXITY), exact)
+    named = F.create_map(*[F.lit(x) for p in COMPLEXITY.items() for x in p])
+    out = levels.select(named[F.col("quantile")].alias("name"), F.lit(None).cast(kind).alias("cluster"), *[q(f).cast("double").alias(f) for f in features])
+    if cluster is None:
+        return out
+    long = df.where(q(cluster).isNotNull()).select(q(cluster).alias("cluster"), *[q(f).cast("double").alias(f) for f in features]) \
+        .unpivot(["cluster"], list(features), "_feature", "_value")
+    medians = group_quantiles(long, ["cluster", "_feature"], "_value", [0.5], exact, "_q").groupBy("cluster").agg(
+        *[F.max(F.when(F.col("_feature") == f, F.col("_q")[0])).alias(f) for f in features])
+    return out.unionByName(medians.select(F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit(" specific task")).alias("name"), "cluster",
+                                          *[q(f) for f in features]))
+
+
+def top_features(model: PipelineModel, features: Sequence[str], n: int = 10) -> list[str]:
+    """The ``n`` most important features of a model (M10), by importance, then name."""
+    return [r["feature"] for r in feature_importance(model, features).limit(n).collect()]
+
+
+def score_examples(df: DataFrame, model: PipelineModel, features: Sequence[str], cluster: str | None = None, n: int = 10,
+                   log_space: bool = True) -> DataFrame:
+    """The example tasks of the model's ``n`` top features, scored by M14; features that an example does not give are 0."""
+    examples = example_tasks(df, top_features(model, features, n), cluster)
+    return score_tasks(examples, model, features, keep=["name", "cluster"], log_space=log_space, absent=0.0)

@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         file_queries,
         impute_queries,
         issue_queries,
+        linear_queries,
         model_queries,
         nested_queries,
         null_group_queries,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derive import log_target
 from ..operators import cluster as CL
+from ..operators import linear as L
 from ..operators import model as M
 from ..operators.columns import one_hot_values
 from ..operators.sampling import HASH_DIGITS, hash_order_sql, random_split
@@ -144,15 +145,39 @@ def q_example_profiles(spark, sf_dir):
     return M.example_profiles(t, NUMERIC[:3])
 
 
+EXAMPLES = [*NUMERIC, *(f"prio_{p}" for p in ("1_urgent", "2_high", "3_medium", "4_not_specified", "5_low"))]
+EXAMPLE_SQL = [*NUMERIC, *(f"CAST(priority_name = '{p}' AS INTEGER)" for p in PRIORITIES)]
+
+
+@register("M15_example_tasks", with_issues(",\nr AS (SELECT repository, " + ", ".join(f"{e} AS {f}" for e, f in zip(EXAMPLE_SQL, EXAMPLES))
+    + " FROM itl WHERE resolution_time_hours IS NOT NULL)\n"
+    + " UNION ALL ".join(f"SELECT '{name}' AS name, NULL::VARCHAR AS cluster, " + ", ".join(f"CAST(quantile_cont({f}, {lv}) AS DOUBLE) AS {f}" for f in EXAMPLES) + " FROM r"
+                         for lv, name in M.COMPLEXITY.items())
+    + " UNION ALL SELECT 'Cluster ' || repository || ' specific task', repository, " + ", ".join(f"CAST(quantile_cont({f}, 0.5) AS DOUBLE)" for f in EXAMPLES)
+    + " FROM r GROUP BY repository", ISSUES_TL))
+def q_example_tasks(spark, sf_dir):
+    """Example tasks of ten features: quartiles over all tasks, and each repository's medians."""
+    return M.example_tasks(task_table(spark, sf_dir), EXAMPLES, "repository")
+
+
+@register("M15_score_examples")
+def q_score_examples(spark, sf_dir):
+    """M15 + M14: the example tasks of a forest's ten top features, scored."""
+    train, _ = split_sets(spark, sf_dir)
+    m = M.fit_regressors(train, FEATS, "y", ("random_forest",), SEED, {"random_forest": {"numTrees": 20}})["random_forest"]
+    return M.score_examples(train, m, FEATS, "repository")
+
+
 # ---- fitted models (rows-only) -------------------------------------------------------
 
 @register("M1_M3_fit_regressors")
 def q_fit_regressors(spark, sf_dir):
-    """M1-M3: linear, ridge, random forest and gradient boosting fitted on the training split, test predictions."""
+    """M1-M3: the linear family (four kinds, from one pass), random forest and gradient boosting fitted on the training split, test predictions."""
     train, test = split_sets(spark, sf_dir)
-    models = M.fit_regressors(train, FEATS, "y", ("linear", "ridge", "random_forest", "gradient_boosting"), SEED,
+    models = M.fit_regressors(train, FEATS, "y", ("random_forest", "gradient_boosting"), SEED,
                               {"random_forest": {"numTrees": 30}, "gradient_boosting": {"maxIter": 20}})
     parts = [m.transform(test).select("id", F.lit(k).alias("model"), "prediction") for k, m in models.items()]
+    parts += [L.predict_linear(test, m, FEATS).select("id", F.lit(k).alias("model"), "prediction") for k, m in L.fit_family(train, FEATS, "y").items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -172,18 +197,19 @@ def q_tune(spark, sf_dir):
 
 @register("M7_tune_spearman")
 def q_tune_spearman(spark, sf_dir):
-    """M7 + X6: random search (2 of 4 grid points) scored by the custom Spearman evaluator."""
+    """M7 + X6: the whole grid over five folds scored by the custom Spearman evaluator; one row per grid point."""
     train, _ = split_sets(spark, sf_dir)
-    cv = M.tune(train, FEATS, "y", "random_forest", {"numTrees": [10, 20], "maxDepth": [3, 5]}, folds=2,
-                metric="spearman", n_random=2, parallelism=2)
-    return spark.createDataFrame([(float(v),) for v in cv.avgMetrics], "spearman double")
+    grid = {"numTrees": [10, 20], "maxDepth": [3, 5]}
+    cv = M.tune(train, FEATS, "y", "random_forest", grid, folds=5, metric="spearman", parallelism=4)
+    rows = [(*(int(next(v for p, v in m.items() if p.name == n)) for n in grid), float(s)) for m, s in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, spearman double")
 
 
 @register("M8_cross_validate")
 def q_cross_validate(spark, sf_dir):
-    """M8: 5-fold R² mean and std of the linear model."""
+    """M8: 5-fold R² mean and std of the linear model, from fold sums."""
     train, _ = split_sets(spark, sf_dir)
-    return M.cross_validate(train, FEATS, "y", "linear", 5, SEED)
+    return L.cross_validate_linear(train, FEATS, "y", "id", folds=5)
 
 
 @register("M10_feature_importance")
@@ -196,10 +222,10 @@ def q_feature_importance(spark, sf_dir):
 
 @register("M11_permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    """RMSE increase when each numeric feature is shuffled (3 seeded shuffles)."""
+    """RMSE increase when each feature is shuffled (10 seeded shuffles)."""
     train, test = split_sets(spark, sf_dir)
     m = M.fit_regressors(train, FEATS, "y", ("linear",), SEED)["linear"]
-    return M.permutation_importance(m, test.select("id", "y", *FEATS), NUMERIC, "y", "id", repeats=3, seed=SEED)
+    return M.permutation_importance(m, test.select("id", "y", *FEATS), FEATS, "y", "id", repeats=10, seed=SEED)
 
 
 @register("M12_fit_linear_per_group")
@@ -214,7 +240,7 @@ def q_predict_routed(spark, sf_dir):
     """M12 + M13: best linear/forest model per repository (enough rows), global fallback, routed scoring."""
     train, valid, test = three_sets(spark, sf_dir)
     models = M.fit_per_group(train, valid, "repository", FEATS, "y", ("linear", "random_forest"), 50, 20, SEED)
-    return M.predict_routed(test.select("id", "repository", "y", *FEATS), models, "repository") \
+    return M.predict_routed(test.select("id", "repository", "y", *FEATS), models, "repository", FEATS) \
         .select("id", "repository", "prediction")
 
 
@@ -261,9 +287,25 @@ def q_pca2(spark, sf_dir):
     return CL.pca2(_embedded(spark, sf_dir)).select("vec_id", "pca_x", "pca_y")
 
 
+PROJECT_KEYS = ["total_issues", "avg_resolution_hours", "avg_inward", "avg_outward"]
+
+
+def _projects(tasks):
+    """Key features of each project."""
+    return tasks.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_issues"), F.avg("resolution_time_hours").alias("avg_resolution_hours"),
+                                           F.avg("inward_count").alias("avg_inward"), F.avg("outward_count").alias("avg_outward"))
+
+
 @register("M20_two_stage")
 def q_two_stage(spark, sf_dir):
-    """Cluster tasks on link/calendar features, then per-cluster regression and routed scoring."""
-    t = task_table(spark, sf_dir).drop("split")
-    scored, _ = CL.two_stage(t, ["inward_count", "outward_count", "created_month"], FEATS, "y", 3, "id", SEED)
+    """Classify the projects on their resolution and link statistics, then per-class regression of their tasks and routed scoring."""
+    t = reuse(task_table(spark, sf_dir).drop("split"))
+    scored, _, _ = CL.two_stage(_projects(t), PROJECT_KEYS, t, FEATS, "y", 3, "project_id", "id", SEED)
     return scored.select("id", "cluster", "prediction")
+
+
+@register("M20_two_stage_compared")
+def q_two_stage_compared(spark, sf_dir):
+    """M20 + M12: the global model against the class models on held-out tasks."""
+    t = reuse(task_table(spark, sf_dir).drop("split"))
+    return CL.two_stage(_projects(t), PROJECT_KEYS, t, FEATS, "y", 3, "project_id", "id", SEED)[1]
