@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .tables import small_side
+
 # The fields the feature extraction reads (projection pushdown list).
 NEEDED_FIELDS = (
     "id", "key", "repository",
@@ -72,14 +75,49 @@ def append_issues(df: DataFrame, path: str, partition_by: str = "repository") ->
     df.write.mode("append").partitionBy(partition_by).parquet(path)
 
 
+def newest_updates(updates: DataFrame, key: str = "key", col: str = "comments", order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the update that is last by ``order``, then by its content; keys that are null are dropped.
+
+    A partial aggregation, so a key with very many updates shrinks before the shuffle.
+    """
+    content = F.to_json(F.struct(F.col(col)))
+    last = F.max_by(F.struct(F.col(col).alias("v")), F.struct(*[F.col(o) for o in order], F.md5(content), content))
+    return updates.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_last")).select(key, F.col("_last.v").alias(col))
+
+
 def upsert_comments(issues: DataFrame, comments: DataFrame, key: str = "key",
-                    col: str = "comments") -> DataFrame:
-    """Set the late-arriving comment array by key; rows without an update keep their value."""
-    upd = comments.select(F.col(key).alias("_k"), F.col(col).alias("_new"))
+                    col: str = "comments", order: Sequence[str] = ()) -> DataFrame:
+    """Set the late-arriving comment array by key; rows without an update keep their value.
+
+    Of several updates of a key the newest wins (see :func:`newest_updates`), so
+    the rows of ``issues`` are never multiplied.
+    """
+    upd = newest_updates(comments, key, col, order).select(F.col(key).alias("_k"), F.col(col).alias("_new"))
     joined = issues.join(upd, issues[key] == upd["_k"], "left")
     return joined.withColumn(col, F.coalesce("_new", F.col(col))).drop("_k", "_new")
 
 
+def upsert_table(spark: SparkSession, path: str, comments: DataFrame, key: str = "key", col: str = "comments", order: Sequence[str] = (),
+                 partition_by: str = "repository") -> list:
+    """S13 on a stored table: rewrite the partitions that hold an updated key, and no other; returns their values.
+
+    The touched partitions are read (others are pruned), merged, written aside,
+    and put in place by dynamic partition overwrite, which swaps whole
+    partitions when its job commits. Updates of unknown keys change nothing.
+    """
+    table = spark.read.parquet(path)
+    news = cut_lineage(newest_updates(comments, key, col, order))
+    hit = table.select(F.col(key).alias("_k"), partition_by).join(small_side(news.select(key)), F.col("_k") == F.col(key), "left_semi")
+    parts = [r[0] for r in hit.select(partition_by).distinct().orderBy(partition_by).collect()]
+    if parts:
+        named = [p for p in parts if p is not None]
+        touched = F.col(partition_by).isin(named) if named else F.lit(False)
+        touched = touched | F.col(partition_by).isNull() if None in parts else touched
+        merged = cut_lineage(upsert_comments(table.where(touched), news, key, col))
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
+    return parts
+
+
 def pending_comment_work(docs: DataFrame, resume_at: str, created: str = "fields.created",
                          comments: str = "fields.comments") -> DataFrame:
     """Issues without comments created at or after ``resume_at`` (text compare), sorted by created."""
