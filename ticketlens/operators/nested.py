@@ -8,7 +8,8 @@ same features come from a partial ``groupBy`` on the issue key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import distinct_values
+from ..functions.ranking import null_safe_join
+from ..session import ship_package
 
 
 def _q(name: str) -> str:
@@ -255,7 +258,7 @@ def distinct_with_history(df: DataFrame, final_col: str, field: str, repo: str =
     final = df.select(F.col(repo), F.col(final_col).alias("value"))
     both = final.unionByName(_changes_of_field(df, field, repo))
     counts = both.groupBy(repo).agg(F.countDistinct("value").alias(out))
-    return df.select(repo).distinct().join(counts, repo, "left").fillna(0, subset=[out])
+    return null_safe_join(df.select(repo).distinct(), counts, [repo], "left").fillna(0, subset=[out])
 
 
 def distinct_types_used(df: DataFrame, repo: str = "repository") -> DataFrame:
@@ -272,7 +275,7 @@ def distinct_link_types(df: DataFrame, repo: str = "repository", links: str = "f
     """Distinct link type names over the unwound link arrays."""
     ex = df.select(repo, F.explode(links).alias("l"))
     counts = ex.groupBy(repo).agg(F.countDistinct("l.type.name").alias("used_link_types"))
-    return df.select(repo).distinct().join(counts, repo, "left").fillna(0, subset=["used_link_types"])
+    return null_safe_join(df.select(repo).distinct(), counts, [repo], "left").fillna(0, subset=["used_link_types"])
 
 
 def count_links(df: DataFrame, repo: str = "repository", links: str = "fields.issuelinks",
@@ -284,7 +287,7 @@ def count_links(df: DataFrame, repo: str = "repository", links: str = "fields.is
         else [F.lit(0).cast("long").alias("_sub")]
     parts.append(F.count(epic).alias("_epic") if epic is not None else F.lit(0).cast("long").alias("_epic"))
     other = df.groupBy(repo).agg(*parts)
-    out = other.join(ids, repo, "left")
+    out = null_safe_join(other, ids, [repo], "left")
     return out.select(repo, (F.coalesce("_links", F.lit(0)) + F.col("_sub") + F.col("_epic")).alias("links"))
 
 
@@ -314,20 +317,38 @@ def count_comments(df: DataFrame, repo: str = "repository", comments: str = "fie
 # N18 / N19 text vectors
 # --------------------------------------------------------------------------
 
+_LOADED: dict[str, object] = {}
+
+
+def loaded_once(token: str, make):
+    """What ``make()`` gives, made once in this process for ``token``; what an earlier query loaded is let go."""
+    if token not in _LOADED:
+        _LOADED.clear()
+        _LOADED[token] = make()
+    return _LOADED[token]
+
+
 def embed_text(df: DataFrame, col: str = "text", out: str = "embedding", num_features: int = 256,
-               idf: bool = True, encoder=None) -> DataFrame:
+               idf: bool = True, encoder=None, load=None) -> DataFrame:
     """Null -> '' then encode each text to a dense float vector.
 
-    ``encoder`` may be any callable pandas.Series[str] -> list of vectors run
-    as an Arrow-batched pandas UDF (a model loaded once per worker). The
-    default encoder is Spark ML's Tokenizer + HashingTF (+ IDF) + L2 Normalizer
-    over the whole text, which needs no downloaded weights.
+    ``encoder`` is a callable pandas.Series[str] -> list of vectors, run on Arrow
+    batches. With ``load``, it is made in the worker: ``load()`` builds the
+    encoder (a model from a shipped file, say) once per worker process, however
+    many tasks and batches that runs. The default encoder is Spark ML's Tokenizer +
+    HashingTF (+ IDF) + L2 Normalizer over the whole text, which needs no
+    downloaded weights.
     """
     src = df.withColumn("_txt", F.coalesce(F.col(col).cast("string"), F.lit("")))
-    if encoder is not None:
+    if encoder is not None or load is not None:
+        ship_package(df.sparkSession)
+        make, token = load if load is not None else (lambda: encoder), uuid.uuid4().hex
+
         @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def _enc(s: pd.Series) -> pd.Series:
-            return pd.Series([list(map(float, v)) for v in encoder(s)])
+        def _enc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            held = loaded_once(token, make)
+            for s in parts:
+                yield pd.Series([list(map(float, v)) for v in held(s)])
 
         return src.withColumn(out, _enc("_txt")).drop("_txt")
     from pyspark.ml import Pipeline

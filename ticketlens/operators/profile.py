@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import null_safe_join
 from . import nested as N
 
 
@@ -27,7 +28,7 @@ def definitions_count(defs: DataFrame, repos: DataFrame, repo: str = "repository
                       out: str = "n") -> DataFrame:
     """S15 count: number of distinct definitions per tracker; a tracker without any gets 0."""
     counts = defs.groupBy(repo).agg(F.countDistinct(name).alias(out))
-    return repos.join(counts, repo, "left").fillna(0, subset=[out])
+    return null_safe_join(repos, counts, [repo], "left").fillna(0, subset=[out])
 
 
 def count_issues(df: DataFrame, repo: str = "repository") -> DataFrame:
@@ -130,7 +131,7 @@ def repository_profile(docs: DataFrame, issue_type_defs: DataFrame | None = None
         parts.append(definitions_count(link_type_defs, repos, repo, out="DLT"))
     out = repos
     for p in parts:
-        out = out.join(p, repo, "left")
+        out = null_safe_join(out, p, [repo], "left")     # a null tracker is a tracker
     out = out.withColumn("Links", F.coalesce("_links", F.lit(0)) + F.col("_sub") + F.col("_epic")) \
         .drop("_links", "_sub", "_epic")
     return out.withColumns({

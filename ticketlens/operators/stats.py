@@ -321,8 +321,8 @@ def column_family(name: Column) -> Column:
 
 
 # The core columns of every subset, and the share of repositories that must hold a common column.
-CORE_COLUMNS = ("project_id", "project_key", "project_name", "repository", "total_issues", "project_start_date", "project_duration_days",
-                "avg_resolution_hours", "num_resolved_issues", "pct_resolved_issues")
+SUBSET_CORE = ("project_id", "project_key", "project_name", "repository", "total_issues", "project_start_date", "project_duration_days",
+               "avg_resolution_hours", "num_resolved_issues", "pct_resolved_issues")
 COMMON_SHARE = 0.35
 
 
@@ -337,7 +337,7 @@ def common_and_filled(df: DataFrame, group: str = "repository") -> dict[str, Dat
 def feature_subsets(df: DataFrame) -> dict[str, DataFrame]:
     """Named projections by family: core, temporal, priority, issue_type, resolution+efficiency."""
     fam = {c: family_of(c) for c in df.columns}
-    core = [c for c in CORE_COLUMNS if c in df.columns]
+    core = [c for c in SUBSET_CORE if c in df.columns]
     fam |= dict.fromkeys(core, "core")
 
     def pick(*names):

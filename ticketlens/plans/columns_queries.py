@@ -197,15 +197,16 @@ def q_issue_type_theme(spark, sf_dir):
     return J.issue_type_theme(iss, sup, "project_id", "assignee", "project_id", "assignee")
 
 
-@register("U1_union_all", with_issues("""
-SELECT id, created, priority_name, NULL AS status FROM issues WHERE repository = 'ASIA'
-UNION ALL SELECT id, created, NULL AS priority_name, status FROM issues WHERE repository = 'EUROPE'""", ISSUES))
+@register("U1_union_all", """
+SELECT c_custkey AS id, c_name AS name, c_nationkey AS project_id, c_mktsegment AS segment, NULL AS balance FROM customer
+UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, s_acctbal FROM supplier""")
 def q_union_all(spark, sf_dir):
-    """Union by name of two tables with different columns (missing -> null)."""
-    iss = T.issues(spark, sf_dir)
-    a = iss.where("repository = 'ASIA'").select("id", "created", "priority_name")
-    b = iss.where("repository = 'EUROPE'").select("id", "created", "status")
-    return J.union_all([a, b])
+    """Union by name of two whole tables with different columns, creators and assignees (missing -> null)."""
+    creators = T.read_table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("project_id"), F.col("c_mktsegment").alias("segment"))
+    assignees = T.read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("project_id"), F.col("s_acctbal").alias("balance"))
+    return J.union_all([creators, assignees])
 
 
 @register("U2_union_distinct_count", with_issues("""

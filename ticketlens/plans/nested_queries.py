@@ -413,8 +413,8 @@ def hashing_encoder(dim: int = 64):
 
 @register("X5_pandas_udf_embedding")
 def q_pandas_udf_embedding(spark, sf_dir):
-    """A vectorised (Arrow-batched) pandas UDF encodes every whole document text to a unit vector."""
+    """A vectorised (Arrow-batched) pandas UDF, its encoder loaded once per worker, encodes every whole document text to a unit vector."""
     d = T.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = N.embed_text(d, "text", "embedding", encoder=hashing_encoder(64))
+    e = N.embed_text(d, "text", "embedding", load=lambda: hashing_encoder(64))
     return e.select("doc_id", F.size("embedding").alias("dim"),
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
