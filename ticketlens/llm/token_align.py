@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ticketlens.session import cut_lineage
 
-#: Pairs whose counts are broadcast, text bytes that are encoded at once, and pairs that a task counts before it hands them on.
-HEAD_PAIRS, BYTES_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 20, 500_000
+#: Pairs whose counts are broadcast, text bytes (later: links) that are worked on at once, and pairs that a task counts before it hands them on.
+HEAD_PAIRS, BYTES_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 18, 500_000
 
 A_ENDS, B_ENDS = 1, 2
 BOTH_END = A_ENDS | B_ENDS
