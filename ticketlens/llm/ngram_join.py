@@ -7,9 +7,11 @@ linked sets and v(i) in {0, 1, 2} the effort a set spends on segment i, any
 allocation with sum v >= H + 1 finds a segment where the sets differ by less
 than v(i) shingles (pigeonhole): v = 1 asks for the same segment subset, v = 2
 also for one deletion on either side, v = 0 skips it. The allocation skips the
-dearest segments, those with the fewest shingles, whose subsets many sets share:
-first as far as the band has segments to spare, then by v = 2 on segments that
-hold enough shingles.
+dearest segments, those whose subsets many sets share: empty ones, and those
+whose rarest shingle is common, as counted on a bounded sample, then those with
+the fewest shingles: first as far as the band has segments to spare, then by
+v = 2 on segments that hold enough shingles. The sample decides on costs alone:
+any allocation finds every link.
 
 1. Each text gives its set's size and class (a hash of the whole set): copies
    are one class from here on.
@@ -47,6 +49,8 @@ _STEP = 0x9E3779B97F4A7C15
 BAND_RATIO, SHORT_RUN = 1.6, 12
 #: Rows of a long run that are compared with its others at once.
 BLOCK = 256
+#: Distinct texts, about, on which shingles are counted for the costs, the buckets of the counts, and the least count that is kept.
+SAMPLE, BUCKETS, COMMON = 4_000, 1 << 23, 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,11 +82,12 @@ def class_of(s: np.ndarray) -> int:
 def parities(s: np.ndarray) -> bytes:
     """A bit per bucket of shingles: whether it holds an odd number of them.
 
-    There are four buckets a shingle at least, a power of two, so few shingles
-    cancel out. Two sets differ in as many shingles at least as their parities
-    differ in bits.
+    There is a bucket a shingle at least, a power of two: linked sets differ in
+    a small part of their shingles, of which few cancel out, and pairs carry the bits
+    through a join. Two sets differ in as many shingles at least as their
+    parities differ in bits.
     """
-    bits = max(64, 4 << (len(s) - 1).bit_length())
+    bits = max(64, 1 << (len(s) - 1).bit_length())
     bucket = (_mix(s + _U(_STEP >> 1)) & _U(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(bucket, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -136,10 +141,14 @@ class Threshold:
         m = self.differ(top) + 1
         return m, m if m <= 8 else max(2, m // 32), top
 
-    def rows(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of a set, and whether it asks under each (else it is only found there)."""
+    def rows(self, s: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a set, and whether it asks under each (else it is only found there).
+
+        ``common`` counts shingles by bucket (see :func:`common_shingles`).
+        """
         size, keys, asks = len(s), [], []
         g, c = _mix(s ^ _U(_STEP)), _mix(s + _U(_STEP))
+        often = np.zeros(size, np.int64) if common is None else common[(g & _U(BUCKETS - 1)).astype(np.int64)].astype(np.int64)
         own = self.band(size)
         for band in (own, own + 1):
             m, deletions, top = self.segments(band)
@@ -151,12 +160,14 @@ class Threshold:
             sums = np.zeros(m, _U)
             full = np.flatnonzero(held)
             sums[full] = np.add.reduceat(c[order], (np.cumsum(held) - held)[full])
+            dear = np.full(m, 1 << 30)
+            dear[full] = np.minimum.reduceat(often[order], (np.cumsum(held) - held)[full])
             salt = _mix(np.arange(m, dtype=_U) + _U(band << 44))
             keys.append(_mix(sums + salt))
             effort, upgrades = np.zeros(m, np.int8), False
             if band == own:
                 upgrades = m <= 8 or size * 20 >= top * 19
-                effort = self._effort(held, m - self.differ(size) - 1, deletions if upgrades else 0)
+                effort = self._effort(held, dear, m - self.differ(size) - 1, deletions if upgrades else 0)
             asks.append(effort > 0)
             # deletions are asked for by sets of 0.95 of the top at least, and found in those that may be linked to such
             if m <= 8 or band == own and 20 * self.den * size >= 19 * self.num * top:
@@ -166,13 +177,16 @@ class Threshold:
         return np.concatenate(keys), np.concatenate(asks)
 
     @staticmethod
-    def _effort(held: np.ndarray, spare: int, deletions: int) -> np.ndarray:
-        """Effort by segment: skip the ``spare`` dearest, and one more for each segment raised to two."""
+    def _effort(held: np.ndarray, dear: np.ndarray, spare: int, deletions: int) -> np.ndarray:
+        """Effort by segment: skip the ``spare`` dearest, and one more for each segment raised to two.
+
+        ``held`` are the segments' shingles, ``dear`` the count of the rarest one.
+        """
         effort = np.ones(len(held), np.int8)
-        dearest = np.argsort(held, kind="stable")
+        dearest = np.lexsort([held, -dear])
         effort[dearest[:spare]] = 0
-        left = [i for i in dearest[spare:].tolist() if held[i] <= 1]
-        able = [i for i in range(len(held) - deletions, len(held)) if effort[i] and held[i] > 1]
+        left = [i for i in dearest[spare:].tolist() if held[i] <= 1 or dear[i] > 0]
+        able = [i for i in range(len(held) - deletions, len(held)) if effort[i] and held[i] > 1 and not dear[i]]
         for drop, rise in zip(left, able, strict=False):
             effort[drop], effort[rise] = 0, 2
         return effort
@@ -193,14 +207,33 @@ def _classes(width: int):
     return run
 
 
-def _key_rows(width: int, threshold: Threshold):
+def common_shingles(rows: DataFrame, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of shingles that many texts hold, and their counts (255 at most), on about ``SAMPLE`` distinct texts of the column ``_text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.uint8)
+        for b in batches:
+            for text in set(_texts(b)):
+                at = np.unique((_mix(shingle_set(text, width) ^ _U(_STEP)) & _U(BUCKETS - 1)).astype(np.int64))
+                counts[at] += counts[at] < 255
+        own = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(counts[own], pa.int64())], ["at", "n"])
+
+    few = rows.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, n_rows // SAMPLE))) == 0).select("_text")
+    got = few.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    return got["at"].to_numpy(), np.minimum(got["n"].to_numpy(), 255).astype(np.uint8)
+
+
+def _key_rows(width: int, threshold: Threshold, sampled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.zeros(BUCKETS, np.uint8)
+        at, n = sampled.value
+        common[at] = n
         for b in batches:
             held, n = [], 0
             for text in _texts(b):
                 s = shingle_set(text, width)
                 if len(s):
-                    keys, asks = threshold.rows(s)
+                    keys, asks = threshold.rows(s, common)
                     held.append((keys.view(np.int64), np.full(len(keys), class_of(s)), len(s) * 2 + asks))
                     n += len(keys)
                 if n > 1 << 17:
@@ -415,7 +448,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     id_type = rows.schema["doc_id"].dataType.simpleString()
     members = cut_lineage(rows.mapInArrow(_classes(width), f"doc_id {id_type}, n_shingles long, class long, parities binary"))
     classes = cut_lineage(members.where("class IS NOT NULL").dropDuplicates(["class"]).withColumnRenamed("doc_id", "one"))
-    keyed = rows.select("_text").mapInArrow(_key_rows(width, threshold), "key long, class long, tag long")
+    sampled = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, members.count(), width))      # bounded by the sample's shingles
+    keyed = rows.select("_text").mapInArrow(_key_rows(width, threshold, sampled), "key long, class long, tag long")
     keyed = keyed.repartition("key").sortWithinPartitions("key", F.desc("tag"), "class")
     found = cut_lineage(keyed.mapInArrow(_runs(threshold), "kind long, a long, b long, tag long"))
 
@@ -436,10 +470,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(_verify(width, threshold), "a long, b long"))
 
     links = verified(found.where("kind = 0"))
-    label = components(links)
+    label = cut_lineage(components(links))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"), "tag")
     for nearest in (True, False) if not runs.isEmpty() else ():
-        placed = runs.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        placed = runs.join(small_side(label.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         rest = (placed.join(mixed, "key", "left_semi").join(classes.select("class", "parities"), "class")
                 .select("key", "class", "tag", "component", "parities").repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
@@ -449,8 +483,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         more = verified(more)
         if not more.isEmpty():
             links = links.union(more)
-            label = components(links)
-    placed = members.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = placed.where("class IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    return (placed.join(lowest, "component", "left")
+            label = cut_lineage(components(links))
+    # one aggregation, then a join with nothing above it: a component of very many rows is broadcast to or split
+    placed = (members.select("doc_id", "n_shingles", "class").join(small_side(label.withColumnRenamed("node", "class")), "class", "left")
+              .withColumn("component", F.coalesce("component", "class")))
+    lowest = cut_lineage(placed.where("class IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("lowest")))
+    return (placed.join(small_side(lowest), "component", "left")
             .select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")))
