@@ -104,7 +104,7 @@ _HELD: dict[tuple[int, int], Tokenizers] = {}
 
 def _tokenizers(shared) -> Tokenizers:
     """The broadcast vocabularies' tokenizers, built once in a worker."""
-    bpe, pieces = shared.value
+    bpe, pieces, *_ = shared.value
     key = (hash(bpe), hash(pieces))
     if key not in _HELD:
         _HELD.clear()
@@ -113,8 +113,10 @@ def _tokenizers(shared) -> Tokenizers:
 
 
 def load(spark: SparkSession, bpe_path: str, pieces_path: str):
-    """Both vocabularies' contents as a broadcast (a few MB, whatever the corpus)."""
-    return spark.sparkContext.broadcast((Path(bpe_path).read_bytes(), Path(pieces_path).read_bytes()))
+    """Both vocabularies' contents, and how their ids are written, as a broadcast (a few MB, whatever the corpus)."""
+    bpe, pieces = Path(bpe_path).read_bytes(), Path(pieces_path).read_bytes()
+    both = Tokenizers(bpe, pieces)
+    return spark.sparkContext.broadcast((bpe, pieces, *("<u2" if len(x["length"]) <= 1 << 16 else "<u4" for x in (both.a, both.b))))
 
 
 def token_ends(ids: pa.ListArray, length: pa.Array) -> pa.Table:
@@ -142,17 +144,36 @@ def _whole(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``values`` as bytes, ``counts`` of them a row."""
+    offsets = (np.r_[0, np.cumsum(counts)] * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array, kind: str) -> pa.ListArray:
+    """Rows of :func:`_packed` as lists."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    values = np.frombuffer(data, np.uint8)[at[0]:at[-1]].tobytes() if data else b""
+    values = np.frombuffer(values, kind)
+    return pa.ListArray.from_arrays(pa.array((at - at[0]) // values.itemsize, pa.int32()), pa.array(values.astype(np.int32)))
+
+
 def _read_links(a: pa.ListArray, b: pa.ListArray, ends: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Written tokens as links again: document, A id, B id, ends."""
-    flag = pc.list_flatten(ends).to_numpy(zero_copy_only=False)
-    doc = pc.list_parent_indices(ends).to_numpy(zero_copy_only=False)
+    flag, doc = ends.values.to_numpy(), pc.list_parent_indices(ends).to_numpy()
     out = []
     for ids, bit in ((a, A_ENDS), (b, B_ENDS)):
         own = (flag & bit) > 0
-        out.append(pc.list_flatten(ids).to_numpy(zero_copy_only=False)[np.cumsum(own) - own])
+        out.append(ids.values.to_numpy()[np.cumsum(own) - own])
     return doc, *out, flag
 
 
+def _written(part: pa.RecordBatch, pair) -> list[pa.ListArray]:
+    """The columns ``_a, _b, _ends`` of a batch as lists."""
+    return [_unpacked(part.column(c), kind) for c, kind in zip(("_a", "_b", "_ends"), (*pair.value[2:], "u1"), strict=True)]
+
+
 def group_texts(a: pa.ListArray, b: pa.ListArray, doc: np.ndarray, flag: np.ndarray) -> pa.Array:
     """Per document its groups, as ``a1,a2|b1;a3|b2,b3``."""
     n = len(a)
@@ -182,30 +203,36 @@ def _slices(batches: Iterator[pa.RecordBatch], size) -> Iterator[pa.RecordBatch]
             start = stop
 
 
+def _links_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Number of links of each row."""
+    return pc.binary_length(batch.column("_ends")).to_numpy()
+
+
 def encode_both(docs: DataFrame, columns: list[str], pair, text: str = "text") -> DataFrame:
-    """``columns`` of every row and ``_row`` (its number), ``_a``, ``_b`` (ids) and ``_ends`` (per link, see :func:`links`), written once."""
+    """``columns`` of every row and ``_row`` (its number), ``_a``, ``_b`` (ids) and ``_ends`` (per link, see :func:`links`) as bytes, written once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(pair)
         for part in _slices(batches, lambda x: pc.binary_length(x.column(x.num_columns - 1)).to_numpy(zero_copy_only=False)):
             a, b = both.encode(part.column(part.num_columns - 1).to_pylist())
             made = links(token_ends(a, both.a["length"]), token_ends(b, both.b["length"]))
-            ends = _lists(_whole(made["ends"]), made["doc"].to_numpy(), part.num_rows)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], a, b, ends], [*part.schema.names[:-1], "_a", "_b", "_ends"])
+            ids = [_packed(pc.list_flatten(x).to_numpy().astype(kind), pc.list_value_length(x).to_numpy()) for x, kind in zip((a, b), pair.value[2:])]
+            ends = _packed(_whole(made["ends"]).to_numpy().astype("u1"), np.bincount(made["doc"].to_numpy(), minlength=part.num_rows))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *ids, ends], [*part.schema.names[:-1], "_a", "_b", "_ends"])
 
     rows = docs.select(*columns, F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("_text").schema)
-    return cut_lineage(rows.mapInArrow(run, fields + "_a array<int>, _b array<int>, _ends array<tinyint>"))
+    return cut_lineage(rows.mapInArrow(run, fields + "_a binary, _b binary, _ends binary"))
 
 
-def pair_counts(encoded: DataFrame) -> DataFrame:
+def pair_counts(encoded: DataFrame, pair) -> DataFrame:
     """How many links of all documents hold each id pair: ``a, b, n``."""
     def merged(parts: list[pa.Table]) -> pa.Table:
         return pa.concat_tables(parts).group_by(["a", "b"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-        for part in _slices(batches, lambda x: pc.list_value_length(x.column(2)).to_numpy(zero_copy_only=False)):
-            _, a, b, _ = _read_links(*part.columns)
+        for part in _slices(batches, _links_of):
+            _, a, b, _ = _read_links(*_written(part, pair))
             held.append(pa.table({"a": a, "b": b}).group_by(["a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["a", "b", "n"]))
             if sum(t.num_rows for t in held) > PAIRS_AT_ONCE:
                 held = [merged(held)]
@@ -246,8 +273,7 @@ def align(docs: DataFrame, columns: list[str], pair, text: str = "text", head: i
     ``_a``, ``_b``, ``_ends``, ``_n``, ``_m``.
     """
     encoded = encode_both(docs, columns, pair, text)
-    counts = pair_counts(encoded)
-    counts = cut_lineage(counts)
+    counts = cut_lineage(pair_counts(encoded, pair))
     top = counts.groupBy(F.col("b").alias("_b")).agg(F.max("n").alias("_top"))      # at most as many rows as B has ids
     counts = counts.join(F.broadcast(top), F.col("b") == F.col("_b")).select("a", "b", "n", (F.col("n") == F.col("_top")).alias("best"))
     often, rare = _parted(counts, head)
@@ -265,8 +291,8 @@ def align(docs: DataFrame, columns: list[str], pair, text: str = "text", head: i
         return own, np.where(own, n[at], 0), own & best[at]
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, lambda x: pc.list_value_length(x.column(3)).to_numpy(zero_copy_only=False)):
-            doc, a, b, _ = _read_links(*part.columns[1:])
+        for part in _slices(batches, _links_of):
+            doc, a, b, _ = _read_links(*_written(part, pair))
             far = ~counted(a, b)[0]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[far])), pa.array(a[far]), pa.array(b[far])], ["_row", "_ra", "_rb"])
 
@@ -279,9 +305,9 @@ def align(docs: DataFrame, columns: list[str], pair, text: str = "text", head: i
         rows = (encoded.join(far, F.col("_row") == F.col("_at"), "left").drop("_at").fillna(0, ["_n", "_m"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, lambda x: pc.list_value_length(x.column("_ends")).to_numpy(zero_copy_only=False)):
+        for part in _slices(batches, _links_of):
             n = part.num_rows
-            a, b, ends = (part.column(c) for c in ("_a", "_b", "_ends"))
+            a, b, ends = _written(part, pair)
             doc, of_a, of_b, flag = _read_links(a, b, ends)
             _, count, best = counted(of_a, of_b)
             more, more_best = (part.column(c).to_numpy() for c in ("_n", "_m"))
