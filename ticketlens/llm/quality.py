@@ -13,8 +13,8 @@ never confident and so teaches nothing. Both views are then calibrated on
 labelled rows that neither was fitted on, and their calibrated log-odds are
 added (less the prior's, which both hold) to score every document.
 
-The labelled sample is chosen on ids alone; only its rows' features, and sums,
-come to the driver. Scoring is one pass over the table without a shuffle.
+The labelled sample is chosen on ids alone, and one row of each id counts (the
+smallest hash); only these rows' features, and sums, come to the driver. Scoring is one pass over the table without a shuffle.
 """
 
 from __future__ import annotations
@@ -351,7 +351,10 @@ def co_train_all(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rows: Callable[[
 
 
 def _features(b: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:
-    texts, source, lang, size = (b.column(text + i).to_pylist() for i in range(4))
+    return _features_of(*(b.column(text + i).to_pylist() for i in range(4)))
+
+
+def _features_of(texts: list[str], source: list, lang: list, size: list) -> tuple[np.ndarray, np.ndarray]:
     xt = np.array([text_features(x) for x in texts], np.float32).reshape(len(texts), N_TEXT)
     xm = np.array([meta_features(*x) for x in zip(source, lang, size, strict=True)], np.float32).reshape(len(texts), N_META)
     return xt, xm
@@ -380,10 +383,11 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*b.columns[:3], flat], ["_id", "_y", "_at", "x"])
 
     kind = ids.schema["_id"].dataType.simpleString()
+    # one row an id, however many rows it is on, so the sample's bound holds for what is fetched
     rows = (docs.select(F.col(doc_id).alias("_doc"), *_inputs(text, source, lang, n_chars))
             .join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "_y", "_at", "_text", "_source", "_lang", "_size")
             .mapInArrow(run, f"_id {kind}, _y double, _at long, x array<float>"))
-    got = rows.toArrow()
+    got = rows.groupBy("_id", "_y", "_at").agg(F.min_by("x", F.xxhash64("x")).alias("x")).toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_TEXT + N_META) if got.num_rows else np.zeros((0, N_TEXT + N_META), np.float32)
     y, at = got["_y"].to_numpy(), got["_at"].to_numpy()
     order = np.lexsort([x.sum(axis=1), at])
@@ -420,15 +424,19 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], fit: Fit =
     model = train(docs, labels, fit, doc_id, label, text, source, lang, n_chars)
     shared = docs.sparkSession.sparkContext.broadcast(model)   # some thousand numbers
     trained = model.text is not None
+    # a text that passes through is not sent to the workers a second time
+    at_text = columns.index(text) if text in columns else len(columns)
+    inputs = _inputs(text, source, lang, n_chars)[at_text < len(columns):]
+    more = len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                p = shared.value.score(*_features(b, b.num_columns - 4))
+                p = shared.value.score(*_features_of([t or "" for t in b.column(at_text).to_pylist()], *(c.to_pylist() for c in b.columns[-3:])))
                 keep = p[2] >= 0.5 if trained else np.ones(b.num_rows, bool)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-4], *(pa.array(x, pa.float64()) for x in p), pa.array(keep, pa.bool_())],
-                                                 [*b.schema.names[:-4], "p_text", "p_meta", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-more], *(pa.array(x, pa.float64()) for x in p), pa.array(keep, pa.bool_())],
+                                                 [*b.schema.names[:-more], "p_text", "p_meta", "score", "keep"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
-    return docs.select(*columns, *_inputs(text, source, lang, n_chars)).mapInArrow(run, fields + "p_text double, p_meta double, score double, keep boolean")
+    return docs.select(*columns, *inputs).mapInArrow(run, fields + "p_text double, p_meta double, score double, keep boolean")
