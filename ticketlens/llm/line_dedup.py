@@ -36,6 +36,8 @@ from .mph import MinimalPerfectHash
 SHARD_LINES = 1 << 18
 #: Probes that one copy of a shard answers.
 COPY_PROBES = 1 << 19
+#: Texts that are in a task's Python memory at once.
+ROWS_AT_ONCE = 256
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -43,8 +45,14 @@ def line_keys(text: str) -> list[bytes]:
     return [x.strip() for x in text.encode().lower().split(b"\n")]
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _parts(batches):
         ends, digests = [0], []
         for text in b.column(1).to_pylist():
             keys = set(line_keys(text))
@@ -103,7 +111,7 @@ def _probe(min_docs: int):
 
 
 def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _parts(batches):
         texts, d1, d2 = (b.column(b.schema.get_field_index(c)) for c in ("_text", "_d1", "_d2"))
         lines, dropped, kept = [], [], []
         for text, x1, x2 in zip(texts.to_pylist(), d1, d2, strict=True):
@@ -146,8 +154,9 @@ def drop_repeated_lines(docs: DataFrame, columns: list[str], text: str = "text",
     arrays = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(copies.cast("long"), F.lit(1).cast("long")) - 1)))
     hits = (probes.groupBy("shard", "copy").cogroup(arrays.groupBy("shard", "copy"))
             .applyInPandas(_probe(min_docs), "text_md5 string, h1 long, h2 long"))
-    gone = (hits.groupBy("text_md5").agg(F.collect_set(F.struct("h1", "h2")).alias("x"))
-            .select("text_md5", F.col("x.h1").alias("_d1"), F.col("x.h2").alias("_d2")))
+    # written, so that the join has no aggregation beside it and the rows of a text of very many copies can be split
+    gone = cut_lineage(hits.groupBy("text_md5").agg(F.collect_set(F.struct("h1", "h2")).alias("x"))
+                       .select("text_md5", F.col("x.h1").alias("_d1"), F.col("x.h2").alias("_d2")))
     rows = docs.select(*columns, whole.alias("_text"), F.md5(whole).alias("_md5"))
     rows = rows.join(gone, rows["_md5"] == gone["text_md5"], "left").select(*columns, "_text", "_d1", "_d2")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

@@ -192,13 +192,23 @@ class Threshold:
         return effort
 
 
+#: Texts that are in a task's Python memory at once.
+ROWS_AT_ONCE = 256
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def _texts(b: pa.RecordBatch) -> list[str]:
     return b.column(b.num_columns - 1).to_pylist()
 
 
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             sets = [shingle_set(t, width) for t in _texts(b)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([len(s) for s in sets], pa.int64()),
                                               pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
@@ -211,7 +221,7 @@ def common_shingles(rows: DataFrame, n_rows: int, width: int) -> tuple[np.ndarra
     """Buckets of shingles that many texts hold, and their counts (255 at most), on about ``SAMPLE`` distinct texts of the column ``_text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint8)
-        for b in batches:
+        for b in _parts(batches):
             for text in set(_texts(b)):
                 at = np.unique((_mix(shingle_set(text, width) ^ _U(_STEP)) & _U(BUCKETS - 1)).astype(np.int64))
                 counts[at] += counts[at] < 255
@@ -228,7 +238,7 @@ def _key_rows(width: int, threshold: Threshold, sampled):
         common = np.zeros(BUCKETS, np.uint8)
         at, n = sampled.value
         common[at] = n
-        for b in batches:
+        for b in _parts(batches):
             held, n = [], 0
             for text in _texts(b):
                 s = shingle_set(text, width)
@@ -332,7 +342,7 @@ def _sift(threshold: Threshold):
 def _pack(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
+        for b in _parts(batches):
             texts = _texts(b)
             classes = [class_of(s) if len(s := shingle_set(t, width)) else None for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array([press(t.encode()) for t in texts], pa.binary())], ["class", "packed"])
