@@ -1,12 +1,12 @@
 """Licence scan: known sentences become identifiers, identifier sequences match ordered rules (DataFrame functions only).
 
-Each text is cut into sentences twice: with line ends as sentence ends, and
-with line ends as spaces (wrapped notices). A normalised sentence (lower case,
-runs of other characters than a-z and 0-9 as one space) that is a known one
-becomes its identifier; all others vanish. The rules are then tried in their
+Each text is cut into sentences, with line ends as spaces (wrapped notices); a
+sentence that is not known is cut again at its line ends. A normalised sentence
+(lower case, runs of other characters than a-z and 0-9 as one space) that is a
+known one becomes its identifier; all others vanish. So both ways of cutting
+give one sequence in the text's order. The rules are then tried on it in their
 order, the longest first; a rule that finds its identifiers in sequence takes
-them, so that a part of a longer notice is not reported again. A licence is
-reported if either way of cutting finds it.
+them, so that a part of a longer notice is not reported again.
 
 A known sentence that the cut itself divides ("v. 2.0"), or that is usually set
 in two paragraphs, is known by its parts where they follow each other.
@@ -101,16 +101,49 @@ def _parted() -> list[tuple[list[str], str]]:
     return [([normalised(x) for x in parts], normalised(s)) for parts, s in own if len(parts) > 1]
 
 
-def _sequence(text: Column, ends: str) -> Column:
-    """Identifiers of the known sentences in their order, as ``<1><3>``."""
-    known = F.create_map(*(F.lit(x) for k, s in SENTENCES.items() for x in (normalised(s), f"<{k}>")))
-    own = F.transform(F.split(text, ends), lambda s: F.concat(F.lit("["), F.trim(F.regexp_replace(F.lower(s), _OTHER, " ")), F.lit("]")))
-    joined = F.replace(F.array_join(own, ""), F.lit("[]"), F.lit(""))
+def _known() -> dict[str, str]:
+    """Normalised known sentences and their identifiers."""
+    return {normalised(s): f"<{k}>" for k, s in SENTENCES.items()}
+
+
+def _phrases() -> list[str]:
+    """Normalised known sentences and the parts of those that texts may have in parts."""
+    return [*_known(), *(x for parts, _ in _parted() for x in parts)]
+
+
+def _norm(sentence: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
+
+
+def _identified(joined: Column) -> Column:
+    """Identifiers, as ``<1><3>``, of the known ones among normalised sentences ``[..][..]``."""
+    known = F.create_map(*(F.lit(x) for pair in _known().items() for x in pair))
+    joined = F.replace(joined, F.lit("[]"), F.lit(""))
     for parts, whole in _parted():
         joined = F.replace(joined, F.lit("".join(f"[{x}]" for x in parts)), F.lit(f"[{whole}]"))
     return F.array_join(F.transform(F.split(joined, r"[\[\]]+"), lambda s: F.element_at(known, s)), "")
 
 
+def _bracketed(sentences: Column) -> Column:
+    return F.array_join(F.transform(sentences, lambda s: F.concat(F.lit("["), _norm(s), F.lit("]"))), "")
+
+
+def _sequence(text: Column, ends: str) -> Column:
+    """Identifiers of the known sentences in their order, by one way of cutting."""
+    return _identified(_bracketed(F.split(text, ends)))
+
+
+def _placed_sequence(text: Column) -> Column:
+    """Identifiers of the known sentences in their order, by both ways of cutting: a sentence is read whole if it is known, else line by line."""
+    phrases = F.array(*map(F.lit, _phrases()))
+
+    def read(s: Column) -> Column:
+        whole = _norm(s)
+        return F.when(F.array_contains(phrases, whole), F.concat(F.lit("["), whole, F.lit("]"))).otherwise(_bracketed(F.split(s, "\n")))
+
+    return _identified(F.array_join(F.transform(F.split(text, SPACE_ENDS), read), ""))
+
+
 def _apply_rules(sequence: Column) -> Column:
     """Licences and kinds that the rules find, each rule taking the identifiers it used."""
     rules = F.array(*(F.struct(F.lit(f"{name} ({kind})").alias("finding"), F.lit("".join(f"<{i}>" for i in ids)).alias("ids"))
@@ -125,45 +158,59 @@ def _apply_rules(sequence: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row, ``line_sequence``, ``wrapped_sequence`` and ``findings`` (sorted "licence (kind)" strings).
+    """``columns`` of every row, ``line_sequence``, ``wrapped_sequence``, ``sequence`` and ``findings`` (sorted "licence (kind)" strings).
 
-    A null or empty text, and one without a known sentence, has empty
-    sequences and no findings. Repeated rows each give a row; an empty table
-    gives an empty result. ``columns`` pass through and may not be named like
-    the results.
+    ``sequence`` is what the rules are tried on; the first two are the sentences
+    that line ends as sentence ends, and as spaces, show alone. A null or empty
+    text, and one without a known sentence, has empty sequences and no findings.
+    Repeated rows each give a row; an empty table gives an empty result.
+    ``columns`` pass through and may not be named like the results.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(whole)
     marked = F.contains(low, F.lit(MARKS[0]))
     for mark in MARKS[1:]:
         marked = marked | F.contains(low, F.lit(mark))
-    rows = docs.select(*columns, *(F.when(marked, _sequence(whole, e)).otherwise("").alias(n)
-                                   for n, e in (("line_sequence", LINE_ENDS), ("wrapped_sequence", SPACE_ENDS))))
+    made = {"line_sequence": _sequence(whole, LINE_ENDS), "wrapped_sequence": _sequence(whole, SPACE_ENDS), "sequence": _placed_sequence(whole)}
+    rows = docs.select(*columns, *(F.when(marked, e).otherwise("").alias(n) for n, e in made.items()))
     none = F.array().cast("array<string>")
-    found = [F.when(F.col(n) == "", none).otherwise(_apply_rules(F.col(n))) for n in ("line_sequence", "wrapped_sequence")]
-    return rows.withColumn("findings", F.array_sort(F.array_union(*found)))
+    return rows.withColumn("findings", F.when(F.col("sequence") == "", none).otherwise(F.array_sort(F.array_distinct(_apply_rules(F.col("sequence"))))))
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{normalised(s)}', '<{k}>')" for k, s in SENTENCES.items())
+    """DuckDB SQL of the same tables: sentences, parts and rules."""
+    known = ", ".join(f"'{k}': '{v}'" for k, v in _known().items())
+    phrases = ", ".join(f"'{x}'" for x in _phrases())
 
-    def cut(name: str, ends: str) -> str:
+    def cut(ends: str) -> str:
         ends = ends.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n").replace("\\f", "\f")
-        return f"""{name}_s AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '{ends}', chr(1), 'g'), chr(1))) AS s,
-            generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '{ends}', chr(1), 'g'), chr(1)), 1) AS i FROM documents),
-        {name}_k AS (SELECT doc_id, string_agg(k.id, '' ORDER BY i) AS q FROM {name}_s JOIN known k ON trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) = k.phrase GROUP BY doc_id)"""
+        return f"string_split(regexp_replace(t, '{ends}', chr(1), 'g'), chr(1))"
+
+    def norm(x: str) -> str:
+        return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+    def bracketed(sentences: str, x: str) -> str:
+        return f"array_to_string(list_transform({sentences}, lambda {x}: '[' || {norm(x)} || ']'), '')"
+
+    def identified(joined: str) -> str:
+        joined = f"replace({joined}, '[]', '')"
+        for parts, whole in _parted():
+            joined = f"replace({joined}, '{''.join(f'[{x}]' for x in parts)}', '[{whole}]')"
+        return f"array_to_string(list_transform(regexp_split_to_array({joined}, '[\\[\\]]+'), lambda k: coalesce(known[k], '')), '')"
 
-    steps, rest = [], "q"
+    placed = (f"array_to_string(list_transform({cut(SPACE_ENDS)}, lambda s: CASE WHEN list_contains(phrases, {norm('s')}) THEN '[' || {norm('s')} || ']' "
+              f"ELSE {bracketed('string_split(s, chr(10))', 'l')} END), '')")
+    steps = []
     for n, (name, kind, ids) in enumerate(RULES):
         p = "".join(f"<{i}>" for i in ids)
         steps.append(f"r{n} AS (SELECT * REPLACE (replace(q, '{p}', '|') AS q, CASE WHEN contains(q, '{p}') THEN list_append(f, '{name} ({kind})') ELSE f END AS f) FROM {f'r{n - 1}' if n else 'r'})")
-    return f"""WITH known(phrase, id) AS (VALUES {known}), {cut('l', LINE_ENDS)}, {cut('w', SPACE_ENDS)},
-        r AS (SELECT doc_id, q, CAST([] AS VARCHAR[]) AS f FROM l_k UNION ALL SELECT doc_id, q, CAST([] AS VARCHAR[]) FROM w_k),
-        {', '.join(steps)},
-        found AS (SELECT doc_id, list_sort(list_distinct(flatten(list(f)))) AS f FROM {f'r{len(RULES) - 1}'} GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(l_k.q, '') AS line_sequence, coalesce(w_k.q, '') AS wrapped_sequence,
-               array_to_string(coalesce(found.f, []), ', ') AS findings
-        FROM documents d LEFT JOIN l_k USING (doc_id) LEFT JOIN w_k USING (doc_id) LEFT JOIN found USING (doc_id)"""
+    return f"""WITH tables AS (SELECT MAP {{{known}}} AS known, [{phrases}] AS phrases),
+        texts AS (SELECT doc_id, coalesce(text, '') AS t, known, phrases FROM documents, tables),
+        cuts AS (SELECT doc_id, {identified(bracketed(cut(LINE_ENDS), 's'))} AS line_sequence, {identified(bracketed(cut(SPACE_ENDS), 's'))} AS wrapped_sequence,
+                        {identified(placed)} AS sequence FROM texts),
+        r AS (SELECT *, sequence AS q, CAST([] AS VARCHAR[]) AS f FROM cuts),
+        {', '.join(steps)}
+        SELECT doc_id, line_sequence, wrapped_sequence, sequence, array_to_string(list_sort(list_distinct(f)), ', ') AS findings FROM r{len(RULES) - 1}"""
 
 
 ORACLE_SQL = _oracle()
