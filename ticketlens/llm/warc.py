@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<(!--|/?[a-zA-Z][^\s/>]*)")
+_TAG = re.compile(r"<(!--|[!?]|/?[a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header "
                    "hr html li main nav ol p pre section table td th title tr ul".split())
 _SKIPPED = frozenset(("script", "style", "noscript", "template", "title"))
 _CLOSE = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in _SKIPPED}
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.IGNORECASE)
-_HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 RESULT = ("response_id string, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
           "content_type string, block_digest string, source_payload_digest string, content_length long, record binary")
@@ -72,9 +73,25 @@ def decoded_body(headers: dict[str, str], body: bytes) -> bytes:
     return body
 
 
+def _tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that holds ``at`` is over. A > inside a quoted value does not end it; a quote that is not closed (``last`` holds the last of either) is a character."""
+    while m := _STOP.search(source, at):
+        if m[0] == ">":
+            return m.end()
+        value = m.start() < last[m[0]] and source[at:m.start()].rstrip().endswith("=")
+        at = source.index(m[0], m.end()) + 1 if value else m.end()
+    return len(source)
+
+
 def html_text(source: str) -> tuple[str, str, list[str]]:
-    """Plain text, title and link targets; one pass, linear in the length."""
+    """Plain text, title and link targets; one pass, linear in the length.
+
+    Comments, declarations (``<!DOCTYPE ..>``) and processing instructions
+    (``<?xml ..?>``) are left out, as is what scripts, styles, templates and the
+    like hold.
+    """
     out, links, title, at = [], [], "", 0
+    last = {q: source.rfind(q) for q in "\"'"}
     while m := _TAG.search(source, at):
         out.append(source[at:m.start()])
         name = m[1].lower()
@@ -82,8 +99,11 @@ def html_text(source: str) -> tuple[str, str, list[str]]:
             end = source.find("-->", m.end())
             at = len(source) if end < 0 else end + 3
             continue
-        end = source.find(">", m.end())
-        stop = len(source) if end < 0 else end + 1
+        if name in ("!", "?"):
+            end = source.find(">", m.end())
+            at = len(source) if end < 0 else end + 1
+            continue
+        stop = _tag_end(source, m.end(), last)
         if name in _SKIPPED:
             m = _CLOSE[name].search(source, stop)
             close = m.start() if m else -1
@@ -91,8 +111,10 @@ def html_text(source: str) -> tuple[str, str, list[str]]:
                 title = " ".join(html.unescape(source[stop:close if close >= 0 else len(source)]).split())
             at = len(source) if close < 0 else close
             continue
-        if name == "a" and (href := _HREF.search(source, m.end() - 1, stop)):
-            links.append(html.unescape(href[1] or href[2] or href[3] or ""))
+        if name == "a":
+            hrefs = (a for a in _ATTRIBUTE.finditer(source, m.end(), stop) if a[1].lower() == "href")
+            if (a := next(hrefs, None)) and a[0] != a[1]:
+                links.append(html.unescape(a[2] or a[3] or a[4] or ""))
         if name.lstrip("/") in _BLOCK:
             out.append("\n")
         at = stop
