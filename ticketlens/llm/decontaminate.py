@@ -9,8 +9,8 @@ windows of their own and get fingerprints with a shorter guarantee, if any exist
 
 The join names the texts that share a fingerprint. Around its places in those
 texts alone the hits are extended to windows, which are compared word for word
-with the items' windows. Copies of a text are judged once. Benchmark tables are
-broadcast only below a checked size; else the joins shuffle.
+with the items' windows. Benchmark tables and the texts' hits are broadcast only
+below a checked size; else the joins shuffle.
 """
 
 from __future__ import annotations
@@ -125,8 +125,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, columns: list[str]
     covered = F.aggregate(F.array_sort(F.collect_set(F.struct("at", "size"))), F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
                           lambda s, x: F.struct(F.greatest(s["end"], x["at"] + x["size"]).alias("end"),
                                                 (s["n"] + F.greatest(x["at"] + x["size"] - F.greatest(s["end"], x["at"]), F.lit(0))).alias("n")))
-    hits = occurs.groupBy(F.col("_md5").alias("_of")).agg(covered["n"].alias("_n_hit"), F.array_sort(F.collect_set("item")).alias("_items"))
-    return (judged.join(hits, judged["_md5"] == hits["_of"], "left")
+    # written, so that the join has no aggregation beside it and the rows of a text of very many copies can be split
+    hits = cut_lineage(occurs.groupBy(F.col("_md5").alias("_of")).agg(covered["n"].alias("_n_hit"), F.array_sort(F.collect_set("item")).alias("_items")))
+    return (judged.join(small_side(hits), judged["_md5"] == hits["_of"], "left")
             .select(*columns, "n_words", F.coalesce("_n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))))
