@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from ticketlens.session import cut_lineage
 from ticketlens.sources.tables import small_side
 
+from .workers import tidy
+
 _U = np.uint64
 _M64 = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
@@ -229,7 +231,7 @@ def common_shingles(rows: DataFrame, n_rows: int, width: int) -> tuple[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(counts[own], pa.int64())], ["at", "n"])
 
     few = rows.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, n_rows // SAMPLE))) == 0).select("_text")
-    got = few.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    got = few.mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
     return got["at"].to_numpy(), np.minimum(got["n"].to_numpy(), 255).astype(np.uint8)
 
 
@@ -456,28 +458,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     threshold = Threshold(num, den)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    members = cut_lineage(rows.mapInArrow(_classes(width), f"doc_id {id_type}, n_shingles long, class long, parities binary"))
+    members = cut_lineage(rows.mapInArrow(tidy(_classes(width)), f"doc_id {id_type}, n_shingles long, class long, parities binary"))
     classes = cut_lineage(members.where("class IS NOT NULL").dropDuplicates(["class"]).withColumnRenamed("doc_id", "one"))
     sampled = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, members.count(), width))      # bounded by the sample's shingles
-    keyed = rows.select("_text").mapInArrow(_key_rows(width, threshold, sampled), "key long, class long, tag long")
+    keyed = rows.select("_text").mapInArrow(tidy(_key_rows(width, threshold, sampled)), "key long, class long, tag long")
     keyed = keyed.repartition("key").sortWithinPartitions("key", F.desc("tag"), "class")
-    found = cut_lineage(keyed.mapInArrow(_runs(threshold), "kind long, a long, b long, tag long"))
+    found = cut_lineage(keyed.mapInArrow(tidy(_runs(threshold)), "kind long, a long, b long, tag long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("parities").alias("xa"))
         two = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("parities").alias("xb"))
         pairs = cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "xa", "xb")
-                            .mapInArrow(_sift(threshold), "a long, b long"))
+                            .mapInArrow(tidy(_sift(threshold)), "a long, b long"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         chosen = cut_lineage(classes.join(wanted, "class", "left_semi").select("class", "one"))
         ids = chosen.select("one").distinct()
         packed = (rows.join(small_side(ids), rows["doc_id"].eqNullSafe(ids["one"]), "left_semi").select("_text")
-                  .mapInArrow(_pack(width), "class long, packed binary").join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+                  .mapInArrow(tidy(_pack(width)), "class long, packed binary").join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]))
         packed = cut_lineage(packed)
         one = packed.select(F.col("class").alias("a"), F.col("packed").alias("pa"))
         two = packed.select(F.col("class").alias("b"), F.col("packed").alias("pb"))
-        return cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(_verify(width, threshold), "a long, b long"))
+        return cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(tidy(_verify(width, threshold)), "a long, b long"))
 
     links = verified(found.where("kind = 0"))
     label = cut_lineage(components(links))
@@ -487,7 +489,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         rest = (placed.join(mixed, "key", "left_semi").join(classes.select("class", "parities"), "class")
                 .select("key", "class", "tag", "component", "parities").repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
-        more = cut_lineage(rest.mapInArrow(_across(threshold, nearest), "a long, b long"))
+        more = cut_lineage(rest.mapInArrow(tidy(_across(threshold, nearest)), "a long, b long"))
         if more.isEmpty():
             break
         more = verified(more)
