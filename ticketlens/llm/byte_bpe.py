@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mph import MinimalPerfectHash
+from .workers import tidy
 
 #: Distinct pre-tokens that a worker remembers before it starts over, and their longest.
 MEMO_TOKENS, MEMO_CHARS = 400_000, 256
@@ -233,4 +234,4 @@ def encode_decode(docs: DataFrame, columns: list[str], coder, text: str = "text"
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
     rows = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, fields + "n_tokens long" + "".join(f", {x} {kinds[x]}" for x in outputs))
+    return rows.mapInArrow(tidy(run), fields + "n_tokens long" + "".join(f", {x} {kinds[x]}" for x in outputs))

@@ -31,6 +31,7 @@ from ticketlens.session import cut_lineage
 from ticketlens.sources.tables import small_side
 
 from .mph import MinimalPerfectHash
+from .workers import tidy
 
 #: Rows of the line table that one shard indexes, on average.
 SHARD_LINES = 1 << 18
@@ -145,7 +146,7 @@ def drop_repeated_lines(docs: DataFrame, columns: list[str], text: str = "text",
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     hashes = cut_lineage(docs.select(F.md5(whole).alias("text_md5"), whole.alias("text"))
-                         .mapInArrow(_hash_lines, "text_md5 string, h1 array<long>, h2 array<long>"))
+                         .mapInArrow(tidy(_hash_lines), "text_md5 string, h1 array<long>, h2 array<long>"))
     total = hashes.agg(F.sum(F.size("h1"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_LINES))
     index = cut_lineage(line_index(hashes, shards))
@@ -160,4 +161,4 @@ def drop_repeated_lines(docs: DataFrame, columns: list[str], text: str = "text",
     rows = docs.select(*columns, whole.alias("_text"), F.md5(whole).alias("_md5"))
     rows = rows.join(gone, rows["_md5"] == gone["text_md5"], "left").select(*columns, "_text", "_d1", "_d2")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.mapInArrow(_keep_lines, f"{fields}, n_lines long, n_dropped long, kept_text string")
+    return rows.mapInArrow(tidy(_keep_lines), f"{fields}, n_lines long, n_dropped long, kept_text string")

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ticketlens.session import cut_lineage
 from ticketlens.sources.tables import small_side
 
+from .workers import tidy
+
 #: Buckets for words, sources and languages; bins of the logarithm of the length.
 WORDS, SOURCES, LANGS, SIZES = 128, 64, 16, 24
 _KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "!?", "'\"()-", "#$%&*@^~_=+<>", "|/\\[]{}`", " ", "\n\t\r")
@@ -274,7 +276,7 @@ class TaughtRows:
             own = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own])], ["i", "v"])
 
-        got = self.table.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        got = self.table.mapInArrow(tidy(run), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros(size)
         out[got["i"].to_numpy()] = got["v"].to_numpy()
         return out
@@ -386,7 +388,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str = "doc_id",
     # one row an id, however many rows it is on, so the sample's bound holds for what is fetched
     rows = (docs.select(F.col(doc_id).alias("_doc"), *_inputs(text, source, lang, n_chars))
             .join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "_y", "_at", "_text", "_source", "_lang", "_size")
-            .mapInArrow(run, f"_id {kind}, _y double, _at long, x array<float>"))
+            .mapInArrow(tidy(run), f"_id {kind}, _y double, _at long, x array<float>"))
     got = rows.groupBy("_id", "_y", "_at").agg(F.min_by("x", F.xxhash64("x")).alias("x")).toArrow()
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_TEXT + N_META) if got.num_rows else np.zeros((0, N_TEXT + N_META), np.float32)
     y, at = got["_y"].to_numpy(), got["_at"].to_numpy()
@@ -405,7 +407,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit, doc_id: str = "doc_id",
         told = known.select("_id")
         return cut_lineage(docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample")).alias("at"),
                                        *_inputs(text, source, lang, n_chars))
-                           .mapInArrow(code_rows, f"_doc {kind}, at long, code int, x binary")
+                           .mapInArrow(tidy(code_rows), f"_doc {kind}, at long, code int, x binary")
                            .join(small_side(told), F.col("_doc") == F.col("_id"), "left_anti").select("at", "code", "x"))
 
     return co_train_all(x[:, :N_TEXT], x[:, N_TEXT:], y, unlabelled, fit)
@@ -439,4 +441,4 @@ def classify(docs: DataFrame, labels: DataFrame, columns: list[str], fit: Fit =
                                                  [*b.schema.names[:-more], "p_text", "p_meta", "score", "keep"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
-    return docs.select(*columns, *inputs).mapInArrow(run, fields + "p_text double, p_meta double, score double, keep boolean")
+    return docs.select(*columns, *inputs).mapInArrow(tidy(run), fields + "p_text double, p_meta double, score double, keep boolean")
