@@ -276,3 +276,24 @@ def test_pivot_metric_query_keeps_further_languages(spark, tmp_path):
     spark.createDataFrame(rows, "source string, lang string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = load_all()["A32_pivot_metric"].build(spark, str(tmp_path)).orderBy("source").collect()
     assert [r.asDict() for r in got] == [{"source": "s", "en": 10.0, "it": 40.0, "pt": None}, {"source": "t", "en": None, "it": None, "pt": 7.0}]
+
+
+def test_union_of_all_trackers(spark, tmp_path):
+    """Every issue of every tracker enters, of a tracker without a name too; two trackers lack a column."""
+    from ticketlens.plans.columns_queries import q_union_all
+
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", None]
+    tables = {"region": ([(i, n) for i, n in enumerate(names)], "r_regionkey int, r_name string"),
+              "nation": ([(i, f"n{i}", i) for i in range(6)], "n_nationkey int, n_name string, n_regionkey int"),
+              "customer": ([(i, i, "BUILDING") for i in range(6)], "c_custkey long, c_nationkey int, c_mktsegment string"),
+              "orders": ([(i, i % 6, "1-URGENT", "F") for i in range(12)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string"),
+              "lineitem": ([(0, 1)], "l_orderkey long, l_suppkey long")}
+    for name, (rows, schema) in tables.items():
+        d = spark.createDataFrame(rows, schema)
+        day = F.to_timestamp_ntz(F.lit("1995-01-02 00:00:00"))
+        d = d.withColumn("o_orderdate", day) if name == "orders" else d.withColumn("l_shipdate", day) if name == "lineitem" else d
+        d.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = q_union_all(spark, str(tmp_path))
+    assert got.columns == ["id", "created", "priority_name", "status"]
+    assert sorted((r["id"], r["priority_name"], r["status"]) for r in got.collect()) == [
+        (i, None if i % 6 == 3 else "1-URGENT", None if i % 6 == 2 else "F") for i in range(12)]
