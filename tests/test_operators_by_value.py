@@ -419,3 +419,15 @@ def test_projects_are_fetched_whole(spark):
     df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(30)], "id long, project_id string")
     assert sorted(r["id"] for r in W.fetch_projects(df, ["a", "c"]).collect()) == [i for i in range(30) if i % 3 != 1]
     assert W.fetch_projects(df, [], fallback_rows=7).count() == 7
+
+
+def test_capped_counts_are_one_pass_without_a_join(spark):
+    """A column's values are never dealt by the column's name: that would be a task a column."""
+    df = spark.createDataFrame([(float(i % 10), None) for i in range(100)] + [(1000.0, None), (-1000.0, None), (None, None), (float("nan"), None)],
+                               "a double, b double")
+    got = IM.capped_counts(df, ["a", "b"])
+    assert {tuple(r) for r in got.collect()} == {("a", 1, 2, 1), ("b", 0, 0, 104)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+    assert IM.capped_counts(df.where("a > 5000"), ["a"]).collect()[0]["above"] == 0
+    assert IM.capped_counts(df.limit(0), ["a"]).collect() == []

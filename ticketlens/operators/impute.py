@@ -222,12 +222,16 @@ def iqr_cap(df: DataFrame, cols: Sequence[str] | None = None, mult: float = 1.5,
 
 def capped_counts(df: DataFrame, cols: Sequence[str], mult: float = 1.5, exact: bool = True) -> DataFrame:
     """I9 report: per column the number of values below / above the fences and nulls filled."""
-    bounds = iqr_bounds(df, cols, mult, exact)
-    long = df.select(*[q(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    j = long.join(small_side(bounds), "column")
-    return j.groupBy("column").agg(F.count_if(F.col("value") < F.col("lower")).alias("below"),
-                                   F.count_if(F.col("value") > F.col("upper")).alias("above"),
-                                   F.count_if(F.col("value").isNull()).alias("filled"))
+    bounds = {r["column"]: r for r in iqr_bounds(df, cols, mult, exact).collect()}      # a row per column
+    rows = []
+    for c in cols:
+        v, b = q(c).cast("double"), bounds.get(c)
+        low, high = (F.lit(b[k] if b else None).cast("double") for k in ("lower", "upper"))
+        rows.append(F.struct(F.lit(c).alias("column"), F.count_if(v < low).alias("below"), F.count_if(v > high).alias("above"),
+                             F.count_if(v.isNull()).alias("filled")))
+    # one pass with partial counts: joined to the bounds by column, each column's values would be one task's
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), F.array(*rows).alias("_counts"))
+    return wide.where("_rows > 0").select(F.inline("_counts"))
 
 
 def impute_unresolved_hours(df: DataFrame, hours: str, keys: Sequence[str], age_days: str,
