@@ -169,3 +169,12 @@ def test_random_search_of_a_forest(table):
     df, *_ = table
     got = SE.random_search(df.where("id < 10000"), X, "y", "random_forest", {"numTrees": [3, 5], "maxDepth": SE.Integers(2, 4)}, 3, 2).collect()
     assert len(got) == 3 and {r["rank"] for r in got} == {1, 2, 3} and set(got[0]["params"]) == {"numTrees", "maxDepth"}
+
+
+def test_random_search_keeps_only_what_the_models_read(table, monkeypatch):
+    """Folds are held in memory while all draws are fitted: vectors and labels, not the table's other columns."""
+    df, *_ = table
+    kept, fit = [], SE.CrossValidator.fit
+    monkeypatch.setattr(SE.CrossValidator, "fit", lambda self, d, *more: kept.append(d.columns) or fit(self, d, *more))
+    got = SE.random_search(df.where("id < 3000"), X, "y", "random_forest", {"numTrees": [2], "maxDepth": [2, 3]}, 2, 2).collect()
+    assert kept == [["features", "y"]] and {r["rank"] for r in got} == {1, 2} and all(r["score"] > 0 for r in got)
