@@ -135,6 +135,20 @@ def test_components(spark):
     assert {got[2000 + i] for i in range(50)} == {1000}
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Links that are stars after one round need no second one, and further links are joined over components alone."""
+    cuts, cut = [], ngram_join.cut_lineage
+    monkeypatch.setattr(ngram_join, "cut_lineage", lambda d: cuts.append(1) or cut(d))
+    label = ngram_join.components(spark.createDataFrame([(2, 1), (3, 2), (11, 10), (21, 20)], "a long, b long"))
+    assert {(r.node, r.component) for r in label.collect()} == {(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20)}
+    assert len(cuts) == 3
+    more = spark.createDataFrame([(3, 11), (11, 10), (40, 21), (51, 50), (0, 52), (52, 51)], "a long, b long")
+    got = {r.node: r.component for r in ngram_join.joined_further(label, more).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 10, 11), 1), **dict.fromkeys((20, 21, 40), 20), **dict.fromkeys((0, 50, 51, 52), 0)}
+    same = ngram_join.joined_further(label, more.limit(0)).collect()
+    assert {tuple(r) for r in same} == {tuple(r) for r in label.collect()} and len(same) == 7
+
+
 def kmers(text: str) -> list:
     k = order_minhash.K
     return [text[i:i + k] for i in range(max(1, len(text) - k + 1))] if text else []

@@ -53,6 +53,8 @@ BAND_RATIO, SHORT_RUN = 1.6, 12
 BLOCK = 256
 #: Distinct texts, about, on which shingles are counted for the costs, the buckets of the counts, and the least count that is kept.
 SAMPLE, BUCKETS, COMMON = 4_000, 1 << 23, 3
+#: Bytes of a table of classes, about, up to which it is sent to all tasks; larger ones are shuffled. Each step is short, so a shuffle's tasks would outweigh it.
+FEW = 8 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -419,29 +421,41 @@ def _across(threshold: Threshold, nearest: bool):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (its smallest node) of links ``a, b``: large-star and small-star until nothing changes.
+    """``node, component`` (its smallest node) of links ``a, b``: large-star and small-star until the links are stars.
 
     Every step is a partial aggregation and a join, written to the shared
     checkpoint folder; a node of very many links is reduced before it is
     shuffled. Nulls and links of a node with itself are left out.
     """
     links = cut_lineage(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    while not links.isEmpty():
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        low = small_side(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
         large = cut_lineage(both.join(low, both["u"] == low["w"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        joined = large.join(low, large["u"] == low["w"])
-        small = cut_lineage(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
-        found = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first():
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), "m", "n")
+        # a node of one link gives that link alone
+        joined = large.join(small_side(low.where("n > 1")), F.col("u") == F.col("w")).where("v <> m")
+        links = cut_lineage(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        # stars: every node links to one other, which links to none
+        ends = links.groupBy("u").agg(F.count("*").alias("n"), F.lit(0).alias("v")).union(
+            links.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).cast("long").alias("n"), F.lit(1).alias("v")))
+        if ends.groupBy("u").agg(F.max("n").alias("n"), F.max("v").alias("v")).where("n > 1 OR n > 0 AND v > 0").isEmpty():
             break
-        links = small
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined_further(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (``node, component``) after more links ``a, b``: they link components, whose own components are found alone."""
+    of = small_side(label)
+    ends = (links.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    above = components(ends).withColumnsRenamed({"node": "was", "component": "now"})
+    moved = label.join(small_side(above), F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    return moved.union(above.select(F.col("was").alias("node"), F.col("now").alias("component"))).distinct()
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
@@ -467,8 +481,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        one = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("parities").alias("xa"))
-        two = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("parities").alias("xb"))
+        one = small_side(classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("parities").alias("xa")), FEW)
+        two = small_side(classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("parities").alias("xb")), FEW)
         pairs = cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "xa", "xb")
                             .mapInArrow(tidy(_sift(threshold)), "a long, b long"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -477,25 +491,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         packed = (rows.join(small_side(ids), rows["doc_id"].eqNullSafe(ids["one"]), "left_semi").select("_text")
                   .mapInArrow(tidy(_pack(width)), "class long, packed binary").join(chosen.select("class"), "class", "left_semi").dropDuplicates(["class"]))
         packed = cut_lineage(packed)
-        one = packed.select(F.col("class").alias("a"), F.col("packed").alias("pa"))
-        two = packed.select(F.col("class").alias("b"), F.col("packed").alias("pb"))
+        one = small_side(packed.select(F.col("class").alias("a"), F.col("packed").alias("pa")), FEW)
+        two = small_side(packed.select(F.col("class").alias("b"), F.col("packed").alias("pb")), FEW)
         return cut_lineage(pairs.join(two, "b").join(one, "a").select("a", "b", "pa", "pb").mapInArrow(tidy(_verify(width, threshold)), "a long, b long"))
 
-    links = verified(found.where("kind = 0"))
-    label = cut_lineage(components(links))
+    label = cut_lineage(components(verified(found.where("kind = 0"))))
     runs = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("class"), "tag")
     for nearest in (True, False) if not runs.isEmpty() else ():
         placed = runs.join(small_side(label.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rest = (placed.join(mixed, "key", "left_semi").join(classes.select("class", "parities"), "class")
+        rest = (placed.join(small_side(mixed, FEW), "key", "left_semi").join(small_side(classes.select("class", "parities"), FEW), "class")
                 .select("key", "class", "tag", "component", "parities").repartition("key").sortWithinPartitions("key", F.desc("tag"), "class"))
         more = cut_lineage(rest.mapInArrow(tidy(_across(threshold, nearest)), "a long, b long"))
         if more.isEmpty():
             break
         more = verified(more)
         if not more.isEmpty():
-            links = links.union(more)
-            label = cut_lineage(components(links))
+            label = cut_lineage(joined_further(label, more))
     # one aggregation, then a join with nothing above it: a component of very many rows is broadcast to or split
     placed = (members.select("doc_id", "n_shingles", "class").join(small_side(label.withColumnRenamed("node", "class")), "class", "left")
               .withColumn("component", F.coalesce("component", "class")))
