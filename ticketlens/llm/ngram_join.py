@@ -54,7 +54,7 @@ BLOCK = 256
 #: Distinct texts, about, on which shingles are counted for the costs, the buckets of the counts, and the least count that is kept.
 SAMPLE, BUCKETS, COMMON = 4_000, 1 << 23, 3
 #: Bytes of a table of classes, about, up to which it is sent to all tasks; larger ones are shuffled. Each step is short, so a shuffle's tasks would outweigh it.
-FEW = 8 << 20
+FEW = 3 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
